@@ -1,0 +1,328 @@
+"""The operators against brute force on small fixtures, with nulls, empty and long texts, ties and repeated rows."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from codeloom.llm import bpe, chat, licenses, minhash, packing, sharding, simhash, suffix_dedup, toxicity, voronoi
+from codeloom.llm.common import components
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, part int, fp long, shard string, __x string"
+
+
+def docs_of(spark, rows):
+    """(doc_id, text) rows with further columns, some of which bear names that operators use."""
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1, 2, "q", "z") for i, t in rows], SCHEMA)
+
+
+def corpus(seed=5, n=60):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 7)))
+    base = [" ".join(word() for _ in range(rng.choice([3, 30, 80]))) for _ in range(n)]
+    shared = " ".join(word() for _ in range(60))
+    rows = [(i, t) for i, t in enumerate(base)]
+    rows += [(n + i, base[i]) for i in range(10)]
+    rows += [(2 * n + i, base[i] + " " + shared + " " + word()) for i in range(12)]
+    rows += [(3 * n, None), (3 * n + 1, ""), (3 * n + 2, " \n\t "), (None, base[2]), (None, shared), (5, base[5]), (5, base[5])]
+    rows.append((3 * n + 3, " ".join(word() for _ in range(40000)) + shared))
+    rng.shuffle(rows)
+    return rows
+
+
+def brute_removed(rows):
+    big = 1 << 62
+    first = {}
+    for i, t in rows:
+        b = (t or "").encode()
+        for p in range(len(b) - 49):
+            first[b[p : p + 50]] = min(first.get(b[p : p + 50], big), big if i is None else i)
+    out = Counter()
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - 49):
+            if first[b[p : p + 50]] < (big if i is None else i):
+                gone[p : p + 50] = True
+        kept = bytes(np.frombuffer(b, np.uint8)[~gone])
+        out[i, len(b), int(gone.sum()), int((gone & ~np.append(False, gone[:-1])).sum()), hashlib.sha256(kept).hexdigest()] += 1
+    return out
+
+
+@pytest.mark.parametrize("hot", [3, 2048])
+def test_suffix_dedup(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rows = corpus()
+    done = suffix_dedup.dedup(docs_of(spark, rows)).collect()
+    found = Counter()
+    for r in done:
+        spans = [(s.start, s.end) for s in r["__spans"]]
+        n = sum(e - s for s, e in spans)
+        found[r.doc_id, len(r["__kept"]) + n, n, len(spans), hashlib.sha256(bytes(r["__kept"])).hexdigest()] += 1
+    assert found == brute_removed(rows)
+    assert done[0]["__x"] == "z" and done[0].part == 1
+
+
+def test_suffix_array():
+    from codeloom.llm.suffix_array import suffix_array
+
+    rng = random.Random(1)
+    for _ in range(200):
+        k = rng.choice([1, 2, 4, 40])
+        t = [rng.randrange(k) for _ in range(rng.randrange(50))]
+        assert suffix_array(np.array(t, np.int32)).tolist() == sorted(range(len(t)), key=lambda i: t[i:])
+
+
+def brute_fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return 0
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[k : k + 4]).encode(), 42) for k in range(max(1, len(words) - 3))]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+@pytest.mark.parametrize("cell", [1 << 21, 3000])
+def test_simhash(spark, cell, monkeypatch):
+    rng = random.Random(2)
+    rows = corpus() + [(1000 + i, " ".join(f"w{rng.randrange(400)}" for _ in range(300))) for i in range(5)]
+    long = rows[-1][1].split()
+    rows += [(2000 + i, " ".join(long[:k] + ["x"] + long[k + 1 :])) for i, k in enumerate(range(0, 300, 12))]
+    monkeypatch.setattr(simhash, "links", lambda fps, f=simhash.links: f(fps, cell))
+    found = {(r.doc_id, r.fp, r.component_id) for r in simhash.classes(docs_of(spark, rows)).collect()}
+    fps = {t: brute_fingerprint(t) for _, t in rows}
+    nodes = sorted(set(fps.values()))
+    root = {f: f for f in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in nodes:
+        for b in nodes:
+            if a < b and (a ^ b).bit_count() <= 4:
+                root[find(a)] = find(b)
+    least = {}
+    for i, t in rows:
+        if i is not None:
+            c = find(fps[t])
+            least[c] = min(least.get(c, i), i)
+    signed = lambda f: f - (1 << 64) if f >> 63 else f
+    assert found == {(i, signed(fps[t]), least.get(find(fps[t]))) for i, t in rows}
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(50)] + [(100, k) for k in range(101, 140)] + [(200, 201), (201, 200), (7, 7)]
+    found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {i: 0 for i in range(51)} | {i: 100 for i in range(100, 140)} | {200: 200, 201: 200}
+
+
+ODD = ["", " ", "a  b   c", "\n\n a  b\n", "x\x1cy \x85z ᠎q​w", "İSTANBUL ΣΟΦΟΣ", "'s don't we'LL", "a" * 99, "<|endoftext|>hi<|startoftext|>", "é ﬁ Å 😀👍🏽", "１２３ ٣٤ ½", "\0\1", "中文"]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_bpe(spark, name):
+    path = public_tokenizers.path(name)
+    library, own = Tokenizer.from_file(path), bpe.Bpe(path, cache=50)
+    texts = ODD + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(40).collect()]
+    for t, ids in zip(texts, own.encode_batch(texts), strict=True):
+        want = library.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == want, t
+        assert own.decode(ids) == library.decode(want, skip_special_tokens=False), t
+
+
+def test_bpe_rows(spark):
+    rows = [(1, None), (2, ""), (None, "ab c"), (3, "ab c"), (3, "ab c")]
+    out = bpe.encode_decode(docs_of(spark, rows), public_tokenizers.path("word_bpe_49k.json")).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in out) == [(0, 2), (1, 0), (2, 0), (3, 2), (3, 2)]
+    assert bpe.encode_decode(docs_of(spark, []), public_tokenizers.path("word_bpe_49k.json")).count() == 0
+
+
+@pytest.mark.parametrize("block", [300, 1 << 22])
+def test_packing(spark, block):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(i, t) for i, t in corpus(n=20) if i is not None and i != 5]
+    out = packing.pack(docs_of(spark, rows), path, length=64, block=block).collect()
+    library = Tokenizer.from_file(path)
+    want = {i: [*library.encode(t or "", add_special_tokens=False).ids, 1] for i, t in rows}
+    by_doc, by_seq = {}, {}
+    for r in out:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        by_seq.setdefault(r.sequence_id, []).append(r)
+    assert set(by_doc) == set(want)
+    for i, pieces in by_doc.items():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r.start):
+            ids = want[i][r.start : r.start + r.length]
+            assert r.start == at and r.doc_tokens == len(want[i]) and r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+            at += r.length
+        assert at == len(want[i])
+    for pieces in by_seq.values():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 64 and at & (at - 1) == 0
+    assert packing.pack(docs_of(spark, []), path).count() == 0
+    assert {r.doc_id for r in packing.pack(docs_of(spark, [(None, None), (None, "")]), path).collect()} == {None}
+
+
+def test_minhash(spark):
+    rows = [(i, t) for i, t in corpus(n=15) if i is not None]
+    docs = docs_of(spark, rows).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    out = minhash.with_signature(minhash.with_next(docs, ["text"]), "text", "sig").select("*", minhash.packed(F.col("sig")).alias("p")).collect()
+    key = {}
+    for r in out:
+        assert key.setdefault(r.text, r.p) == r.p
+        assert len(r.p) == (0 if not r.text.split() else 2 * minhash.BINS)
+    order = sorted(((i, t or "") for i, t in rows), key=lambda x: -x[0])
+    unique = [x for x in order if x[0] != 5]
+    follow = {i: order[(order.index((i, t)) + 1) % len(order)][1] for i, t in unique}
+    assert all(follow[r.doc_id] == r["__next_text"] for r in out if r.doc_id != 5)
+    one = minhash.with_next(docs.where("doc_id = 1"), ["text"]).first()
+    assert one["__next_text"] == one.text
+    assert minhash.with_next(docs.where("doc_id < 0"), ["text"]).count() == 0
+
+
+def test_minhash_estimates(spark):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    pairs = []
+    for share in (0.0, 0.3, 0.6, 0.9, 1.0):
+        n = int(400 * share)
+        other = base[:n] + [f"v{rng.randrange(10**6)}" for _ in range(400 - n)]
+        a, b = ({tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (base, other))
+        pairs.append((" ".join(base), " ".join(other), len(a & b) / len(a | b)))
+    df = spark.createDataFrame(pairs, "a string, b string, j double")
+    df = minhash.with_signature(minhash.with_signature(df, "a", "sa"), "b", "sb")
+    for r in df.select("j", minhash.likeness(F.col("sa"), F.col("sb")).alias("e")).collect():
+        assert abs(r.j - r.e) < 0.16
+
+
+def test_licenses(spark):
+    notice = licenses.TEMPLATES["Apache-2.0-notice"]
+    changed = licenses.TEMPLATES["ISC"].replace("purpose", "reason").replace("with or without fee", "with fee").replace("copies", "the copies")
+    rows = [(1, f"one two {notice} three"), (2, f"A {changed} end"), (3, "nothing of the kind " * 50), (4, None), (5, ""), (6, f"{notice} x y z {notice}"), (None, notice), (None, notice)]
+    out = licenses.scan(docs_of(spark, rows)).collect()
+    count = Counter((r.doc_id, r.license_id) for r in out)
+    assert count[1, "Apache-2.0-notice"] == 1 and count[2, "ISC"] == 1 and count[6, "Apache-2.0-notice"] == 2 and count[None, "Apache-2.0-notice"] == 2
+    assert not {3, 4, 5} & {r.doc_id for r in out}
+    hit = next(r for r in out if r.doc_id == 1)
+    assert rows[0][1][hit.span_start : hit.span_end] == notice and hit.coverage == 1.0
+    assert licenses.scan(docs_of(spark, [])).count() == 0
+
+
+def test_license_lines_of_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = {(r.doc_id, r.license_id) for r in licenses.scan(docs).collect()}
+    for notice, text in licenses.TEMPLATES.items():
+        if notice.endswith("-notice"):
+            assert {(r.doc_id, notice) for r in docs.where(F.col("text").contains(text)).collect()} <= found
+
+
+def test_toxicity(spark):
+    rng = random.Random(4)
+    words = [f"{a}{b}" for a in "kmprst" for b in ("ola", "ine", "uro", "esk", "am")]
+    rows, labels = [], []
+    for i in range(600):
+        t = [rng.choice(words) for _ in range(rng.randint(5, 60))]
+        if bad := i % 4 == 0:
+            for _ in range(rng.randint(1, 4)):
+                t.insert(rng.randrange(len(t)), rng.choice(["Grolm", "grolming", "vuxter,"]))
+        rows.append((i, " ".join(t)))
+        labels.append((i, int(bad)))
+    rows += [(700, None), (701, ""), (None, "grolm"), (3, rows[3][1])]
+    labels += [(None, 1), (9, None)]
+    docs = docs_of(spark, rows)
+    model, limits = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    out = toxicity.score(docs, model, limits).collect()
+    truth = {i: y for i, y in labels if i is not None and y is not None}
+    held = [r for r in out if r.doc_id in truth and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    right = np.mean([(r["__score"] >= 0.5) == truth[r.doc_id] for r in held])
+    assert right > 0.95 and len(out) == len(rows)
+    assert all(r["__score"] < 0.5 for r in out if r.doc_id in (700, 701))
+    none, limits = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert all(r["__score"] < 0.5 for r in toxicity.score(docs, none, limits).collect())
+    assert toxicity.score(docs_of(spark, []), model, limits).count() == 0
+
+
+def test_sharding(spark):
+    rows = corpus(n=80) + [(9000, "same")] * 300
+    for limit in (400, 10**9):
+        out = sharding.assign(docs_of(spark, rows).drop("shard"), limit).collect()
+        assert Counter((r.doc_id, r.text) for r in out) == Counter(rows)
+        size, count = Counter(), Counter()
+        for r in out:
+            size[r.shard] += len((r.text or "").encode())
+            count[r.shard] += 1
+        assert all(n <= limit or count[s] == 1 for s, n in size.items())
+        names = sorted(size)
+        assert not any(b.startswith(a) for a, b in zip(names, names[1:], strict=False))
+        if limit > 10**6:
+            assert names == [""]
+    assert sharding.assign(docs_of(spark, []).drop("shard")).count() == 0
+
+
+def test_voronoi(spark):
+    rng = np.random.default_rng(0)
+    centres = rng.normal(size=(5, 6))
+    rows = [(i, (centres[i % 5] + rng.normal(size=6) * 0.05).tolist()) for i in range(400)]
+    rows += [(400 + i, rows[7][1]) for i in range(30)] + [(500, None), (501, [1.0, None, 2.0]), (502, [float("nan")] * 6), (None, [1.0] * 6), (503, [3.0]), (504, []), (505, [1e9] * 6), (600, [1e9] * 6)]
+    df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, cell string, v int")
+    out = sorted(voronoi.top_k(df, k=10).collect())
+    ok = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    want = []
+    for q, a in ok:
+        if q % 100 == 0:
+            dot = lambda b: min(2**63 - 1, sum(x * y for x, y in zip(a, b, strict=False)))
+            best = sorted((-dot(b), i) for i, b in ok if i != q)[:10]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert [tuple(r) for r in out] == sorted(want)
+    assert voronoi.top_k(df.where("vec_id < 0")).count() == 0
+    assert voronoi.top_k(df.where("vec_id = 0")).count() == 0
+
+
+def test_chat(spark):
+    rows = [(1, 0, "user", "a <| b \\ <\\| <|end|>\n"), (1, 1, "assistant", "x\\"), (1, 1, "assistant", "x\\"), (1, None, None, None), (None, 0, "assistant", "<"), (2, 0, "assistant", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    chats = chat.format_chats(df.select("*", chat.as_parts(F.col("text")).alias("parts")))
+    back = {r.conv_id: r for r in chat.parse_chats(chats).select("*", chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()}
+    assert [tuple(t) for t in back[1].turns] == [("", ""), ("user", rows[0][3]), ("assistant", "x\\"), ("assistant", "x\\")]
+    assert back[1].loss == "x\\x\\" and back[None].loss == "<" and back[2].loss == ""
+    assert chat.format_chats(df.where("conv_id = 9").select("*", chat.as_parts(F.col("text")).alias("parts"))).count() == 0
+
+
+def test_chat_attachments(spark):
+    null = "CAST(NULL AS INT)"
+    df = spark.sql(f"""SELECT 1L conv_id, 0L turn, 'user' role, array(
+        named_struct('type', 'text', 'text', 'see <|image|>', 'ref', NULL, 'width', {null}, 'height', {null}, 'seconds', CAST(NULL AS DOUBLE), 'pages', {null}),
+        named_struct('type', 'image', 'text', NULL, 'ref', 'i.png', 'width', 57, 'height', 28, 'seconds', NULL, 'pages', NULL),
+        named_struct('type', 'audio', 'text', NULL, 'ref', 'a.wav', 'width', NULL, 'height', NULL, 'seconds', 2.02D, 'pages', NULL),
+        named_struct('type', 'document', 'text', NULL, 'ref', 'd.pdf', 'width', NULL, 'height', NULL, 'seconds', NULL, 'pages', 2)) parts""")
+    r = chat.format_chats(df.select("conv_id", "turn", "role", F.col("parts").cast(chat.PARTS).alias("parts"))).first()
+    assert r.formatted == "<|turn|>user<|says|>see <\\|image|><|image|><|audio|><|document|><|end|>\n"
+    assert [(a.type, a.ref, a.tokens) for a in r.attachments] == [("image", "i.png", 3), ("audio", "a.wav", 51), ("document", "d.pdf", 2048)]
+    assert r.attachment_tokens == 2102
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        after = stage(spark, docs, SF)
+        if k + 1 < len(corpus_pipeline.STAGES):
+            assert after.columns == docs.columns and after.dtypes == docs.dtypes
+            after = spark.createDataFrame(after.collect(), docs.schema)
+            assert 0 < after.count() <= docs.count()
+        docs = after
+    assert docs.count() > 0
