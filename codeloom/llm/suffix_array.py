@@ -10,6 +10,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Reduced strings below this length are sorted by prefix doubling, as batches are short there.
+SHORT = 1 << 18
+
 
 def _ranks(c: np.ndarray) -> np.ndarray:
     """How many earlier entries are equal, for each entry."""
@@ -75,6 +78,21 @@ def _induce(t, is_s, lms, begin, end):
     return sa
 
 
+def _doubled(t):
+    """The suffix array by prefix doubling."""
+    rank, k, n = t.astype(np.int64) + 1, 1, len(t)
+    while True:
+        key = rank << 32
+        key[: n - k] |= rank[k:]
+        order = np.argsort(key, kind="stable")
+        new = np.append(True, np.diff(key[order]) != 0)
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(new)
+        if new.all():
+            return order
+        k *= 2
+
+
 def suffix_array(t: np.ndarray) -> np.ndarray:
     """Starts of all suffixes of ``t`` (non-negative integers below len(t) + 256) in their order."""
     t = np.ascontiguousarray(t, np.int32)
@@ -89,6 +107,8 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]).astype(np.int32) + 1
     end = np.cumsum(np.bincount(t))
     begin = np.append(0, end[:-1])
+    if len(end) <= 1 << 16:
+        t = t.astype(np.uint16)  # sorts of 16-bit numbers take linear time
     sa = _induce(t, is_s, lms, begin, end)
     if len(lms) < 2:
         return sa
@@ -114,7 +134,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     if name[-1] + 1 < len(lms):
         reduced = np.empty(len(lms), np.int32)
         reduced[number[ordered]] = name
-        ordered = lms[suffix_array(reduced)]
+        ordered = lms[_doubled(reduced) if len(lms) < SHORT else suffix_array(reduced)]
     return _induce(t, is_s, ordered, begin, end)
 
 

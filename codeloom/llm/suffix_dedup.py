@@ -21,6 +21,8 @@ nulls; rows with equal doc_ids do not remove each other's bytes; an empty table
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,6 +84,23 @@ def regions(text: np.ndarray, bounds: np.ndarray, length: int = LENGTH):
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def joined(*columns: np.ndarray | bytes) -> bytes:
+    """Columns of one length, and a last one of bytes, as compressed bytes."""
+    n = len(columns[0])
+    return zlib.compress(n.to_bytes(8, "little") + b"".join(c if isinstance(c, bytes) else np.ascontiguousarray(c).tobytes() for c in columns), 1)
+
+
+def parted(blob: bytes, kinds: list[str]) -> list:
+    """What was joined: a column of each kind and the bytes left."""
+    raw = zlib.decompress(blob)
+    n, at, out = int.from_bytes(raw[:8], "little"), 8, []
+    for k in kinds:
+        size = n * np.dtype(k).itemsize
+        out.append(np.frombuffer(raw, k, n, at))
+        at += size
+    return [*out, raw[at:]]
+
+
 class Part:
     """The documents of a part, in an order that does not depend on how they arrived."""
 
@@ -207,52 +226,70 @@ def _regions(shards: int):
             _, _, _, _, texts, least, anchor = Part(left).shared(_repeats_of(right))
             for b, at in _split(anchor, shards):
                 mine = [texts[i] for i in at.tolist()]
-                rows.append((b, k, anchor[at].tobytes(), at.astype("<u4").tobytes(), least[at].tobytes(), np.array([len(x) for x in mine], "<u2").tobytes(), b"".join(mine)))
-        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
-        names = ["shard", "part", "anchors", "numbers", "least", "sizes", "texts"]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], names)
+                gaps = np.diff(at, prepend=0).astype("<u4")
+                rows.append((b, k, joined(mix(anchor[at]).astype("<u4"), gaps, least[at], np.array([len(x) for x in mine], "<u2"), b"".join(mine))))
+        kinds = [pa.int32(), pa.int32(), pa.binary()]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 3, kinds, strict=True)], ["shard", "part", "regions"])
 
     return run
 
 
-def window_minima(texts: list[bytes], docs: np.ndarray, length: int = LENGTH):
-    """For every window of every text, in order, the smallest of ``docs`` (one for each text) with that window; and window counts."""
-    from codeloom.llm.suffix_array import common_prefixes, suffix_array
+def window_minima(texts: list[bytes], docs: np.ndarray, anchors: np.ndarray, length: int = LENGTH):
+    """For every window of every text, in order, the smallest of ``docs`` (one for each text) with that window; and window counts.
 
+    The windows of texts of different anchors differ, so a text that is alone with its anchor has the answer
+    in its own smallest doc_id; the others go into the suffix array.
+    """
     sizes = np.array([len(x) for x in texts], np.int64)
+    windows = np.maximum(sizes - length + 1, 0)
+    _, group, members = np.unique(anchors, return_inverse=True, return_counts=True)
+    several = np.flatnonzero(members[group] > 1)
+    least = np.repeat(docs, windows)
+    if len(several):
+        begin = np.cumsum(windows) - windows
+        n = windows[several]
+        at = np.repeat(begin[several], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        least[at] = _sorted_minima([texts[i] for i in several.tolist()], docs[several], sizes[several], n, length)
+    return least, windows
+
+
+def _sorted_minima(texts, docs, sizes, windows, length):
+    from codeloom.llm.suffix_array import common_prefixes, suffix_array
+
     raw = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
     starts = np.cumsum(sizes + 1) - (sizes + 1)
     symbols = raw.astype(np.int32) + 1
     symbols[starts + sizes] = 0
     sa = suffix_array(symbols)
     prefix = common_prefixes(np.append(raw, np.zeros(length + 8, np.uint8)), sa, length)
-    windows = np.maximum(sizes - length + 1, 0)
     owner = np.full(len(raw), -1, np.int32)
     within = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
     places = np.repeat(starts, windows) + within
     owner[places] = np.repeat(np.arange(len(texts), dtype=np.int32), windows)
-    mine = sa[owner[sa] >= 0]
-    # separators stand in the way of equal windows only between different suffixes, so neighbours of equal windows are windows
-    joined = np.empty(len(sa), bool)
-    joined[0] = False
-    joined[1:] = (prefix[sa[1:]] >= length) & (owner[sa[:-1]] >= 0)
-    joined = joined[owner[sa] >= 0]
-    cut = np.flatnonzero(~joined)
+    # suffixes between two equal windows begin with that window too, so equal windows are neighbours
+    is_window = owner[sa] >= 0
+    mine = sa[is_window]
+    joins = np.zeros(len(sa), bool)
+    joins[1:] = (prefix[sa[1:]] >= length) & is_window[:-1]
+    cut = np.flatnonzero(~joins[is_window])
     least = np.empty(len(raw), np.int64)
     if len(mine):
         low = np.minimum.reduceat(docs[owner[mine]], cut)
         least[mine] = np.repeat(low, np.diff(np.append(cut, len(mine))))
-    return least[places], windows
+    return least[places]
 
 
 def _solve(table):
     """Windows of a shard's regions that a document outside the region's part has, or a smaller one in it: runs with their smallest doc_id."""
     import pyarrow as pa
 
-    rows = [{k: np.frombuffer(r[k], t) for k, t in (("anchors", "<u8"), ("numbers", "<u4"), ("least", "<i8"), ("sizes", "<u2"))} | {"part": r["part"], "texts": r["texts"]} for r in table.to_pylist()]
+    rows = []
+    for k, blob in zip(table.column("part").to_pylist(), table.column("regions"), strict=True):
+        anchors, gaps, least, sizes, texts = parted(blob.as_py(), ["<u4", "<u4", "<i8", "<u2"])
+        rows.append({"part": k, "anchors": anchors, "numbers": np.cumsum(gaps, dtype=np.int64), "least": least, "sizes": sizes, "texts": texts})
     total = sum(len(r["texts"]) for r in rows)
     batches = max(1, -(-total // BATCH))
-    sub = [(mix(mix(r["anchors"])) >> np.uint64(24)) % np.uint64(batches) for r in rows]
+    sub = [(mix(r["anchors"].astype(np.uint64)) >> np.uint64(24)) % np.uint64(batches) for r in rows]
     out: dict[int, list] = {}
     for b in range(batches):
         number: dict[bytes, int] = {}
@@ -266,9 +303,11 @@ def _solve(table):
         if not number:
             continue
         docs = np.full(len(number), LAST, np.int64)
+        anchor = np.zeros(len(number), np.uint32)
         for (k, at), c in zip(who, content, strict=True):
             np.minimum.at(docs, c, rows[k]["least"][at])
-        least, windows = window_minima([*number], docs)
+            anchor[c] = rows[k]["anchors"][at]
+        least, windows = window_minima([*number], docs, anchor)
         begin = np.cumsum(windows) - windows
         for (k, at), c in zip(who, content, strict=True):
             n = windows[c]
@@ -281,24 +320,20 @@ def _solve(table):
             low, region, step = low[less], region[less], step[less]
             new = np.flatnonzero(np.append(True, (region[1:] != region[:-1]) | (low[1:] != low[:-1]) | (step[1:] != step[:-1] + 1)))
             end = np.append(new[1:], len(low)) - 1
-            out.setdefault(rows[k]["part"], []).append((rows[k]["numbers"][at][region[new]], step[new].astype("<u2"), (step[end] + 1).astype("<u2"), low[new]))
-    parts = [(p, *(np.concatenate(x).tobytes() for x in zip(*v, strict=True))) for p, v in out.items()]
-    kinds = [pa.int32(), *[pa.binary()] * 4]
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*parts, strict=True) if parts else [[]] * 5, kinds, strict=True)], ["part", "numbers", "begins", "ends", "docs"])
+            out.setdefault(rows[k]["part"], []).append((rows[k]["numbers"][at][region[new]].astype("<u4"), step[new].astype("<u2"), (step[end] + 1).astype("<u2"), low[new]))
+    parts = [(p, joined(*(np.concatenate(x) for x in zip(*v, strict=True)))) for p, v in out.items()]
+    kinds = [pa.int32(), pa.binary()]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*parts, strict=True) if parts else [[]] * 2, kinds, strict=True)], ["part", "answers"])
 
 
-def covered(part: Part, repeated, answers: list[dict], length: int = LENGTH) -> np.ndarray:
+def covered(part: Part, repeated, answers: list[bytes], length: int = LENGTH) -> np.ndarray:
     """Which bytes of a part go."""
     first, last, doc, content, texts, least, _ = part.shared(repeated)
-    n = last - first + 1
-    start = np.cumsum(n) - n
     # runs of windows per content: own minimum, then what the shards found
     begin, end, low, what = [], [], [], []
-    for r in answers:
-        what.append(np.frombuffer(r["numbers"], "<u4").astype(np.int64))
-        begin.append(np.frombuffer(r["begins"], "<u2").astype(np.int64))
-        end.append(np.frombuffer(r["ends"], "<u2").astype(np.int64))
-        low.append(np.frombuffer(r["docs"], "<i8"))
+    for blob in answers:
+        for to, x in zip((what, begin, end, low), parted(blob, ["<u4", "<u2", "<u2", "<i8"]), strict=False):
+            to.append(x.astype(np.int64))
     delta = np.zeros(len(part.raw) + 1, np.int32)
     over = least[content] < doc  # a smaller document of this part has the whole region
     np.add.at(delta, first[over], 1)
@@ -315,7 +350,6 @@ def covered(part: Part, repeated, answers: list[dict], length: int = LENGTH) ->
         row, at = row[take], at[take]
         np.add.at(delta, first[row] + begin[at], 1)
         np.add.at(delta, first[row] + end[at] - 1 + length, -1)
-    del start
     return np.cumsum(delta[: int(part.bounds[-1])]) > 0
 
 
@@ -327,7 +361,7 @@ def _apply(names: list[str]):
             return pa.table({"kept": pa.array([], pa.binary())})
         part = Part(left)
         rows = right.to_pylist()
-        gone = covered(part, _repeats_of(right), [r for r in rows if r["numbers"]])
+        gone = covered(part, _repeats_of(right), [r["answers"] for r in rows if r["answers"]])
         kept, spans = [], []
         for s, e in zip(part.bounds[:-1].tolist(), part.bounds[1:].tolist(), strict=True):
             g = gone[s:e]
@@ -360,12 +394,12 @@ def dedup(docs: DataFrame) -> DataFrame:
     anchors = dealt.groupBy("__part").applyInArrow(_anchors(parts), "bucket int, part int, " + blobs("ones", "more", "counts", "several"))
     repeated = anchors.groupBy("bucket").applyInArrow(_repeated, "part int, " + blobs("hashes", "hot"))
     sent = dealt.groupBy("__part").cogroup(repeated.groupBy("part")).applyInArrow(
-        _regions(parts), "shard int, part int, " + blobs("anchors", "numbers", "least", "sizes", "texts")
+        _regions(parts), "shard int, part int, regions binary"
     )
-    answers = sent.groupBy("shard").applyInArrow(_solve, "part int, " + blobs("numbers", "begins", "ends", "docs"))
+    answers = sent.groupBy("shard").applyInArrow(_solve, "part int, answers binary")
     none = F.lit(None).cast("binary")
-    told = repeated.select("part", "hashes", "hot", *[none.alias(c) for c in ("numbers", "begins", "ends", "docs")]).unionAll(
-        answers.select("part", none.alias("hashes"), none.alias("hot"), "numbers", "begins", "ends", "docs")
+    told = repeated.select("part", "hashes", "hot", none.alias("answers")).unionAll(
+        answers.select("part", none.alias("hashes"), none.alias("hot"), "answers")
     )
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType([*docs.schema.fields, T.StructField("__kept", T.BinaryType()), T.StructField("__spans", T.ArrayType(span))])
