@@ -499,3 +499,132 @@ def batch_packing(v):
 def char_code_tokens(v):
     codes = S.char_codes(F.col("text"))
     return v.table("documents").select("doc_id", F.aggregate(codes, F.lit(0).cast("long"), lambda a, x: a + x).alias("s"))
+
+
+# parsing and resolution: the documents have no code, so each stands in a small module made of its words
+
+
+def code_files(v):
+    """A Python file for each document: an import, a class with a method, and a function that calls it."""
+    word = F.regexp_replace(F.substring_index("content", " ", 1), r"[^A-Za-z]", "")
+    name = F.concat(F.lit("n"), word, F.col("doc_id").cast("string"))
+    code = F.concat(
+        F.lit("from pkg.mod import thing\n\nclass C"), name, F.lit(":\n    def run(self, x):\n        return thing(x)\n\ndef "), name, F.lit("(a, b):\n    return C"), name, F.lit("().run(a)\n")
+    )
+    return v.files.select(F.regexp_replace("file_path", r"\.[a-z]+$", ".py").alias("file_path"), F.lit("python").alias("language"), code.alias("content"))
+
+
+def parsed(v):
+    from codeloom.plans.parse.operator import parse_files
+
+    return parse_files(code_files(v))
+
+
+PY_PATH = "regexp_replace(file_path, '\\.[a-z]+$', '.py')"
+PY_NAME = "'n' || regexp_replace(split_part(content, ' ', 1), '[^A-Za-z]', '', 'g') || CAST(doc_id AS VARCHAR)"
+
+
+@query(
+    f"""SELECT file_path, name, kind, start_line, end_line, signature, container_name FROM (
+    SELECT {PY_PATH} AS file_path, 'C' || {PY_NAME} AS name, 'class' AS kind, 3 AS start_line, 5 AS end_line, 'class C' || {PY_NAME} AS signature, NULL AS container_name FROM v_files
+    UNION ALL SELECT {PY_PATH}, 'run', 'method', 4, 5, 'def run(self, x)', 'C' || {PY_NAME} FROM v_files
+    UNION ALL SELECT {PY_PATH}, {PY_NAME}, 'function', 7, 8, 'def ' || {PY_NAME} || '(a, b)', NULL FROM v_files) s""",
+    "v_files",
+)
+def parse_python(v):
+    from codeloom.plans.parse.operator import symbols_of
+
+    return symbols_of(parsed(v)).select("file_path", "name", "kind", "start_line", "end_line", "signature", "container_name")
+
+
+@query(
+    f"""SELECT file_path, kind, ref_text, start_line, "column" FROM (
+    SELECT {PY_PATH} AS file_path, 'imports' AS kind, 'from pkg.mod import thing' AS ref_text, 1 AS start_line, 0 AS "column" FROM v_files
+    UNION ALL SELECT {PY_PATH}, 'calls', 'thing(x)', 5, 15 FROM v_files
+    UNION ALL SELECT {PY_PATH}, 'calls', 'C' || {PY_NAME} || '().run(a)', 8, 11 FROM v_files
+    UNION ALL SELECT {PY_PATH}, 'calls', 'C' || {PY_NAME} || '()', 8, 11 FROM v_files) e""",
+    "v_files",
+)
+def parse_python_edges(v):
+    from codeloom.plans.parse.operator import edges_of
+
+    return edges_of(parsed(v)).select("file_path", "kind", "ref_text", "start_line", "column")
+
+
+@query(f"SELECT {PY_PATH} AS file_path, 'C' || {PY_NAME} || '()' AS ref_text, {PY_PATH} || ':C' || {PY_NAME} || ':class:3' AS target_symbol_id FROM v_files", "v_files")
+def resolve_edge_targets(v):
+    from codeloom.operators.resolve import resolve_targets
+    from codeloom.plans.parse.operator import edges_of, symbols_of
+
+    p = parsed(v)
+    done = resolve_targets(edges_of(p), symbols_of(p)).where("resolution_method = 'same_file' AND kind = 'calls'")
+    return done.where("ref_text LIKE 'C%()'").select("file_path", "ref_text", "target_symbol_id")
+
+
+@query()
+def parse_typescript(v):
+    from codeloom.plans.parse.operator import parse_files, symbols_of
+
+    word = F.regexp_replace(F.substring_index("content", " ", 1), r"[^A-Za-z]", "")
+    code = F.concat(F.lit("import { a } from './a';\nexport class K"), word, F.lit(" extends B {\n  run(x: number): void { a(x); }\n}\nexport const f = (y: string): string => a(y);\n"))
+    return symbols_of(parse_files(v.files.select("file_path", F.lit("typescript").alias("language"), code.alias("content")))).select("file_path", "name", "kind", "signature")
+
+
+@query()
+def parse_diagnostics(v):
+    from codeloom.plans.parse.operator import diagnostics_of, parse_files
+
+    code = F.concat(F.lit("def f(:\n"), F.substring("content", 1, 0))
+    return diagnostics_of(parse_files(v.files.select("file_path", F.lit("python").alias("language"), code.alias("content"))))
+
+
+@query(
+    """SELECT file_path, 'pkg.' || lang AS module, CASE WHEN lang IN ('en', 'de') THEN 'src/pkg/' || lang || '.py' WHEN lang = 'fr' THEN 'pkg/fr/__init__.py' END AS resolved_path,
+    lang NOT IN ('en', 'de', 'fr') AS is_external FROM v_files""",
+    "v_files",
+)
+def resolve_python_imports(v):
+    from codeloom.operators.resolve import resolve_python
+
+    have = ["src/pkg/en.py", "src/pkg/de.py", "src/pkg/de/__init__.py", "pkg/fr/__init__.py", "pkg/de.py"]
+    files = v.spark.createDataFrame([(p,) for p in have], "file_path string")
+    imports = v.files.select("file_path", F.concat(F.lit("pkg."), "lang").alias("module"))
+    return resolve_python(imports, files, ["src", "."]).select("file_path", "module", "resolved_path", "is_external")
+
+
+@query(
+    """SELECT file_path, '../lib/' || lang AS module, CASE WHEN lang = 'en' THEN 'src/lib/en.ts' WHEN lang = 'de' THEN 'src/lib/de/index.ts' END AS resolved_path FROM (SELECT 'src/app/' || CAST(doc_id AS VARCHAR) || '.ts' AS file_path, lang FROM v_files) f""",
+    "v_files",
+)
+def resolve_script_imports(v):
+    from codeloom.operators.resolve import resolve_script
+
+    files = v.spark.createDataFrame([("src/lib/en.ts",), ("src/lib/de/index.ts",), ("src/lib/en.js",)], "file_path string")
+    imports = v.files.select(F.concat(F.lit("src/app/"), F.col("doc_id").cast("string"), F.lit(".ts")).alias("file_path"), F.concat(F.lit("../lib/"), "lang").alias("module"))
+    return resolve_script(imports, files).select("file_path", "module", "resolved_path")
+
+
+# streams, and the batch forms that they must equal
+
+
+@query("SELECT session_id, tool, count(*) AS calls, CAST(sum(naive_tokens) AS BIGINT) AS naive_tokens, CAST(sum(actual_tokens) AS BIGINT) AS actual_tokens, CAST(sum(greatest(0, naive_tokens - actual_tokens)) AS BIGINT) AS running_saved FROM v_calls GROUP BY session_id, tool", "v_calls")
+def metrics_running(v):
+    from codeloom.streaming.metrics import running_metrics
+
+    return running_metrics(v.calls)
+
+
+@query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, tool, count(*) AS calls, CAST(sum(greatest(0, naive_tokens - actual_tokens)) AS BIGINT) AS saved FROM v_calls GROUP BY ALL", "v_calls")
+def metrics_daily(v):
+    from codeloom.streaming.metrics import windowed_metrics
+
+    return windowed_metrics(v.calls).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("SELECT language AS partition, count(*) AS files, count(*) FILTER (WHERE parse_status = 'error') AS failed FROM v_manifest GROUP BY language", "v_manifest")
+def partition_progress(v):
+    state = F.when(F.col("parse_status") == "error", "failed").otherwise("done")
+    row = stats.partition_progress(v.manifest.select(F.col("language").alias("partition"), state.alias("state")))
+    by = v.manifest.groupBy(F.col("language").alias("partition")).agg(F.count_if(F.col("parse_status") == "error").alias("failed"))
+    totals = row.select(F.explode("partition_files_total").alias("partition", "files"))
+    return totals.join(by, "partition").select("partition", F.col("files").cast("long").alias("files"), "failed")
