@@ -38,7 +38,7 @@ def byte_chars() -> list[str]:
 class Bpe:
     """Encoder and decoder of one tokenizer file, with a bounded cache of words."""
 
-    CACHE = 1 << 20
+    CACHE = 1 << 21
 
     def __init__(self, path: str, cache: int = CACHE):
         with open(path, encoding="utf-8") as f:
@@ -66,6 +66,7 @@ class Bpe:
         order = np.argsort(key, kind="stable")
         self.keys, self.rank, self.into = key[order], order.astype(np.int64), into
         self.words: dict[str, bytes] = {}
+        self._empty()
         #: The pattern never matches white space, so any white space bounds words; else a lone space or line feed between other characters does.
         self.drops_space = spec["pre_tokenizer"]["type"] == "Sequence" and not self.pattern.search(" \n\t\u00a0\u3000")
         self.odd = regex.compile("[\x1c-\x1f]").search  # Python's split() takes these for white space
@@ -109,8 +110,14 @@ class Bpe:
         inner = SPACES[1:-1]
         return regex.compile(regex.sub(r"\[\^\\s", lambda _: "[^" + inner, found).replace(r"\s", SPACES).replace(r"\S", NOT_SPACES))
 
-    def merge_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word (a match of the split pattern)."""
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs, by binary search in the sorted keys; the number of merges for pairs that never merge."""
+        key = (a << 32) | b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.rank[at], len(self.keys))
+
+    def merge_words(self, words: list[str]) -> list[bytes]:
+        """Ids, as little-endian uint32, of each word (a match of the split pattern)."""
         raw = [w.encode() for w in words]
         size = np.array([len(r) for r in raw], np.int64)
         flat = np.frombuffer(b"".join(raw), np.uint8)
@@ -118,47 +125,55 @@ class Bpe:
         ends = np.cumsum(size)
         sym[ends - 1] = self.last[flat[ends - 1]]
         word = np.repeat(np.arange(len(words)), size)
-        none = np.iinfo(np.int64).max
+        none = len(self.keys)
+        rank = np.append(self.ranks(sym[:-1], sym[1:]), none)
+        rank[ends - 1] = none
         done_sym, done_word = [], []
         while len(sym):
-            key = (sym[:-1] << 32) | sym[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            rank = np.where((self.keys[at] == key) & (word[:-1] == word[1:]), self.rank[at], none)
-            rank = np.append(rank, none)
             begin = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             best = np.minimum.reduceat(rank, begin)
             length = np.diff(np.append(begin, len(sym)))
             mine = np.repeat(best, length)
-            if (still := best < none).sum() < len(best):  # words that are ready leave the array
+            if not (still := best < none).all():  # words that are ready leave the array
                 over = ~np.repeat(still, length)
                 done_sym.append(sym[over])
                 done_word.append(word[over])
                 sym, word, rank, mine = sym[~over], word[~over], rank[~over], mine[~over]
                 if not len(sym):
                     break
-            hit = rank == mine
-            p = np.flatnonzero(hit)
+            p = np.flatnonzero(rank == mine)
             # of hits side by side (a run of one symbol) every second one, from the left
-            run = np.cumsum(np.append(True, np.diff(p) != 1)) - 1
             first = np.flatnonzero(np.append(True, np.diff(p) != 1))
-            p = p[(np.arange(len(p)) - first[run]) % 2 == 0]
+            run = np.repeat(first, np.diff(np.append(first, len(p))))
+            p = p[(np.arange(len(p)) - run) % 2 == 0]
             sym[p] = self.into[rank[p]]
             keep = np.ones(len(sym), bool)
             keep[p + 1] = False
-            sym, word = sym[keep], word[keep]
+            rank[p] = rank[p + 1]  # only to know where a word ends
+            last = np.append(word[1:] != word[:-1], True)[p + 1]
+            sym, word, rank = sym[keep], word[keep], rank[keep]
+            p -= np.arange(len(p))
+            rank[p[last]] = none
+            right, left = p[~last], p[(p > 0) & (word[p - 1] == word[p])] - 1
+            rank[right] = self.ranks(sym[right], sym[right + 1])
+            rank[left] = self.ranks(sym[left], sym[left + 1])
         sym, word = np.concatenate(done_sym), np.concatenate(done_word)
         order = np.argsort(word, kind="stable")
-        sym, bounds = sym[order], np.cumsum(np.bincount(word, minlength=len(words)))[:-1]
-        return [x.tolist() for x in np.split(sym, bounds)]
+        flat, bounds = sym[order].astype("<u4").tobytes(), (4 * np.cumsum(np.bincount(word, minlength=len(words)))).tolist()
+        return [flat[a:b] for a, b in zip([0, *bounds], bounds, strict=False)]
+
+    def _empty(self) -> None:
+        self.words.clear()
+        self.words.update((t, np.array([i], "<u4").tobytes()) for t, i in self.special.items())
 
     def _learn(self, chunks: set[str]) -> None:
         """Puts the ids of new chunks, as bytes, into the cache."""
-        if len(self.words) + len(chunks) > self.cache_size:
-            self.words.clear()
+        known = self.words
         split = [(c, self.pattern.findall(c)) for c in chunks]
-        new = [*{w for _, p in split for w in p}]
-        ids = dict(zip(new, (np.array(x, "<u4").tobytes() for x in self.merge_words(new)), strict=True)) if new else {}
-        self.words.update((c, b"".join([ids[w] for w in p])) for c, p in split)
+        new = [*{w for _, p in split for w in p if w not in known}]
+        if new:
+            known.update(zip(new, self.merge_words(new), strict=True))
+        known.update([(c, b"".join([known[w] for w in p])) for c, p in split])
 
     def chunks(self, text: str) -> list[str]:
         """Pieces of a normalized text, cut where the split pattern surely has a boundary."""
@@ -168,44 +183,40 @@ class Bpe:
             return self.pattern.findall(text)
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
+    def normalized(self, text: str) -> str:
+        for f in self.steps:
+            text = f(text)
+        return text
+
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian uint32; chunks new to the cache are encoded together."""
-        parts: list[list] = []
+        if len(self.words) > self.cache_size:
+            self._empty()
+        parts: list[list[str]] = []
+        found: list[list[bytes | None]] = []
+        missing: list[tuple[list, int, str]] = []
+        new: set[str] = set()
+        get = self.words.get
         for t in texts:
             if not t:
                 parts.append([])
-                continue
-            pieces = self.cut.split(t) if self.cut and any(s in t for s in self.special) else [t]
-            if len(pieces) == 1:
-                for f in self.steps:
-                    t = f(t)
-                parts.append(self.chunks(t))
-                continue
-            found = []
-            for piece in pieces:
-                if piece in self.special:
-                    found.append(np.array([self.special[piece]], "<u4").tobytes())
-                    continue
-                for f in self.steps:
-                    piece = f(piece)
-                found += self.chunks(piece)
-            parts.append(found)
-        known = self.words
-        if new := {w for p in parts for w in p if w not in known and w.__class__ is str}:
-            had = len(known)
+            elif self.cut and any(s in t for s in self.special):
+                # a special token is its own key in the cache; no other chunk can hold its text
+                parts.append([x for piece in self.cut.split(t) for x in ([piece] if piece in self.special else self.chunks(self.normalized(piece)))])
+            else:
+                parts.append(self.chunks(self.normalized(t)))
+            part, have = parts[-1], [*map(get, parts[-1])]
+            at = -1
+            for _ in range(have.count(None)):
+                at = have.index(None, at + 1)
+                new.add(part[at])
+                missing.append((have, at, part[at]))
+            found.append(have)
+        if new:
             self._learn(new)
-            if len(known) < had + len(new) and (new := {w for p in parts for w in p if w not in known and w.__class__ is str}):
-                self._learn(new)  # the cache was emptied
-                return self._lookup(parts) if all(w in known for p in parts for w in p if w.__class__ is str) else [self._lookup_cold(p) for p in parts]
-        return self._lookup(parts)
-
-    def _lookup(self, parts: list[list]) -> list[bytes]:
-        get = self.words.__getitem__
-        return [b"".join(map(get, p)) if bytes not in map(type, p) else b"".join([w if w.__class__ is bytes else get(w) for w in p]) for p in parts]
-
-    def _lookup_cold(self, part: list) -> bytes:
-        self._learn({w for w in part if w.__class__ is str and w not in self.words})
-        return self._lookup([part])[0]
+        for have, at, chunk in missing:
+            have[at] = get(chunk)
+        return [*map(b"".join, found)]
 
     def decode(self, ids: bytes) -> str:
         """As the library: tokens joined by a space, or by the byte-level decoder where the file names one."""
