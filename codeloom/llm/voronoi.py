@@ -4,8 +4,9 @@ Data and queries are grouped by their nearest pivot. A cell's summary (rows, lar
 pivot) bounds the inner products of a group of queries with all of its rows: for query q near pivot p_i
 and row x near p_j, q.x lies within R_i |p_j| + (|p_i| + R_i) r_j of p_i.p_j. The cells of the highest
 lower bounds that hold k rows give a score that each query of the group surely reaches; a cell whose upper
-bound is below it is not sent to the group. What is sent is dealt in blocks, solved locally by matrix
-products, and the blocks' best are merged.
+bound is below it is not sent to the group. What is sent is dealt in blocks, and a group of over
+``QUERIES`` queries in parts, so that a dense cell fills no task; blocks are solved by matrix products and
+their best are merged. Pivots and summaries are bounded: at most ``MOST_PIVOTS``.
 
 Defined results: vectors that are null, hold a null or non-finite component or have a null id take no part;
 a shorter vector counts as padded with zeros; a query's own row is every row with its id; equal scores go
@@ -18,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PIVOTS, QUERIES, BLOCK = 16, 8192, 16384
+PIVOTS, MOST_PIVOTS, QUERIES, BLOCK = 16, 256, 4096, 16384
 
 
 def scaled(vectors: DataFrame, factor: float) -> DataFrame:
@@ -80,12 +81,12 @@ def top_k(vectors: DataFrame, k: int = 10, factor: float = 1024.0, every: int =
     spark = vectors.sparkSession
     data = cut(scaled(vectors, factor))
     n, dim, nq = data.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0)), F.count_if(F.col("vec_id") % every == 0)).first()
-    wanted = max(PIVOTS, -(-nq // QUERIES))
+    wanted = min(MOST_PIVOTS, max(PIVOTS, -(-nq // QUERIES)))
     rows = data.orderBy(F.xxhash64(F.lit("pivot"), "vec_id"), "vec_id").limit(wanted).collect()
     pivots = np.zeros((max(1, len(rows)), dim), np.int64)
     for i, row in enumerate(rows):
         pivots[i, : len(row.v)] = row.v
-    shared = spark.sparkContext.broadcast(pivots)  # PIVOTS vectors, or one for QUERIES queries
+    shared = spark.sparkContext.broadcast(pivots)  # at most MOST_PIVOTS vectors
 
     def assign(batches):
         p = shared.value.astype(np.float64)
@@ -99,14 +100,20 @@ def top_k(vectors: DataFrame, k: int = 10, factor: float = 1024.0, every: int =
     kind = data.schema["vec_id"].dataType.simpleString()
     celled = cut(data.mapInArrow(assign, f"vec_id {kind}, v array<long>, cell int, far double"))
     is_query = F.col("vec_id") % every == 0
-    summary = celled.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("r"), F.max(F.when(is_query, F.col("far"))).alias("q")).collect()
+    summary = celled.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("r"), F.max(F.when(is_query, F.col("far"))).alias("q"), F.count_if(is_query).alias("asks")).collect()
     need = replicas(pivots, {s.cell: (s.n, s.r) for s in summary}, {s.cell: s.q for s in summary if s.q is not None}, k)
     blocks = max(1, -(-n // BLOCK))
-    targets = [x for j, groups in need.items() if groups for x in (F.lit(j), F.array(*map(F.lit, groups)))]
-    to = F.create_map(*targets)[F.col("cell")] if targets else F.array().cast("array<int>")
-    block = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
-    sent = celled.select("vec_id", "v", block.alias("block"), F.explode(to).alias("group"))
-    asked = celled.where(is_query).select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.col("cell").alias("group"))
+    parts = {s.cell: max(1, -(-s.asks // QUERIES)) for s in summary}
+    per_cell = lambda values: F.create_map(*[x for j, v in values.items() for x in (F.lit(j), v)])[F.col("cell")]
+    targets = {j: F.array(*map(F.lit, groups)) for j, groups in need.items() if groups}
+    to = per_cell(targets) if targets else F.array().cast("array<int>")
+    in_part = F.map_from_entries(F.array(*[F.struct(F.lit(j), F.lit(n)) for j, n in parts.items()])) if parts else F.lit(None).cast("map<int,int>")
+    spread = F.xxhash64("vec_id", F.monotonically_increasing_id())
+    sent = celled.select("vec_id", "v", F.pmod(spread, F.lit(blocks)).cast("int").alias("block"), F.explode(to).alias("group"))
+    sent = sent.select("*", F.explode(F.sequence(F.lit(0), in_part[F.col("group")] - 1)).alias("part"))
+    asked = celled.where(is_query).select(
+        "vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.col("cell").alias("group"), F.pmod(spread, in_part[F.col("cell")]).cast("int").alias("part")
+    )
 
     def solve(left, right):
         ids, rank, found, score = [], [], [], []
@@ -133,7 +140,7 @@ def top_k(vectors: DataFrame, k: int = 10, factor: float = 1024.0, every: int =
         t = left.schema.field("vec_id").type
         return pa.table([pa.array(ids, t), pa.array(found, t), pa.array(score, pa.int64())], ["query_id", "vec_id", "score"])
 
-    best = asked.groupBy("group", "block").cogroup(sent.groupBy("group", "block")).applyInArrow(solve, f"query_id {kind}, vec_id {kind}, score long")
+    best = asked.groupBy("group", "part", "block").cogroup(sent.groupBy("group", "part", "block")).applyInArrow(solve, f"query_id {kind}, vec_id {kind}, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -272,7 +272,10 @@ def test_sharding(spark):
     assert sharding.assign(docs_of(spark, []).drop("shard")).count() == 0
 
 
-def test_voronoi(spark):
+@pytest.mark.parametrize("queries, block", [(4096, 16384), (2, 50)])
+def test_voronoi(spark, monkeypatch, queries, block):
+    monkeypatch.setattr(voronoi, "QUERIES", queries)
+    monkeypatch.setattr(voronoi, "BLOCK", block)
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(5, 6))
     rows = [(i, (centres[i % 5] + rng.normal(size=6) * 0.05).tolist()) for i in range(400)]
