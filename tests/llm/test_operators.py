@@ -120,6 +120,15 @@ def test_simhash(spark, cell, monkeypatch):
     assert found == {(i, signed(fps[t]), least.get(find(fps[t]))) for i, t in rows}
 
 
+def test_empty_tables(spark):
+    assert suffix_dedup.dedup(docs_of(spark, [])).count() == 0
+    assert simhash.classes(docs_of(spark, [])).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    only_nulls = [(None, None), (None, None)]
+    assert [r.component_id for r in simhash.classes(docs_of(spark, only_nulls)).collect()] == [None, None]
+    assert [len(r["__kept"]) for r in suffix_dedup.dedup(docs_of(spark, only_nulls)).collect()] == [0, 0]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, k) for k in range(101, 140)] + [(200, 201), (201, 200), (7, 7)]
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -317,6 +326,25 @@ def test_chat_attachments(spark):
     assert r.attachment_tokens == 2102
 
 
+def test_pipeline_on_odd_rows(spark):
+    import corpus_pipeline
+
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, text), (1, text), (2, text), (None, None), (None, "x y z"), (3, ""), (4, "é" * 60 + "a"), (5, "é" * 60 + "b")]
+    for given in (rows, []):
+        docs = spark.createDataFrame([(i, t, None, None, None) for i, t in given], "doc_id long, text string, lang string, source string, n_chars long")
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            docs = stage(spark, docs, SF)
+            if k + 1 < len(corpus_pipeline.STAGES):
+                docs = spark.createDataFrame(docs.collect(), docs.schema)
+        assert docs.count() > 0 if given else docs.count() == 0
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {(r.doc_id, r.text) for r in corpus_pipeline.one_of_near_copies(spark, docs, SF).collect()}
+    assert kept == {(1, text), (None, "x y z"), (3, ""), *rows[6:]}
+    cut = {r.doc_id: r.text for r in corpus_pipeline.cut_repeats(spark, docs, SF).collect()}
+    assert cut[2] == "" and cut[4] == rows[6][1] and cut[5] == "b" and cut[3] == ""
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
