@@ -7,8 +7,8 @@ diagonal make a candidate, which is aligned with the template inside a band; wha
 ``COVERAGE`` of the template's words is reported with its span in the document.
 
 Defined results: a null or empty text, or one with fewer words than a gram, has no findings; a template that
-occurs several times is reported for each; of overlapping findings of one template the better stays; repeated
-rows have findings of their own. The index is broadcast: its size is that of the templates, at most
+occurs several times is reported for each; of overlapping findings the one of more matched words stays, then of
+higher coverage, then the first; repeated rows have findings of their own. The index is broadcast: its size is that of the templates, at most
 ``TEMPLATE_WORDS`` words, which is checked.
 """
 
@@ -128,10 +128,10 @@ class Index:
             matched, first, last = self.align(t, ids, d)
             if matched >= COVERAGE * len(self.words[t]):
                 found.append((matched, t, first, last))
-        found.sort(key=lambda x: (-x[0], x[2], x[1]))
+        found.sort(key=lambda x: (-x[0], len(self.words[x[1]]), x[2], x[1]))
         taken: list[tuple] = []
         for f in found:
-            if all(f[1] != g[1] or f[3] < g[2] or f[2] > g[3] for g in taken):
+            if all(f[3] < g[2] or f[2] > g[3] for g in taken):
                 taken.append(f)
         if not taken:
             return []
