@@ -156,6 +156,16 @@ class Progress:
                 s["errors"] = [*s["errors"], f"{path}: {error}"][-self.ERRORS :]
             self._save()
 
+    def partitions_done(self, counts: dict[str, tuple[int, int]], errors: list[str] = ()):
+        """Files done and failed of each partition, as a job counted them."""
+        done = {p: d + f for p, (d, f) in counts.items()}
+        with self._lock:
+            total = self._now()["partition_files_total"]
+            self._set(
+                partition_files_done=done, files_done=sum(d for d, _ in counts.values()), files_failed=sum(f for _, f in counts.values()),
+                partitions_done=sum(done.get(p, 0) >= n for p, n in total.items()), errors=[*self._now()["errors"], *errors][-self.ERRORS :],
+            )
+
     def complete(self):
         self._set(state="completed")
         self.active = None

@@ -46,6 +46,8 @@ def test_index_query_and_reindex(spark, repo, capsys):
     assert (out["generation"], out["files_indexed"], out["files_failed"]) == (1, 5, 0)
     store = cli.open_store(spark, repo, load_config(repo))
     server = api.Server(spark, repo, store)
+    s = metrics.Progress.read(os.path.join(repo, ".codeloom", "progress.json"))
+    assert (s["state"], s["files_total"], s["files_done"], s["partitions_done"], s["partition_files_total"]) == ("completed", 5, 5, 2, {".": 4, "pkg": 1})
     assert {r.file_path for r in store.read("manifest").collect()} == {"main.py", "utils.py", "pkg/__init__.py", "server.ts", "bad.py"}
     found = server.call("get_symbols", {"name_pattern": "calc"})
     assert [s["name"] for s in found["symbols"]] == ["Calculator"] and found["_meta"]["generation"] == 1 and not found["_meta"]["stale"]
@@ -146,6 +148,17 @@ def test_progress(tmp_path):
     assert p.snapshot()["state"] == "completed" and p.active is None and "completed" in metrics.progress_line(p.snapshot())
 
 
+def test_log(tmp_path):
+    from codeloom.sources import log
+    from codeloom.sources.config import Server
+
+    for _ in range(2):
+        logger = log.setup(str(tmp_path), Server(log_file="x.log", log_level="debug"), "codeloom.test")
+    logger.debug("hello %s", "there", extra={"files": 3})
+    lines = [json.loads(x) for x in (tmp_path / "x.log").read_text().splitlines()]
+    assert len(lines) == 1 and lines[0]["message"] == "hello there" and lines[0]["files"] == 3 and lines[0]["level"] == "debug"
+
+
 def test_session(tmp_path):
     s = metrics.Session(str(tmp_path))
     for naive, actual in ((5000, 800), (3000, 400), (4000, 600)):
