@@ -65,8 +65,10 @@ def likeness(a: Column, b: Column) -> Column:
     return both.otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), estimate)))
 
 
-def with_next(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``df(doc_id, text, ...)`` with ``__next_<column>`` of the next document by descending doc_id; after the last comes the first.
+def with_next(df: DataFrame, columns: list[str], derive=lambda d: d) -> DataFrame:
+    """``df(doc_id, text, ...)``, derived, with ``__next_<column>`` of the next document by descending doc_id; after the last comes the first.
+
+    ``derive`` adds columns to rows one by one; it is applied once to every row, and to the first rows of the ranges.
 
     Documents are dealt to ranges of doc_id, each sorted on its own; only the first document of each range
     is looked up from the range above it.
@@ -85,20 +87,21 @@ def with_next(df: DataFrame, columns: list[str]) -> DataFrame:
 
     dealt = df.withColumn("__range", F.when(F.col("doc_id").isNull(), -1).otherwise(find(0, len(cuts))))
     order = Window.partitionBy("__range").orderBy(F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
-    rows = dealt.select("*", *[F.lead(c).over(order).alias(f"__lead_{c}") for c in columns], F.lead(F.lit(True)).over(order).alias("__more"), F.row_number().over(order).alias("__k"))
-    heads = dealt.select("__range", *columns, F.row_number().over(order).alias("__k")).where("__k = 1").drop("__k")
+    full = derive(dealt)
+    rows = full.select("*", *[F.lead(c).over(order).alias(f"__lead_{c}") for c in columns], F.lead(F.lit(True)).over(order).alias("__more"), F.row_number().over(order).alias("__k"))
+    heads = derive(dealt.withColumn("__k", F.row_number().over(order)).where("__k = 1").drop("__k"))
     all_heads = Window.orderBy(F.col("__range").desc())  # one row of each range: as many as ranges
     after = heads.select("__range", F.struct(*columns).alias("h"))
     after = after.select("__range", F.coalesce(F.lead("h").over(all_heads), F.first("h").over(all_heads)).alias("h"))
     joined = rows.join(after, "__range", "left")
-    return joined.select(*df.columns, *[F.when(F.col("__more"), F.col(f"__lead_{c}")).otherwise(F.col("h")[c]).alias(f"__next_{c}") for c in columns])
+    return joined.select(*[c for c in full.columns if c != "__range"], *[F.when(F.col("__more"), F.col(f"__lead_{c}")).otherwise(F.col("h")[c]).alias(f"__next_{c}") for c in columns])
 
 
 def op4_minhash(spark, sf_dir):
     from codeloom.llm.common import table
 
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(with_signature(docs, "text", "sig"), ["text", "sig"])
+    rows = with_next(docs, ["text", "sig"], lambda d: with_signature(d, "text", "sig"))
     third = F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), F.length("text") - third), F.substr("__next_text", F.lit(1), third))
     rows = with_signature(rows.withColumn("edited", edited), "edited", "edited_sig")
