@@ -16,6 +16,7 @@ label, are not fitted on; without usable labels of both classes every score is 0
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -24,6 +25,10 @@ from pyspark.sql import types as T
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 8, (1, 2, 3), 8
 SAMPLE, EPOCHS, SEED = 2000, 4, 7
+#: Longest text, in characters, to fit on; longer ones are scored like any other.
+LONGEST = 200_000
+#: Standard deviations from chance that count as certain.
+ZMAX = 10.0
 TRIM = re.compile(r"^\W+|\W+$")
 
 
@@ -41,19 +46,26 @@ class Words:
     """Words to row numbers of a growing table of their features; emptied when full."""
 
     def __init__(self, most: int = 1 << 18):
-        self.most, self.rows, self.feats = most, {"": 0}, [[0, 0, 0]]
+        self.most = most
+        self.reset()
+
+    def reset(self) -> None:
+        self.rows, self._feats = {"": 0}, array("i", [0, 0, 0])
 
     def numbers(self, words: list[str]) -> np.ndarray:
         rows = self.rows
         for w in {w for w in words if w not in rows}:
-            rows[w] = len(self.feats)
-            self.feats.append(features(w))
+            rows[w] = len(rows)
+            self._feats.extend(features(w))
         return np.fromiter(map(rows.__getitem__, words), np.int32, len(words))
 
-    def reset_if_full(self) -> bool:
-        if full := len(self.feats) > self.most:
-            self.rows, self.feats = {"": 0}, [[0, 0, 0]]
-        return full
+    def feats(self) -> np.ndarray:
+        """Three bucket numbers of each row."""
+        return np.array(self._feats, np.int32).reshape(-1, 3)
+
+    def reset_if_full(self) -> None:
+        if len(self.rows) > self.most:
+            self.reset()
 
 
 def laid_out(texts: list[str | None], table: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +115,7 @@ class Cnn:
         for b, e in blocks(texts, 1 << 18):
             ids, starts = laid_out(texts[b:e], table)
             local, ids = np.unique(ids, return_inverse=True)
-            vectors = self.emb[np.array(table.feats, np.int32)[local] if len(local) * 4 > len(table.feats) else np.array([table.feats[i] for i in local.tolist()], np.int32)].sum(1)
+            vectors = self.emb[table.feats()[local]].sum(1)
             out.append(self.pooled(ids.astype(np.int32), starts, vectors)[0] @ self.out)
             table.reset_if_full()
         return np.concatenate(out) + self.shift if out else np.zeros(0)
@@ -124,14 +136,15 @@ def fit(texts: list[str | None], labels: np.ndarray, langs: list[str | None], ep
     for t in texts:
         ids, _ = laid_out([t], table)
         per_text.append(ids)
-    feats = np.array(table.feats, np.int32)
-    # first coordinate: smoothed log-odds of a bucket's presence, as a start
+    feats = table.feats()
+    # first coordinate: how far a bucket's presence in toxic texts is from what chance gives, as a start
     seen = np.zeros((2, BUCKETS), np.float32)
     for i in rows.tolist():
         seen[int(labels[i]), np.unique(feats[per_text[i]])] += 1
-    n1, n0 = labels[rows].sum(), (1 - labels[rows]).sum()
-    odds = np.log((seen[1] + 0.1) / (n1 + 0.2)) - np.log((seen[0] + 0.1) / (n0 + 0.2))
-    model.emb[:, 0] = np.clip(odds, -3, 3) / 3 * (seen.sum(0) >= 3)
+    rate = labels[rows].mean()
+    expected = seen.sum(0) * rate
+    z = (seen[1] - expected) / np.sqrt(expected * (1 - rate) + 1)
+    model.emb[:, 0] = np.clip(z / ZMAX, -1, 1)
     model.emb[0] = 0
     for w in WIDTHS:
         model.filters[w][:, 0, :] = np.abs(model.filters[w][:, 0, :]) + 0.5 / w
@@ -212,7 +225,7 @@ def cutoff(z: np.ndarray, y: np.ndarray) -> float:
 
 
 def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
-    """Labelled rows to fit on, on the driver: at most ``sample`` of each class, remainder of crc32 not 0."""
+    """Labelled rows to fit on, on the driver: at most ``sample`` of each class, none over ``LONGEST``; remainder of crc32 not 0."""
     usable = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1) AND crc32(cast(doc_id AS string)) % 5 <> 0")
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64(F.lit("fit"), "doc_id"), "doc_id"]
@@ -221,7 +234,9 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
         return [], np.zeros(0), []
     chosen = docs.sparkSession.createDataFrame(ids, usable.schema)  # at most 2 * sample rows of two numbers
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    rows = docs.select("doc_id", "text", lang.alias("lang")).join(F.broadcast(chosen), "doc_id").collect()
+    short = docs.select("doc_id", "text", lang.alias("lang")).where(F.coalesce(F.length("text"), F.lit(0)) <= LONGEST)
+    # of repeated rows the least, so that the rows collected are as many as the ids
+    rows = short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct("text", "lang")).alias("r")).select("doc_id", "toxic", "r.*").collect()
     rows.sort(key=lambda r: (r.doc_id % 1000003 * 7919 % 1000003, r.doc_id, r.text or ""))
     return [r.text for r in rows], np.array([r.toxic for r in rows]), [r.lang for r in rows]
 
@@ -235,12 +250,13 @@ def score(docs: DataFrame, model: Cnn, thresholds: dict) -> DataFrame:
     """``docs`` with its columns, score (0 to 1) and threshold (its language's)."""
     import pyarrow as pa
 
+    from codeloom.llm.common import held
+
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # a fixed size: buckets times dimensions
-    table: dict = {}
 
     def run(batches):
-        words = table.setdefault("words", Words())
+        words = held("toxicity words", Words)
         for b in batches:
             z = shared.value.logits(b.column("__text").to_pylist(), words)
             s = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
