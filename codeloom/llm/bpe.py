@@ -15,7 +15,6 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 import regex
@@ -36,9 +35,12 @@ def byte_chars() -> list[str]:
 
 
 class Bpe:
-    """Encoder and decoder of one tokenizer file, with a bounded cache of words."""
+    """Encoder and decoder of one tokenizer file.
 
-    CACHE = 1 << 21
+    The cache holds the words of two spans of input: when the newer fills up, it becomes the older, which is dropped.
+    """
+
+    CACHE = 1 << 20
 
     def __init__(self, path: str, cache: int = CACHE):
         with open(path, encoding="utf-8") as f:
@@ -66,6 +68,7 @@ class Bpe:
         order = np.argsort(key, kind="stable")
         self.keys, self.rank, self.into = key[order], order.astype(np.int64), into
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self._empty()
         #: The pattern never matches white space, so any white space bounds words; else a lone space or line feed between other characters does.
         self.drops_space = spec["pre_tokenizer"]["type"] == "Sequence" and not self.pattern.search(" \n\t\u00a0\u3000")
@@ -163,16 +166,21 @@ class Bpe:
         return [flat[a:b] for a, b in zip([0, *bounds], bounds, strict=False)]
 
     def _empty(self) -> None:
-        self.words.clear()
-        self.words.update((t, np.array([i], "<u4").tobytes()) for t, i in self.special.items())
+        self.words = dict((t, np.array([i], "<u4").tobytes()) for t, i in self.special.items())
 
     def _learn(self, chunks: set[str]) -> None:
         """Puts the ids of new chunks, as bytes, into the cache."""
-        known = self.words
-        split = [(c, self.pattern.findall(c)) for c in chunks]
-        new = [*{w for _, p in split for w in p if w not in known}]
-        if new:
-            known.update(zip(new, self.merge_words(new), strict=True))
+        known, older = self.words, self.older
+        if older:
+            known.update([(c, older[c]) for c in chunks if c in older])
+            chunks = [c for c in chunks if c not in known]
+        whole, mixed = [], []  # letters, with or without a space before them, are one word
+        for c in chunks:
+            (whole if (c[1:] if c[:1] == " " else c).isalpha() else mixed).append(c)
+        split = [(c, self.pattern.findall(c)) for c in mixed]
+        whole += {w for _, p in split for w in p if w not in known}.difference(whole)
+        if whole:
+            known.update(zip(whole, self.merge_words(whole), strict=True))
         known.update([(c, b"".join([known[w] for w in p])) for c, p in split])
 
     def chunks(self, text: str) -> list[str]:
@@ -191,6 +199,7 @@ class Bpe:
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian uint32; chunks new to the cache are encoded together."""
         if len(self.words) > self.cache_size:
+            self.older = self.words  # what is used again comes back from there
             self._empty()
         parts: list[list[str]] = []
         found: list[list[bytes | None]] = []
@@ -215,7 +224,7 @@ class Bpe:
         if new:
             self._learn(new)
         for have, at, chunk in missing:
-            have[at] = get(chunk)
+            have[at] = get(chunk)  # the dictionary that get belongs to is the current one until the next call
         return [*map(b"".join, found)]
 
     def decode(self, ids: bytes) -> str:
@@ -226,10 +235,11 @@ class Bpe:
         return bytes(self.bytes_of[c] for t in tokens for c in t).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=4)
-def load(path: str) -> Bpe:
-    """One encoder for each file and worker process."""
-    return Bpe(path)
+def load(path: str, cache: int = Bpe.CACHE) -> Bpe:
+    """The worker process's encoder of a file. cache: words in a span of its cache, about 100 bytes each and two spans."""
+    from codeloom.llm.common import held
+
+    return held(("bpe", path, cache), lambda: Bpe(path, cache))
 
 
 def blocks(texts: list, size: int = 1 << 20):

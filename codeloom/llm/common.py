@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +32,27 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_HELD: dict = {}
+
+
+def held(key, make):
+    """What a worker process keeps from task to task under ``key``; it keeps one thing, so another key drops the one before."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+        tidy()
+    return _HELD[key]
+
+
+def tidy() -> None:
+    """Gives freed memory of a worker process back to the system, where its C library can."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """Connected components of undirected ``edges(a, b)``: ``node``, ``root`` (the smallest node reachable).
 

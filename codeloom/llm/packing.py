@@ -22,6 +22,8 @@ import zlib
 
 import numpy as np
 
+from codeloom.llm.bpe import Bpe, blocks, load
+
 LENGTH = 2048
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 BLOCK = 1 << 22
@@ -52,7 +54,7 @@ def assign(sizes: np.ndarray, length: int = LENGTH, linear: float = LINEAR, quad
     return pieces
 
 
-def pack(docs, tokenizer: str, end_id: int = 1, length: int = LENGTH, block: int = BLOCK, with_ids: bool = False):
+def pack(docs, tokenizer: str, end_id: int = 1, length: int = LENGTH, block: int = BLOCK, with_ids: bool = False, cache: int = Bpe.CACHE):
     """``docs(doc_id, text)`` to one row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids)."""
     import pyarrow as pa
 
@@ -62,9 +64,7 @@ def pack(docs, tokenizer: str, end_id: int = 1, length: int = LENGTH, block: int
     def run(batches):
         from pyspark import TaskContext
 
-        from codeloom.llm.bpe import blocks, load
-
-        bpe, end = load(tokenizer), np.array([end_id], "<u4").tobytes()
+        bpe, end = load(tokenizer, cache), np.array([end_id], "<u4").tobytes()
         names: list = []
         coded: list[bytes] = []
         held, at = 0, TaskContext.get().partitionId() << 32
