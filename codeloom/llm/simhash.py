@@ -54,7 +54,10 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, a hash of the text, and the fingerprint as a signed long, one row per document."""
     import pyarrow as pa
 
+    from codeloom.llm.common import held
+
     def run(batches):
+        held(None, dict)  # other operators' caches go
         for b in batches:
             fp = np.array([fingerprint(t, words) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(fp)], ["doc_id", "text_hash", "fp"])

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LENGTH, GRAM = 50, 16
-PART_BYTES, BATCH, HOT = 8 << 20, 2 << 20, 2048
+PART_BYTES, BATCH, HOT = 8 << 20, 1 << 20, 2048
 LAST = np.iinfo(np.int64).max
 
 
@@ -161,7 +161,10 @@ def _anchors(buckets: int):
     """A part's anchors by bucket: hashes of those that occur once, and hash, count and several documents or not for the rest."""
     import pyarrow as pa
 
+    from codeloom.llm.common import held
+
     def run(table):
+        held(None, dict)  # other operators' caches go
         part = Part(table)
         k = table.column("__part")[0].as_py()
         order = np.argsort(part.hash, kind="stable")
@@ -209,7 +212,7 @@ def _repeated(table):
 
 def _repeats_of(table):
     """Sorted hashes and hot flags from the rows sent to a part."""
-    rows = [r for r in table.to_pylist() if r["hashes"]]
+    rows = [r for r in table.select(["hashes", "hot"]).to_pylist() if r["hashes"]]
     h = np.concatenate([np.frombuffer(r["hashes"], "<u8") for r in rows]) if rows else np.zeros(0, np.uint64)
     hot = np.concatenate([np.frombuffer(r["hot"], np.uint8) for r in rows]).astype(bool) if rows else np.zeros(0, bool)
     order = np.argsort(h, kind="stable")
@@ -219,7 +222,10 @@ def _repeats_of(table):
 def _regions(shards: int):
     import pyarrow as pa
 
+    from codeloom.llm.common import tidy
+
     def run(left, right):
+        tidy()
         rows = []
         if left.num_rows:
             k = left.column("__part")[0].as_py()
@@ -283,6 +289,9 @@ def _solve(table):
     """Windows of a shard's regions that a document outside the region's part has, or a smaller one in it: runs with their smallest doc_id."""
     import pyarrow as pa
 
+    from codeloom.llm.common import tidy
+
+    tidy()
     rows = []
     for k, blob in zip(table.column("part").to_pylist(), table.column("regions"), strict=True):
         anchors, gaps, least, sizes, texts = parted(blob.as_py(), ["<u4", "<u4", "<i8", "<u2"])
@@ -356,29 +365,24 @@ def covered(part: Part, repeated, answers: list[bytes], length: int = LENGTH) ->
 def _apply(names: list[str]):
     import pyarrow as pa
 
+    from codeloom.llm.common import tidy
+
     def run(left, right):
-        if not left.num_rows:
-            return pa.table({"kept": pa.array([], pa.binary())})
-        part = Part(left)
-        rows = right.to_pylist()
-        gone = covered(part, _repeats_of(right), [r["answers"] for r in rows if r["answers"]])
+        tidy()
         kept, spans = [], []
-        for s, e in zip(part.bounds[:-1].tolist(), part.bounds[1:].tolist(), strict=True):
-            g = gone[s:e]
-            kept.append(part.raw[s:e] if not g.any() else part.text[s:e][~g].tobytes())
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], g.astype(np.int8), [0]])))
-            spans.append([{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)])
-        table = left.take(pa.array(part.order)).select(names)
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return table.append_column("__kept", pa.array(kept, pa.binary())).append_column("__spans", pa.array(spans, kind))
-
-    def empty(left, right):
         if left.num_rows:
-            return run(left, right)
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return left.select(names).append_column("__kept", pa.array([], pa.binary())).append_column("__spans", pa.array([], kind))
+            part = Part(left)
+            left = left.take(pa.array(part.order))
+            gone = covered(part, _repeats_of(right), [x.as_py() for x in right.column("answers") if x.is_valid])
+            for s, e in zip(part.bounds[:-1].tolist(), part.bounds[1:].tolist(), strict=True):
+                g = gone[s:e]
+                kept.append(part.raw[s:e] if not g.any() else part.text[s:e][~g].tobytes())
+                edge = np.flatnonzero(np.diff(g.astype(np.int8), prepend=0, append=0)).tolist()
+                spans.append([{"start": a, "end": b} for a, b in zip(edge[::2], edge[1::2], strict=True)])
+        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        return left.select(names).append_column("__kept", pa.array(kept, pa.binary())).append_column("__spans", pa.array(spans, span))
 
-    return empty
+    return run
 
 
 def dedup(docs: DataFrame) -> DataFrame:

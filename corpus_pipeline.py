@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from codeloom.llm import packing, simhash, suffix_dedup, toxicity
 from codeloom.llm.common import cut, table
 
+#: Words that the tokenizer keeps by span of input; fewer than its own default, as executors still hold memory of the stages before.
+WORDS = 1 << 18
+
 
 def remove_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     model, thresholds = toxicity.train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
@@ -39,7 +42,7 @@ def cut_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_tokens(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), cache=WORDS)
 
 
 STAGES = [("toxicity", remove_toxic), ("simhash", one_of_near_copies), ("suffix_dedup", cut_repeats), ("packing", pack_tokens)]
