@@ -94,16 +94,19 @@ class Cnn:
         """Maxima of each filter over each text, and optionally where they are. vectors: of the word numbers."""
         top, at = [], []
         for w in WIDTHS:
-            projected = [vectors @ self.filters[w][j] for j in range(w)]
+            # component by component, as a matrix product may round by the number of rows
+            projected = [sum(vectors[:, d, None] * self.filters[w][j][d] for d in range(DIM)) for j in range(w)]
             n = len(ids) - w + 1
             c = projected[0][ids[:n]]
             for j in range(1, w):
                 c += projected[j][ids[j : j + n]]
-            m = np.maximum.reduceat(c, starts, axis=0)
+            # a text's windows end with its last pad; later ones would reach the next text
+            ends = np.append(starts[1:], len(ids)) - w + 1
+            m = np.maximum.reduceat(c, np.column_stack([starts, ends]).ravel()[:-1], axis=0)[::2]
             top.append(np.maximum(m + self.bias[w], 0))
             if where:
                 size = np.diff(np.append(starts, n))
-                hit = c == np.repeat(m, size, axis=0)
+                hit = (c == np.repeat(m, size, axis=0)) & (np.arange(n) < np.repeat(ends, size))[:, None]
                 spot = np.where(hit, np.arange(n)[:, None], n)
                 at.append(np.minimum.reduceat(spot, starts, axis=0))
         return np.concatenate(top, 1), at
@@ -116,7 +119,7 @@ class Cnn:
             ids, starts = laid_out(texts[b:e], table)
             local, ids = np.unique(ids, return_inverse=True)
             vectors = self.emb[table.feats()[local]].sum(1)
-            out.append(self.pooled(ids.astype(np.int32), starts, vectors)[0] @ self.out)
+            out.append((self.pooled(ids.astype(np.int32), starts, vectors)[0] * self.out).sum(1))
             table.reset_if_full()
         return np.concatenate(out) + self.shift if out else np.zeros(0)
 

@@ -357,3 +357,14 @@ def test_pipeline(spark):
             assert 0 < after.count() <= docs.count()
         docs = after
     assert docs.count() > 0
+
+
+def test_toxicity_scores_do_not_depend_on_neighbours():
+    rng = np.random.default_rng(3)
+    model, words = toxicity.Cnn(rng), [f"w{i}" for i in range(30)]
+    model.emb = rng.normal(0, 1, model.emb.shape).astype(np.float32)
+    model.emb[0] = 0
+    texts = [None, "", "w1", *(" ".join(rng.choice(words, rng.integers(1, 9))) for _ in range(200))]
+    alone = np.concatenate([model.logits([t], toxicity.Words()) for t in texts])
+    for order in (range(len(texts)), rng.permutation(len(texts)).tolist()):
+        assert (model.logits([texts[i] for i in order], toxicity.Words()) == alone[list(order)]).all()
