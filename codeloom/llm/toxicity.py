@@ -5,9 +5,11 @@ that inflected forms share strength. Filters of one to three words run over the
 maximum, and a logistic layer on the maxima gives the score. Fitting uses at most ``sample`` labelled rows
 of each class, chosen by a hash of the doc_id; scoring covers every row and every word.
 
-Scores are shifted so that 0.5 separates best on a part of the labelled rows that the weights were not
-fitted on; for the same rows, thresholds are calibrated by language, for use by a filter. The score itself
-sees the text only.
+Scores are shifted so that 0.5 separates best on all usable labelled rows that the weights were not fitted
+on; for the same rows, thresholds are calibrated by language, for use by a filter. Both come from histograms
+of scores that Spark makes over all of these rows; a language's is smoothed towards that of all, by
+``PRIOR`` rows of its rarer class, so that no language needs a least number of rows. The score itself sees
+the text only.
 
 Defined results: a null or empty text is scored as one without words; rows without a label, or with a null
 label, are not fitted on; without usable labels of both classes every score is 0.
@@ -27,6 +29,10 @@ BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 8, (1, 2, 3), 8
 SAMPLE, EPOCHS, SEED = 2000, 4, 7
 #: Longest text, in characters, to fit on; longer ones are scored like any other.
 LONGEST = 200_000
+#: Histogram bins of a logit's unit, and the logits that the first and last bin start from.
+BINS, SPAN = 20, 40
+#: Rows of a language's rarer class at which it counts as much as all languages together.
+PRIOR = 10
 #: Standard deviations from chance that count as certain.
 ZMAX = 10.0
 TRIM = re.compile(r"^\W+|\W+$")
@@ -124,15 +130,15 @@ class Cnn:
         return np.concatenate(out) + self.shift if out else np.zeros(0)
 
 
-def fit(texts: list[str | None], labels: np.ndarray, langs: list[str | None], epochs: int = EPOCHS, seed: int = SEED):
-    """The model and thresholds by language (key None: of other languages)."""
+def fit(texts: list[str | None], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED):
+    """The model, and which rows its weights were fitted on; its shift is from the others of ``texts``."""
     rng = np.random.default_rng(seed)
     labels = np.asarray(labels, np.float32)
     model, table = Cnn(rng), Words(1 << 30)
     if len(set(labels.tolist())) < 2:
         model.out[:] = 0
         model.shift = -30.0
-        return model, {None: 0.5}
+        return model, np.ones(len(texts), bool)
     aside = np.arange(len(texts)) % 5 == 0
     rows = np.flatnonzero(~aside)
     per_text = []
@@ -204,81 +210,140 @@ def fit(texts: list[str | None], labels: np.ndarray, langs: list[str | None], ep
     z = model.logits([texts[i] for i in held], table)
     y = labels[held]
     model.shift -= cutoff(z, y)
-    z = z - cutoff(z, y)
-    by_lang = {None: 0.5}
-    for lang in sorted({langs[i] for i in held} - {None}):
-        mine = np.array([langs[i] == lang for i in held])
-        if mine.sum() >= 50 and 0 < y[mine].sum() < mine.sum():
-            by_lang[lang] = float(1 / (1 + np.exp(-cutoff(z[mine], y[mine]))))
-    return model, by_lang
+    return model, ~aside
 
 
 def cutoff(z: np.ndarray, y: np.ndarray) -> float:
     """The logit that misjudges the least weight, classes weighted equally; in the middle of the widest gap."""
     order = np.argsort(z, kind="stable")
-    z, y = z[order], y[order]
-    pos, neg = max(y.sum(), 1), max((1 - y).sum(), 1)
-    missed = np.append(0, np.cumsum(y)) / pos  # positives below the cut
-    kept = (neg - np.append(0, np.cumsum(1 - y))) / neg  # negatives above it
+    return middle(z[order], loss(y[order], 1 - y[order]))
+
+
+def loss(pos: np.ndarray, neg: np.ndarray) -> np.ndarray:
+    """Weight misjudged by a cut before each of the ordered places and after the last, classes weighted equally."""
+    missed = np.append(0, np.cumsum(pos)) / max(pos.sum(), 1)  # positives below the cut
+    return missed + 1 - np.append(0, np.cumsum(neg)) / max(neg.sum(), 1)  # and negatives above it
+
+
+def middle(z: np.ndarray, loss: np.ndarray) -> float:
     cuts = np.concatenate([[z[0] - 1], (z[1:] + z[:-1]) / 2, [z[-1] + 1]])
     gap = np.concatenate([[1], z[1:] - z[:-1], [1]])
-    loss = missed + kept
     best = np.flatnonzero(loss <= loss.min() + 1e-9)
     return float(cuts[best[np.argmax(gap[best])]])
 
 
+def calibrate(raw: DataFrame, labels: DataFrame, fitted: list) -> tuple[float, dict]:
+    """The cutoff of ``raw(doc_id, lang, __logit)`` over all usable labelled rows but the ``fitted`` ids, and thresholds by language (key None: of others)."""
+    spark = raw.sparkSession
+    lang = F.col("lang") if "lang" in raw.columns else F.lit(None).cast("string")
+    bin_ = F.floor(F.greatest(F.lit(-SPAN), F.least(F.lit(SPAN), "__logit")) * BINS).cast("int")
+    truth = usable(labels)
+    if fitted:  # at most 2 * sample ids
+        truth = truth.join(F.broadcast(spark.createDataFrame([(i,) for i in fitted], truth.select("doc_id").schema)), "doc_id", "left_anti")
+    # a language has at most 2 * SPAN * BINS + 1 bins
+    counts = raw.select("doc_id", lang.alias("lang"), bin_.alias("bin")).join(truth, "doc_id").groupBy("lang", "bin").agg(F.count_if(F.col("toxic") == 1).alias("pos"), F.count_if(F.col("toxic") == 0).alias("neg")).collect()
+    bins = {b: k for k, b in enumerate(sorted({r.bin for r in counts}))}
+    of: dict = {}
+    for r in counts:
+        h = of.setdefault(r.lang, np.zeros((2, len(bins))))
+        h[:, bins[r.bin]] += r.pos, r.neg
+    total = sum(of.values(), np.zeros((2, len(bins))))
+    if not total.sum(1).all():
+        return 0.0, {None: 0.5}
+    z = (np.array(list(bins)) + 0.5) / BINS
+    everywhere = loss(*total)
+    shift, limits = middle(z, everywhere), {None: 0.5}
+    for lang, h in of.items():
+        if lang is not None and (rarer := h.sum(1).min()) > 0:
+            own = rarer / (rarer + PRIOR)
+            limits[lang] = float(1 / (1 + np.exp(shift - middle(z, own * loss(*h) + (1 - own) * everywhere))))
+    return shift, limits
+
+
+def usable(labels: DataFrame) -> DataFrame:
+    """doc_id, toxic: one row of each labelled id; remainder of crc32 not 0."""
+    rows = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1) AND crc32(cast(doc_id AS string)) % 5 <> 0")
+    return rows.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+
+
 def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
-    """Labelled rows to fit on, on the driver: at most ``sample`` of each class, none over ``LONGEST``; remainder of crc32 not 0."""
-    usable = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1) AND crc32(cast(doc_id AS string)) % 5 <> 0")
-    usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    """Labelled rows to fit on, on the driver: at most ``sample`` of each class, none over ``LONGEST``."""
+    truth = usable(labels)
     order = [F.xxhash64(F.lit("fit"), "doc_id"), "doc_id"]
-    ids = [r for y in (0, 1) for r in usable.where(F.col("toxic") == y).orderBy(*order).limit(sample).collect()]
+    ids = [r for y in (0, 1) for r in truth.where(F.col("toxic") == y).orderBy(*order).limit(sample).collect()]
     if not ids:
-        return [], np.zeros(0), []
-    chosen = docs.sparkSession.createDataFrame(ids, usable.schema)  # at most 2 * sample rows of two numbers
-    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    short = docs.select("doc_id", "text", lang.alias("lang")).where(F.coalesce(F.length("text"), F.lit(0)) <= LONGEST)
+        return [], [], np.zeros(0)
+    chosen = docs.sparkSession.createDataFrame(ids, truth.schema)  # at most 2 * sample rows of two numbers
+    short = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= LONGEST)
     # of repeated rows the least, so that the rows collected are as many as the ids
-    rows = short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct("text", "lang")).alias("r")).select("doc_id", "toxic", "r.*").collect()
+    rows = short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r.doc_id % 1000003 * 7919 % 1000003, r.doc_id, r.text or ""))
-    return [r.text for r in rows], np.array([r.toxic for r in rows]), [r.lang for r in rows]
+    return [r.doc_id for r in rows], [r.text for r in rows], np.array([r.toxic for r in rows])
+
+
+def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
+    """The model and the ids that its weights were fitted on."""
+    ids, texts, y = sampled(docs, labels, sample)
+    model, used = fit(texts, y)
+    return model, [i for i, u in zip(ids, used, strict=True) if u]
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
-    texts, y, langs = sampled(docs, labels, sample)
-    return fit(texts, y, langs)
+    """The model, shifted, and thresholds by language."""
+    model, ids = fitted(docs, labels, sample)
+    shift, limits = calibrate(logits(docs, model, text=False), labels, ids)
+    model.shift -= shift
+    return model, limits
 
 
-def score(docs: DataFrame, model: Cnn, thresholds: dict) -> DataFrame:
-    """``docs`` with its columns, score (0 to 1) and threshold (its language's)."""
+def logits(docs: DataFrame, model: Cnn, text: bool = True) -> DataFrame:
+    """``docs`` with its columns, text only if asked for, and the model's logit."""
     import pyarrow as pa
 
     from codeloom.llm.common import held
 
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # a fixed size: buckets times dimensions
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size: buckets times dimensions
 
     def run(batches):
         words = held("toxicity words", Words)
         for b in batches:
             z = shared.value.logits(b.column("__text").to_pylist(), words)
-            s = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             cols = [c for n, c in zip(b.schema.names, b.columns, strict=True) if n != "__text"]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(s, pa.float64())], [n for n in b.schema.names if n != "__text"] + ["__score"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(z, pa.float64())], [n for n in b.schema.names if n != "__text"] + ["__logit"])
 
-    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    kept = docs.select(*[c for c in docs.columns if text or c != "text"])
+    schema = T.StructType([*kept.schema.fields, T.StructField("__logit", T.DoubleType())])
+    return docs.select(*kept.columns, F.col("text").alias("__text")).mapInArrow(run, schema)
+
+
+def judged(raw: DataFrame, shift: float, thresholds: dict) -> DataFrame:
+    """``raw`` with score (0 to 1) and threshold (its language's) in place of the logit."""
+    lang = F.col("lang") if "lang" in raw.columns else F.lit(None).cast("string")
     pairs = [x for k, v in thresholds.items() if k is not None for x in (F.lit(k), F.lit(v))]
     limit = F.coalesce(F.create_map(*pairs)[lang], F.lit(thresholds[None])) if pairs else F.lit(thresholds[None])
-    schema = T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())])
-    return docs.withColumn("__text", F.col("text")).mapInArrow(run, schema).withColumn("__threshold", limit)
+    z = F.greatest(F.lit(-40.0), F.least(F.lit(40.0), F.col("__logit") - shift))
+    return raw.withColumn("__score", 1 / (1 + F.exp(-z))).withColumn("__threshold", limit).drop("__logit")
+
+
+def score(docs: DataFrame, model: Cnn, thresholds: dict) -> DataFrame:
+    """``docs`` with its columns, score (0 to 1) and threshold (its language's)."""
+    return judged(logits(docs, model), 0.0, thresholds)
+
+
+def trained_score(docs: DataFrame, labels: DataFrame, text: bool = True) -> DataFrame:
+    """``score`` by the model of ``train``; texts are read by the model once, for thresholds and scores."""
+    from codeloom.llm.common import cut
+
+    model, ids = fitted(docs, labels)
+    raw = cut(logits(docs, model, text))
+    return judged(raw, *calibrate(raw, labels, ids))
 
 
 def op8_toxicity(spark, sf_dir):
     from codeloom.llm.common import table
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    model, thresholds = train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    scored = score(docs, model, thresholds)
+    scored = trained_score(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), text=False)
     return scored.select(
         "doc_id",
         F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"),

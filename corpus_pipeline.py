@@ -20,8 +20,8 @@ WORDS = 1 << 18
 
 
 def remove_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model, thresholds = toxicity.train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    return toxicity.score(docs, model, thresholds).where("__score < __threshold").drop("__score", "__threshold")
+    scored = toxicity.trained_score(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return scored.where("__score < __threshold").drop("__score", "__threshold")
 
 
 def one_of_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

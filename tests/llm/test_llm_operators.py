@@ -368,3 +368,23 @@ def test_toxicity_scores_do_not_depend_on_neighbours():
     alone = np.concatenate([model.logits([t], toxicity.Words()) for t in texts])
     for order in (range(len(texts)), rng.permutation(len(texts)).tolist()):
         assert (model.logits([texts[i] for i in order], toxicity.Words()) == alone[list(order)]).all()
+
+
+def test_toxicity_thresholds_of_rare_languages(spark):
+    rng = random.Random(6)
+    rows, labels = [], []
+    for i in range(1500):
+        t = [rng.choice("kola mine puro resk sam tine".split()) for _ in range(12)]
+        if i % 3 == 0:
+            t[rng.randrange(12)] = "grolm"
+        rows.append((i, " ".join(t), "xx" if i % 50 < 3 else "en"))
+        labels.append((i, int(i % 3 == 0)))
+    docs, truth = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model, limits = toxicity.train(docs, truth, sample=100)
+    assert set(limits) == {None, "en", "xx"}
+    # shifted logits of one language move its threshold by all labelled rows, and the others' do not follow
+    raw = docs.join(truth, "doc_id").select("doc_id", "lang", F.when(F.col("lang") == "xx", 3.0).otherwise(0.0).alias("d"), "toxic")
+    raw = raw.withColumn("__logit", F.col("d") + F.when(F.col("toxic") == 1, 1.0).otherwise(-1.0))
+    shift, limits = toxicity.calibrate(raw.drop("toxic", "d"), truth, [0, 1, 2])
+    assert abs(shift) < 1 and abs(limits["en"] - 0.5) < 0.25 and limits["xx"] > 1 / (1 + np.exp(-1.9))
+    assert toxicity.calibrate(raw.drop("toxic", "d").where("doc_id < 0"), truth, []) == (0.0, {None: 0.5})
