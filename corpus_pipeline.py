@@ -1,7 +1,8 @@
 """A corpus pipeline of four stages over the table ``documents``.
 
 toxicity: documents whose score is over their language's threshold go. simhash: one document of each
-near-duplicate group, that of the smallest doc_id, stays. suffix_dedup: passages of 50 bytes and more that
+group of equal texts, that of the smallest doc_id, stays, and of those the ones go whose five-word shingles
+are at least 0.8 similar to those of a document with a smaller doc_id. suffix_dedup: passages of 50 bytes and more that
 a document with a smaller doc_id has are cut from the text; bytes of a character that was cut in two go with
 it. packing: what is left is packed into sequences of token ids.
 """
@@ -12,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm import packing, simhash, suffix_dedup, toxicity
+from codeloom.llm import near_copies, packing, suffix_dedup, toxicity
 from codeloom.llm.common import cut, table
 
 #: Words that the tokenizer keeps by span of input; fewer than its own default, as executors still hold memory of the stages before.
@@ -25,12 +26,12 @@ def remove_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = simhash.classes(docs.select("doc_id", "text"))
-    stays = classes.where("doc_id <=> component_id").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    same = docs["doc_id"].eqNullSafe(stays["__id"]) & (F.xxhash64(docs["text"]) == stays["__hash"])
-    kept = docs.join(stays, same, "left_semi")
+    last = F.lit((1 << 63) - 1)  # a null doc_id comes after all others
+    mine = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), last)).withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    stays = near_copies.staying(mine.select(F.col("__id").alias("id"), F.col("__hash").alias("h"), "text"))
     # rows that agree in doc_id and text are copies of one another
-    return kept.dropDuplicates(["doc_id", "text"])
+    kept = mine.withColumn("__row", F.xxhash64("__id", "__hash")).join(stays.select(F.xxhash64("id", "h").alias("__row")), "__row", "left_semi")
+    return kept.dropDuplicates(["__row"]).select(*docs.columns)
 
 
 def cut_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -388,3 +388,46 @@ def test_toxicity_thresholds_of_rare_languages(spark):
     shift, limits = toxicity.calibrate(raw.drop("toxic", "d"), truth, [0, 1, 2])
     assert abs(shift) < 1 and abs(limits["en"] - 0.5) < 0.25 and limits["xx"] > 1 / (1 + np.exp(-1.9))
     assert toxicity.calibrate(raw.drop("toxic", "d").where("doc_id < 0"), truth, []) == (0.0, {None: 0.5})
+
+
+def test_near_copies(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    rows = []
+    for i in range(120):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([60, 200, 900]))]
+        rows.append((1000 + i, " ".join(words)))
+        for k in rng.sample(range(len(words)), rng.randint(1, len(words) // 25)):
+            words[k] = f"v{rng.randrange(5000)}"
+        rows.append((2000 + i, "  ".join(words).upper()))
+    rows += [(3000, rows[0][1]), (None, rows[0][1] + " more"), (3001, None), (3002, ""), (3003, "two words"), (3004, "two  Words"), (3005, "two word")]
+    rng.shuffle(rows)
+
+    def sets(t):
+        w = (t or "").lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.one_of_near_copies(spark, docs, SF).collect()}
+    texts = dict(rows)
+    like = lambda i, j: len(sets(texts[i]) & sets(texts[j])) / len(sets(texts[i]) | sets(texts[j]))
+    copies = [2000 + i for i in range(120) if like(1000 + i, 2000 + i) >= 0.8]
+    assert 60 < len(copies) < 120
+    assert kept == {i for i, _ in rows} - set(copies) - {3000, None, 3002, 3004}
+
+
+def test_near_copies_of_large_groups(spark, monkeypatch):
+    from codeloom.llm import near_copies
+
+    # chains: each is near the next only, so that a group's first document does not do for all
+    words = [f"w{k}" for k in range(300)]
+    texts = [" ".join(words[8 * k : 8 * k + 120]) for k in range(20)]
+    docs = spark.createDataFrame([(k, 100 - k, t) for k, t in enumerate(texts)], "id long, h long, text string")
+    for rounds in (0, 1, 3):
+        monkeypatch.setattr(near_copies, "ROUNDS", rounds)
+        kept = sorted(r.id for r in near_copies.staying(docs).collect())
+        near = lambda a, b: near_copies.likeness(near_copies.shingles(texts[a]), near_copies.shingles(texts[b])) >= 0.8
+        assert not any(near(a, b) for a in kept for b in kept if a < b)
+        assert all(k in kept or any(near(k, j) for j in range(k)) for k in range(20))
+    assert near_copies.staying(docs.where("id < 0")).count() == 0
