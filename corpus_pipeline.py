@@ -18,6 +18,8 @@ from codeloom.llm.common import cut, table
 
 #: Words that the tokenizer keeps by span of input; fewer than its own default, as executors still hold memory of the stages before.
 WORDS = 1 << 18
+#: Bytes of a character without its first ones, at the start of a string, or without its last ones, at the end.
+PARTIAL = r"\A[\x80-\xBF]+|(?:[\xC2-\xDF]|[\xE0-\xEF][\x80-\xBF]?|[\xF0-\xF4][\x80-\xBF]{0,2})\z"
 
 
 def remove_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +38,14 @@ def one_of_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def cut_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     done = suffix_dedup.dedup(docs)
-    clean = F.when(F.size("__spans") == 0, F.col("text")).otherwise(F.try_validate_utf8(F.col("__kept").cast("string")))
-    clean = F.coalesce(clean, F.regexp_replace(F.make_valid_utf8(F.col("__kept").cast("string")), "�", ""))
-    text = F.when(F.col("text").isNotNull(), clean)
+    data = F.col("text").cast("binary")
+    # what lies between the spans, a character for each byte, without the parts of characters at the edges
+    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("__spans", lambda s: s["end"].cast("long")))
+    ends = F.concat(F.transform("__spans", lambda s: s["start"].cast("long")), F.array(F.octet_length("text").cast("long")))
+    piece = lambda a, b: F.regexp_replace(F.decode(data.substr((a + 1).cast("int"), (b - a).cast("int")), "ISO-8859-1"), PARTIAL, "")
+    whole = F.encode(F.array_join(F.zip_with(starts, ends, piece), ""), "ISO-8859-1")
+    clean = F.when(F.size("__spans") == 0, F.col("text")).when(F.octet_length("text") == F.length("text"), F.col("__kept").cast("string"))
+    text = F.when(F.col("text").isNotNull(), clean.otherwise(F.make_valid_utf8(whole.cast("string"))))
     return done.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

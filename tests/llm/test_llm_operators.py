@@ -431,3 +431,12 @@ def test_near_copies_of_large_groups(spark, monkeypatch):
         assert not any(near(a, b) for a in kept for b in kept if a < b)
         assert all(k in kept or any(near(k, j) for j in range(k)) for k in range(20))
     assert near_copies.staying(docs.where("id < 0")).count() == 0
+
+
+def test_pipeline_keeps_the_authors_replacement_characters(spark):
+    import corpus_pipeline
+
+    rows = [(1, "é" * 60 + "a"), (2, "�x�" + "é" * 60 + "b�"), (3, "è" + "é" * 60 + "� è"), (4, "Ω" * 40 + "ψ"), (5, "�" + "ο" * 3 + "Ω" * 40 + "ω"), (6, "�\x85" * 3), (7, None)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    cut = {r.doc_id: r.text for r in corpus_pipeline.cut_repeats(spark, docs, SF).collect()}
+    assert cut[2] == "�x�b�" and cut[3] == "è� è" and cut[5] == "�οοο" and cut[6] == rows[5][1] and cut[7] is None
