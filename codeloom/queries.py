@@ -457,6 +457,14 @@ def chunk_embedding_text(v):
     return chunks.withColumn("n", F.count("*").over(one)).where("n = 1").select("file_path", "embedding_text")
 
 
+@query()
+def chunk_embedding_text_all(v):
+    """Every chunk, also of files of several windows, which chunk_embedding_text and its SQL leave out."""
+    none = v.spark.createDataFrame([], "file_path string, symbol_id string, symbol_key string, symbol_key_exact string, name string, kind string, start_line int, end_line int, signature string, docstring string, container_name string")
+    chunks = chunking.chunk_files(v.files.withColumn("language", F.col("lang")), none)
+    return chunks.select("file_path", "start_line", "end_line", "embedding_text")
+
+
 # vectors
 
 QUERY_VECTOR = [1.0] + [0.0] * 63
