@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from codeloom.plans.parse.model import Found, register
 
@@ -14,6 +14,10 @@ TOKEN = re.compile(
     re.S | re.M | re.X,
 )
 PAIRS = {"(": ")", "[": "]", "{": "}"}
+REGEX = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[A-Za-z]*")
+TEMPLATE = re.compile(r"(?:\\.|\$(?!\{)|[^`\\$])*(`|\$\{|\Z)", re.S)
+#: Words after which a slash begins a regular expression.
+BEFORE_REGEX = frozenset("return typeof case in of delete void throw new do else await yield instanceof".split())
 
 
 @dataclass
@@ -27,14 +31,13 @@ class Tok:
 class Source:
     """Tokens of a text, with line and column lookups, matched brackets, and unmatched ones as errors."""
 
-    def __init__(self, text: str, hash_comments: bool = False):
+    def __init__(self, text: str, hash_comments: bool = False, script: bool = False):
         self.text = text
         self.starts = [0, *[m.end() for m in re.finditer("\n", text)]]
         self.tokens: list[Tok] = []
         self.docs: dict[int, str] = {}
         doc = None
-        for m in TOKEN.finditer(text):
-            kind, value = m.lastgroup, m[0]
+        for kind, value, at, to in self.lexed(script):
             if kind == "doc":
                 doc = value
             elif kind == "comment" or (kind == "pre" and hash_comments):
@@ -42,13 +45,11 @@ class Source:
             else:
                 if kind == "word" and value[-1] in "!?":  # an operator unless a macro or method mark stands before a bracket
                     value = value[:-1]
-                    end = m.end() - 1
-                else:
-                    end = m.end()
+                    to -= 1
                 if doc is not None:
                     self.docs[len(self.tokens)] = doc
                     doc = None
-                self.tokens.append(Tok(kind, value, m.start(), end))
+                self.tokens.append(Tok(kind, value, at, to))
         self.match: dict[int, int] = {}
         self.unmatched: list[int] = []
         stack: list[int] = []
@@ -67,6 +68,31 @@ class Source:
                     self.unmatched.append(i)
         self.unmatched += stack
 
+    def lexed(self, script: bool):
+        """Kind, text, begin and end of each token. In scripts a template is strings with the tokens of its substitutions between them."""
+        text, at, depth = self.text, 0, 0
+        templates: list[int] = []  # brace depths at which a substitution ends
+        while m := TOKEN.search(text, at):
+            kind, begin, at = m.lastgroup, m.start(), m.end()
+            if script:
+                first = text[begin]
+                last = self.tokens[-1] if self.tokens else None
+                if kind == "pre":  # a private member's mark
+                    begin = text.index("#", begin)
+                    kind, at = "op", begin + 1
+                elif first == "/" and kind == "op" and (last is None or last.kind == "arrow" or (last.kind == "op" and last.text not in ")]}") or last.text in BEFORE_REGEX) and (r := REGEX.match(text, begin)):
+                    kind, at = "string", r.end()
+                elif first == "`" or (first == "}" and templates and templates[-1] == depth):
+                    if first == "}":
+                        templates.pop()
+                    chunk = TEMPLATE.match(text, begin + 1)
+                    kind, at = "string", chunk.end()
+                    if chunk[1] == "${":
+                        templates.append(depth)
+                elif kind == "op":
+                    depth += (first == "{") - (first == "}")
+            yield kind, text[begin:at], begin, at
+
     def line(self, at: int) -> int:
         from bisect import bisect_right
 
@@ -82,6 +108,24 @@ class Source:
         return self.text[self.tokens[i].at : self.tokens[j].end]
 
 
+#: Words that no call or member is named by: in every language, and in the ones that use them so.
+COMMON = frozenset("if for while switch catch return throw else do try new typeof class interface enum in super case import break continue default".split())
+SCRIPTED = COMMON | frozenset("delete function instanceof void await yield of with var let const".split())
+CONTROL = {
+    "typescript": SCRIPTED,
+    "javascript": SCRIPTED,
+    "go": COMMON | frozenset("func struct package defer go select range chan map var const fallthrough goto type".split()),
+    "rust": COMMON | frozenset("fn struct match loop use impl trait where let mut as unsafe move await mod".split()),
+    "java": COMMON | frozenset("instanceof assert synchronized package throws extends implements yield".split()),
+    "c": COMMON | frozenset("sizeof struct typedef union goto".split()),
+    "cpp": COMMON | frozenset("sizeof struct typedef union goto delete using namespace template operator not and or".split()),
+    "c_sharp": COMMON | frozenset("struct using lock foreach namespace when where is as sizeof await yield out ref".split()),
+    "php": COMMON | frozenset("function use foreach match echo print isset unset empty array list and or xor instanceof elseif fn namespace".split()),
+    "swift": COMMON | frozenset("func struct guard where defer repeat let var as is await fallthrough".split()),
+    "kotlin": COMMON | frozenset("fun when object typealias is as val var package".split()),
+}
+
+
 @dataclass(frozen=True)
 class Rules:
     """Keywords that define symbols in a language, and what else the walk needs to know."""
@@ -93,9 +137,9 @@ class Rules:
     c_like: bool = False  # functions are written type name(parameters) {
     script: bool = False  # TypeScript or JavaScript
     typed: bool = False  # TypeScript
+    control: frozenset = COMMON  # words that are no names
 
 
-CONTROL = frozenset("if for while switch catch return throw else do try new delete typeof sizeof function fn func def fun class struct enum interface in of await yield case match when unless until elsif loop not and or super use import package assert synchronized lock using foreach guard where defer go select".split())
 MODIFIERS = frozenset("public private protected internal static final abstract virtual override async export default declare readonly get set sealed open inline extern pub mut unsafe const suspend partial synchronized native".split())
 
 SCRIPT = Rules({"class": "class", "function": "function"}, frozenset({"class"}), frozenset({"function"}), frozenset({"import"}), script=True)
@@ -116,7 +160,7 @@ RULES = {
 
 class Walk:
     def __init__(self, text: str, rules: Rules, script: bool):
-        self.rules, self.s = rules, Source(text, hash_comments=not rules.c_like)
+        self.rules, self.s = rules, Source(text, hash_comments=not (rules.c_like or script), script=script)
         self.found = Found()
 
     def scope(self, scopes):
@@ -218,6 +262,12 @@ class Walk:
             return s.match[brace] + 1
         if word not in r.kinds:
             return None
+        if r.script and word == "class" and "abstract" in (s.tokens[x].text for x in range(start, i)):
+            brace = self.body_of(i + 1, limit)
+            if brace is None or brace not in s.match:
+                return None
+            self.bodies(brace + 1, s.match[brace], containers, scopes)
+            return s.match[brace] + 1
         kind, n = r.kinds[word], i + 1
         if word == "typedef":
             end = i
@@ -253,10 +303,15 @@ class Walk:
         else:
             brace, end = None, self.statement_end(n, limit)
         first = i if r.script else start
+        if r.script and ((kind in ("function", "method") and s.is_(i - 1, "async")) or (kind == "enum" and s.is_(i - 1, "const"))):
+            first = i - 1
         me = self.add(name, kind, first, end, brace, containers, start)
         inner = [*scopes, me]
         if kind == "enum" and r.script:
-            self.found.symbols[-1]["signature"] = s.span(first, n)
+            self.found.symbols[-1]["signature"] = s.span(first, end).split("\n")[0].rstrip()
+        if word in ("class", "interface") and r.script:
+            clause = next((k for k in range(after, brace if brace is not None else after) if s.is_(k, "extends", "implements") and not self.inside(k, after)), None)
+            self.found.symbols[-1]["signature"] = f"{word} {name}" + (f" {s.span(clause, brace - 1)}" if clause is not None else "")
         if word in ("class", "interface") and r.script:
             self.heritage(word, after, brace if brace is not None else limit, inner)
         if brace is not None:
@@ -265,6 +320,17 @@ class Walk:
                 self.walk(brace + 1, end, inside, inner, name if word in r.containers else None)
         return end + 1
 
+    def bodies(self, i, limit, containers, scopes):
+        """The calls in the bodies and values of members that are no symbols."""
+        s = self.s
+        while i < limit:
+            if s.is_(i, "{") and i in s.match:
+                self.walk(i + 1, s.match[i], containers, scopes, None)
+                i = s.match[i]
+            elif s.is_(i, "("):
+                i = s.match.get(i, i)
+            i += 1
+
     def statement_end(self, i, limit):
         s = self.s
         line = s.line(s.tokens[i].at)
@@ -280,6 +346,10 @@ class Walk:
             line = max(line, s.line(s.tokens[i].at)) if s.is_(i - 1, "=", "|", "&", ",") or s.is_(i, "|", "&", "=") else line
         return limit - 1
 
+    def inside(self, k, since):
+        """Whether token k is inside angle brackets that open at ``since`` or later."""
+        return sum(self.s.is_(x, "<") - self.s.is_(x, ">") for x in range(since, k)) > 0
+
     def heritage(self, word, i, stop, scopes):
         """extends and implements lists up to the body."""
         s, kind = self.s, None
@@ -326,7 +396,7 @@ class Walk:
         elif s.is_(k, "(") and k in s.match:
             params, after = s.span(k, s.match[k]), s.match[k] + 1
         elif k < limit and s.tokens[k].kind == "word" and s.is_(k + 1, "=>"):
-            params, after = f"({s.tokens[k].text})", k + 1
+            params, after = "", k + 1
         else:
             return None
         arrow = after
@@ -361,11 +431,11 @@ class Walk:
             n -= 1
             if n <= start or n >= limit - 1 or s.tokens[n].kind != "word" or s.is_(n - 1, ".", "new", "return") or not s.is_(n + 1, "("):
                 return None
-            if s.tokens[start].text in CONTROL - {"struct", "class", "enum"}:
+            if s.tokens[start].text in r.control - {"struct", "class", "enum"}:
                 return None
         elif not s.is_(n + 1, "(", "<"):
             return None
-        if s.tokens[n].text in CONTROL or s.tokens[n].kind != "word":
+        if s.tokens[n].text in r.control or s.tokens[n].kind != "word":
             return None
         p = n + 1
         while p < limit and not s.is_(p, "(", ";", "{"):
@@ -381,7 +451,8 @@ class Walk:
         else:
             end = s.match[brace]
         kind = "method" if containers else "function"
-        me = self.add(s.tokens[n].text, kind, start if r.c_like else i, end, brace, containers, start)
+        first = start if r.c_like or all(s.tokens[x].text in MODIFIERS or s.is_(x, "*") for x in range(start, i)) else i
+        me = self.add(s.tokens[n].text, kind, first, end, brace, containers, start)
         if brace is not None:
             self.walk(brace + 1, end, containers, [*scopes, me], None)
         return end + 1
@@ -432,7 +503,7 @@ class Walk:
     def expression(self, i, limit, containers, scopes):
         """A dotted name, and if it is called, its calls with their arguments."""
         s = self.s
-        if s.tokens[i].text in CONTROL and s.tokens[i].text != "super":
+        if s.tokens[i].text in self.rules.control and s.tokens[i].text != "super":
             return i + 1
         made = s.is_(i - 1, "new")
         j = i
@@ -455,7 +526,8 @@ class Walk:
 
 @register("typescript", "tsx", "javascript", "jsx", "go", "rust", "java", "c", "cpp", "c_sharp", "php", "swift", "kotlin")
 def parse(text: str, language: str) -> Found:
-    rules = RULES[{"tsx": "typescript", "jsx": "javascript"}.get(language, language)]
+    own = {"tsx": "typescript", "jsx": "javascript"}.get(language, language)
+    rules = replace(RULES[own], control=CONTROL[own])
     return Walk(text, rules, rules.script).run()
 
 
