@@ -7,8 +7,11 @@ draws on) is kept for the session's metrics. Answers are pages, so they are smal
 from __future__ import annotations
 
 import json
+import logging
 import math
 import os
+import subprocess
+import threading
 import time
 import uuid
 from collections.abc import Callable
@@ -21,6 +24,7 @@ from codeloom.functions import embed
 from codeloom.functions.scalars import LANGUAGES, TOKENS_PER_BYTE
 from codeloom.operators import lookup, planning, stats, vector
 from codeloom.operators.lookup import InvalidArguments
+from codeloom.plans.indexer import Guard, incremental_index
 from codeloom.schemas import PAGE
 from codeloom.sources.config import Config
 from codeloom.sources.files_io import LockHeld
@@ -72,8 +76,9 @@ class Server:
 
     def __init__(self, spark, root: str, store: Store, config: Config | None = None, session: Session | None = None, progress: Progress | None = None):
         self.spark, self.root, self.store = spark, os.path.abspath(root), store
-        self.config, self.session, self.progress = config or Config(), session or Session(), progress or Progress()
+        self.config, self.session, self.progress = config or Config(), session or Session(), progress or Progress.of(root)
         self.git = Git(root, self.config.paths.index_dir)
+        self.guard, self.looked = Guard(), -math.inf
         text, number = {"type": "string"}, {"type": "integer"}
         edge = {"symbol_id": text, "symbol_key": text}
         self.tools = {
@@ -125,7 +130,39 @@ class Server:
         except Exception as e:  # noqa: BLE001
             return error_of(e)
 
+    def refresh(self) -> bool:
+        """Brings a stale index up to date: here if few files changed, else in the background; one run at a time. True if a run was begun."""
+        row = check_staleness(self).first()
+        if row.reason == "no_index" or not row.is_stale or not self.guard.try_start():
+            return False
+
+        def run():
+            again = True
+            while again:
+                try:
+                    incremental_index(self.spark, self.root, self.store, self.config)
+                finally:
+                    again = self.guard.finish() and self.guard.try_start()
+
+        if self.guard.should_block(row.is_stale, row.changed_file_count, self.config.server.max_blocking_reindex_files):
+            run()
+        else:
+            threading.Thread(target=run, daemon=True).start()
+        return True
+
+    def _look(self) -> None:
+        """Refreshes, if the configuration asks for it and the last look is long enough ago; a failed run leaves the index as it is."""
+        now = time.monotonic()
+        if not self.config.server.auto_reindex or now - self.looked < self.config.server.check_interval:
+            return
+        self.looked = now
+        try:
+            self.refresh()
+        except Exception:  # noqa: BLE001
+            logging.getLogger("codeloom").exception("reindexing failed")
+
     def call(self, tool: str, arguments: dict | None = None) -> dict:
+        self._look()
         began = time.monotonic()
         data = self.handle(tool, arguments)
         naive = data.pop("_naive_tokens", 0)
@@ -202,7 +239,7 @@ class Server:
         return self._edges_answer("references", lookup.find_references(self.store.read("edges"), self._id(symbol_id, symbol_key)))
 
     def resolve_symbol(self, name, kind=None, file_context=None):
-        return self._edges_answer("candidates", lookup.resolve_symbol(self.store.read("symbols"), name, kind, file_context))
+        return self._edges_answer("candidates", lookup.resolve_symbol(self.store.read("symbols"), name, kind, file_context).limit(PAGE["candidates"]))
 
     def _inside(self, path: str) -> str:
         full = os.path.realpath(os.path.join(self.root, path))
@@ -243,7 +280,7 @@ class Server:
         if state.embedding.provider and state.embedding.provider != e.provider:
             raise ProviderMismatch(f"the index is of {state.embedding.provider}, the configuration names {e.provider}")
         try:
-            vector_of = embed.build(e.provider, model=e.model, dimension=e.dimension, normalize=e.normalize_vectors, api_key_env=e.api_key_env)
+            vector_of = embed.build(e.provider, **embed.settings(e))
         except embed.ProviderUnavailable as error:
             return error_of(error) | {"results": []}
         hits = vector.vector_search(self.store.read("chunks"), vector_of([query])[0], max_results, file_filter=file_filter)
@@ -296,5 +333,8 @@ def check_staleness(server: Server):
     stored = server.store.state()
     changed = None
     if stored is not None and stored.workspace_state.head_commit and head != stored.workspace_state.head_commit:
-        changed = server.git.changes_frame(server.spark, stored.workspace_state.head_commit)
+        try:
+            changed = server.git.changes_frame(server.spark, stored.workspace_state.head_commit)
+        except subprocess.CalledProcessError:
+            changed = None
     return planning.staleness(state.select(F.col("workspace_state")), head, server.git.is_dirty(), changed)

@@ -11,7 +11,7 @@ import os
 import sys
 import time
 
-from codeloom import api
+from codeloom import api, mcp
 from codeloom.plans.indexer import full_index, incremental_index
 from codeloom.sources.config import config_path, default_config, load_config, save_default_config
 from codeloom.sources.files_io import Lock, LockHeld
@@ -41,7 +41,7 @@ def bootstrap(spark, root: str, config=None, force: bool = False, embedding: boo
         save_default_config(config_path(root))
     config = config or load_config(root)
     store = open_store(spark, root, config)
-    progress = Progress(place(root, "progress.json"))
+    progress = Progress.of(root, place(root, "progress.json"))
     with Lock(place(root, "index.lock")):
         progress.start("full" if force or not store.generation() else "incremental")
         try:
@@ -143,13 +143,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         ]
         print("\n".join(issues) or "no issues")
         return 4 if issues else 0
-    for line in sys.stdin:  # serve: a JSON request on each line
-        try:
-            request = json.loads(line)
-            print(json.dumps(server.call(request["tool"], request.get("arguments")), default=str), flush=True)
-        except (ValueError, KeyError, TypeError) as e:
-            print(json.dumps({"error": "invalid_args", "message": str(e)}), flush=True)
-    server.session.persist()
+    mcp.serve(server, sys.stdin, sys.stdout)
     return 0
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions import scalars as S
+from codeloom.lineage import cut
 from codeloom.schemas import EDGE_KINDS, EDGE_ORDER, PAGE, SYMBOL_KINDS, SYMBOL_ORDER
 
 SYMBOL_COLUMNS = ["symbol_id", "name", "kind", "file_path", "start_line", "end_line", "signature", "symbol_key", "container_name", "module_path"]
@@ -96,6 +97,20 @@ def query_edges(edges: DataFrame, source_id=None, target_id=None, kind=None, fil
     )
 
 
+def get_edges(edges, max_results=PAGE["edges"], cursor=None, probe=False, **filters) -> DataFrame:
+    return page(query_edges(edges, **filters), EDGE_ORDER, max_results, cursor, probe)
+
+
+def get_chunks(chunks, file_path=None, has_vector=None, max_results=PAGE["chunks"]) -> DataFrame:
+    """Chunks of a file, with or without vectors."""
+    found = where_all(chunks, equal("file_path", file_path), None if has_vector is None else F.coalesce("has_vector", F.lit(False)) == has_vector)
+    return page(found, ("file_path", "start_line", "chunk_id"), max_results)
+
+
+def get_diagnostics(diagnostics, max_results=PAGE["diagnostics"]) -> DataFrame:
+    return page(diagnostics, ("file_path",), max_results)
+
+
 def _edges(edges: DataFrame, max_results: int) -> DataFrame:
     return page(edges, EDGE_ORDER, max_results)
 
@@ -130,15 +145,22 @@ def get_hierarchy(edges, symbol_id, direction="ancestors", max_results=PAGE["edg
     return rows.select("source_symbol_id", F.coalesce("target_symbol_id", F.lit("")).alias("target_symbol_id"), "kind")
 
 
-def ancestors_closure(edges: DataFrame, symbol_id: str, depth: int = 10) -> DataFrame:
-    """Extension: all ancestors over INHERITS with their least distance, up to ``depth`` hops."""
+def ancestors_closure(edges: DataFrame, symbol_id: str) -> DataFrame:
+    """Extension: all ancestors over INHERITS with their least distance.
+
+    A symbol has few ancestors and the table many edges, so each hop joins the newest ones with the edges
+    (a filter with a short list) until there is none that was not found before; a circle ends too.
+    """
     steps = query_edges(edges, kind="inherits").where("target_symbol_id IS NOT NULL").select(F.col("source_symbol_id").alias("s"), F.col("target_symbol_id").alias("t"))
-    front = steps.where(F.col("s") == symbol_id).select("t").distinct()
-    found = front.select(F.col("t").alias("ancestor"), F.lit(1).alias("distance"))
-    for d in range(2, depth + 1):
-        front = front.withColumnRenamed("t", "s").join(steps, "s").select("t").distinct()
-        found = found.unionAll(front.select(F.col("t").alias("ancestor"), F.lit(d).alias("distance")))
-    return found.groupBy("ancestor").agg(F.min("distance").alias("distance"))
+    spark, schema = edges.sparkSession, "ancestor string, distance int"
+    found, front = spark.createDataFrame([], schema), spark.createDataFrame([(symbol_id, 0)], schema)
+    while True:
+        d = front.first().distance + 1
+        front = front.join(steps, F.col("ancestor") == F.col("s")).select(F.col("t").alias("ancestor"), F.lit(d).alias("distance")).distinct()
+        front = cut(front.join(found, "ancestor", "left_anti"))
+        if front.isEmpty():
+            return found
+        found = cut(found.unionByName(front))
 
 
 def resolve_symbol(symbols, name, kind=None, file_context=None) -> DataFrame:

@@ -82,8 +82,8 @@ def delete_by_file(target: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def staleness(state: DataFrame, head: str | None, dirty: bool, changed: DataFrame | None = None) -> DataFrame:
-    """One row: is_stale, reason, head_changed, changed_file_count; no state is a stale index."""
-    n = changed.agg(F.count("*").cast("int").alias("changed")) if changed is not None else state.sparkSession.sql("SELECT 0 AS changed")
+    """One row: is_stale, reason, head_changed, changed_file_count (-1 without ``changed``); no state is a stale index."""
+    n = changed.agg(F.count("*").cast("int").alias("changed")) if changed is not None else state.sparkSession.sql("SELECT -1 AS changed")
     stored = state.agg(F.max("workspace_state.head_commit").alias("stored"), F.count("*").alias("states"))
     now = F.lit(head)
     moved = F.coalesce((now != "") & (F.col("stored") != "") & (now != F.col("stored")), F.lit(False))

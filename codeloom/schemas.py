@@ -26,6 +26,7 @@ CHUNKS = table("""chunk_id string NOT NULL, file_path string NOT NULL, content s
 DIAGNOSTICS = table("""file_path string NOT NULL, parse_status string, error_count int,
     error_spans array<struct<start_line:int,start_column:int,end_line:int,end_column:int,type:string>>, indexed_at timestamp""")
 MANIFEST = table("file_path string NOT NULL, language string, mtime double, size long, parse_status string")
+IMPORTS = table("file_path string NOT NULL, module string NOT NULL, resolved_path string")
 PACKAGE_ROOTS = table("path string NOT NULL, language string, package_name string")
 STATE = table("""schema_version int, generation int,
     workspace_state struct<head_commit:string,is_dirty:boolean,default_branch:string,indexed_at:string>,
@@ -33,10 +34,10 @@ STATE = table("""schema_version int, generation int,
     repo_stats struct<file_count:long,total_bytes:long,total_tokens:long,median_file_tokens:long,p75_file_tokens:long,p90_file_tokens:long>""")
 TOOL_CALLS = table("session_id string, tool string, naive_tokens long, actual_tokens long, ts timestamp_ntz")
 
-TABLES = {"symbols": SYMBOLS, "edges": EDGES, "chunks": CHUNKS, "diagnostics": DIAGNOSTICS, "manifest": MANIFEST, "state": STATE, "package_roots": PACKAGE_ROOTS}
+TABLES = {"symbols": SYMBOLS, "edges": EDGES, "chunks": CHUNKS, "diagnostics": DIAGNOSTICS, "manifest": MANIFEST, "imports": IMPORTS, "state": STATE, "package_roots": PACKAGE_ROOTS}
 KEYS = {"symbols": "symbol_id", "edges": "edge_id", "chunks": "chunk_id", "diagnostics": "file_path", "manifest": "file_path"}
 
 # Page sizes and other limits that answers depend on.
-PAGE = {"symbols": 50, "edges": 200, "chunks": 200, "file_summary": 500, "vector": 10, "diagnostics": 10_000, "snippet_lines": 120}
+PAGE = {"symbols": 50, "edges": 200, "chunks": 200, "file_summary": 500, "vector": 10, "diagnostics": 10_000, "snippet_lines": 120, "candidates": 200}
 SYMBOL_ORDER = ("file_path", "start_line", "symbol_id")
 EDGE_ORDER = ("file_path", "start_line", "column", "edge_id")

@@ -16,6 +16,7 @@ class Git:
         self.root, self.index_dir = root, index_dir
 
     def run(self, *args: str, check: bool = False) -> str:
+        """What a command prints; nothing if it fails, unless that is to be an error."""
         done = subprocess.run(["git", "-C", self.root, *args], capture_output=True, text=True, check=check, errors="replace")
         return done.stdout if done.returncode == 0 else ""
 
@@ -55,19 +56,30 @@ class Git:
         return self._ours(self.run("diff", "-z", "--name-only", "--cached").split("\0"))
 
     def tracked(self) -> list[str]:
-        return sorted(set(self._ours(self.run("ls-files", "-z", "--cached", "--others", "--exclude-standard").split("\0"))))
+        """Tracked files that are there and untracked ones that are not ignored; a submodule's stand for the submodule."""
+        subs, gone = self.submodules(), set(self.run("ls-files", "-z", "--deleted").split("\0"))
+        own = self._ours(self.run("ls-files", "-z", "--cached", "--others", "--exclude-standard").split("\0"))
+        inside = [f"{s}/{p}" for s in subs for p in Git(os.path.join(self.root, s)).tracked()]
+        return sorted(({p for p in own if p not in subs} | set(inside)) - gone)
 
     def submodules(self) -> list[str]:
         return sorted(x.split()[-1] for x in self.run("config", "--file", ".gitmodules", "--get-regexp", "path").splitlines() if x.strip())
 
     def ignored(self, paths: list[str]) -> list[str]:
-        done = subprocess.run(["git", "-C", self.root, "check-ignore", "-z", "--stdin"], input="\0".join(paths), capture_output=True, text=True)
-        return [p for p in done.stdout.split("\0") if p]
+        """Those of ``paths`` that ignore rules name; the ones in a submodule by its own rules."""
+        own, out = list(paths), []
+        for sub in self.submodules():
+            inside = [p for p in own if p.startswith(f"{sub}/")]
+            own = [p for p in own if not p.startswith(f"{sub}/")]
+            if inside:
+                out += [f"{sub}/{p}" for p in Git(os.path.join(self.root, sub)).ignored([p.removeprefix(f"{sub}/") for p in inside])]
+        done = subprocess.run(["git", "-C", self.root, "check-ignore", "-z", "--stdin"], input="\0".join(own), capture_output=True, text=True)
+        return out + [p for p in done.stdout.split("\0") if p]
 
     def changes(self, base: str, head: str | None = None, worktree: bool = True) -> list[dict]:
-        """Changes since ``base`` with real statuses; renames have both paths; other codes are left out."""
+        """Changes since ``base`` with real statuses; renames have both paths; other codes are left out. Raises if ``base`` is unknown."""
         out = []
-        fields = self.run("diff", "-z", "--name-status", "-M", *([f"{base}..{head}"] if head and not worktree else [base])).split("\0")
+        fields = self.run("diff", "-z", "--name-status", "-M", *([f"{base}..{head}"] if head and not worktree else [base]), check=True).split("\0")
         i = 0
         while i + 1 < len(fields):
             code = fields[i][:1]

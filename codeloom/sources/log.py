@@ -8,7 +8,7 @@ import os
 from datetime import datetime, timezone
 from logging.handlers import RotatingFileHandler
 
-from codeloom.sources.config import Server
+from codeloom.sources.config import Config
 
 PLAIN = set(vars(logging.makeLogRecord({}))) | {"message", "asctime"}
 
@@ -25,9 +25,9 @@ class JsonLines(logging.Formatter):
         return json.dumps(out, default=str)
 
 
-def setup(folder: str, server: Server | None = None, name: str = "codeloom") -> logging.Logger:
+def setup(folder: str, config: Config | None = None, name: str = "codeloom") -> logging.Logger:
     """The library's logger, writing to the configured file; a second call replaces the handlers of the first."""
-    server = server or Server()
+    server = (config or Config()).server
     os.makedirs(folder, exist_ok=True)
     handler = RotatingFileHandler(os.path.join(folder, server.log_file), maxBytes=server.log_max_size_mb << 20, backupCount=server.log_keep_rotations, encoding="utf-8")
     handler.setFormatter(JsonLines())

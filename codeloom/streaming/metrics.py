@@ -114,6 +114,15 @@ class Progress:
         self.active: str | None = None
         self.last: str | None = None
 
+    _of: dict[str, Progress] = {}
+
+    @classmethod
+    def of(cls, root: str, path: str | None = None) -> Progress:
+        """The one tracker of a repository in this process."""
+        found = cls._of.setdefault(os.path.realpath(root), cls(path))
+        found.path = found.path or path
+        return found
+
     def start(self, mode: str = "full") -> str:
         with self._lock:
             op = uuid.uuid4().hex
@@ -240,6 +249,19 @@ class Session:
             write_json(path, now | {"session_id": self.id})
         return {k: now[k] - before.get(k, 0) for k in now}
 
+    def end(self) -> None:
+        """Forgets what was last reported."""
+        try:
+            os.remove(os.path.join(self.folder or "", "last-reported.json"))
+        except OSError:
+            pass
+
+    @staticmethod
+    def last(folder: str) -> dict | None:
+        """The metrics of the session before; None if there is none or its file can't be read."""
+        data = read_json(os.path.join(folder, "last-session.json"))
+        return data.get("metrics") if isinstance(data, dict) else None
+
     def markdown(self) -> str:
         m = self.metrics()
         lines = ["", "### Session Metrics", "", "| Tool | Calls | Tokens saved |", "| :--- | :---: | :--- |"]
