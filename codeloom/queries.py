@@ -5,31 +5,16 @@ A query with a page keeps its limit, as the page is the feature; all others run
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from codeloom.functions import scalars as S
 from codeloom.functions import vectors as V
 from codeloom.operators import chunking, lookup, planning, stats, vector
-from codeloom.views import Views, duck
-
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, *views: str):
-    """Registers a function of the views under its name, with its DuckDB twin over the named views."""
-
-    def keep(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Views(spark, sf_dir))
-        if sql:
-            ORACLE_SQL[f.__name__] = duck(sql, *views) if views else sql
-        return f
-
-    return keep
-
+from codeloom.registry import ORACLE_SQL, QUERIES, query  # noqa: F401  the first two are read from here
+from codeloom.schemas import SYMBOLS
 
-SYMBOL = "Brand_11/ECONOMY/part_1.py"
 MODULE = r"translate(regexp_replace(file_path, '\.(py|tsx?|jsx?|java|cs|go|rs|c|cpp|h|hpp)$', ''), '/\', '..')"
 KEY = f"concat_ws('.', CASE WHEN module_path <> '' THEN module_path ELSE {MODULE} END, container_name, name) || ':' || kind"
 D1 = f"symbol_id, name, kind, file_path, start_line, end_line, signature, {KEY} AS symbol_key, container_name, module_path"
@@ -113,9 +98,12 @@ def call_graph_incoming(v):
     return lookup.get_call_graph(v.edges, "part:5", "incoming")
 
 
-@query(f"SELECT source_symbol_id, coalesce(target_symbol_id, '') AS target_symbol_id, kind FROM v_edges WHERE kind = 'inherits' AND source_symbol_id = 'order:3' {ORDERED_EDGES} LIMIT 200", "v_edges")
+HEIR = "(SELECT min(source_symbol_id) FROM v_edges WHERE kind = 'inherits')"
+
+
+@query(f"SELECT source_symbol_id, coalesce(target_symbol_id, '') AS target_symbol_id, kind FROM v_edges WHERE kind = 'inherits' AND source_symbol_id = {HEIR} {ORDERED_EDGES} LIMIT 200", "v_edges")
 def hierarchy_ancestors(v):
-    return lookup.get_hierarchy(v.edges, "order:3")
+    return lookup.get_hierarchy(v.edges, v.edges.where("kind = 'inherits'").agg(F.min("source_symbol_id")).first()[0])
 
 
 @query(f"SELECT source_symbol_id, coalesce(target_symbol_id, '') AS target_symbol_id, kind FROM v_edges WHERE kind = 'inherits' AND target_symbol_id = 'part:6' {ORDERED_EDGES} LIMIT 200", "v_edges")
@@ -130,7 +118,7 @@ def hierarchy_descendants(v):
     "v_inherits",
 )
 def hierarchy_closure(v):
-    return lookup.ancestors_closure(v.inherits.withColumn("kind", F.lit("inherits")), "customer:1", 4)
+    return lookup.ancestors_closure(v.inherits.withColumn("kind", F.lit("inherits")), "customer:1")
 
 
 @query(f"SELECT source_symbol_id, kind, ref_text, file_path, start_line AS line FROM v_edges WHERE target_symbol_id = 'part:8' {ORDERED_EDGES} LIMIT 200", "v_edges")
@@ -161,9 +149,18 @@ def edge_kind_census(v):
     return v.edges.groupBy("kind", "file_path").agg(F.count("*").alias("edges"), F.count("target_symbol_id").alias("resolved"))
 
 
-@query("SELECT file_path, count(*) AS edge_count, count(*) FILTER (WHERE kind = 'imports') AS import_count FROM v_edges WHERE file_path = 'supp2.py' GROUP BY file_path", "v_edges")
+@query(
+    """SELECT f.file_path, (SELECT string_agg(concat_ws('|', name, kind, start_line, end_line, signature), ';' ORDER BY start_line, symbol_id) FROM v_symbols s WHERE s.file_path = f.file_path) AS symbols,
+    (SELECT count(*) FROM v_symbols s WHERE s.file_path = f.file_path) AS symbol_count, (SELECT count(*) FROM v_part_edges e WHERE e.file_path = f.file_path) AS edge_count,
+    (SELECT count(*) FROM v_part_edges e WHERE e.file_path = f.file_path AND kind = 'imports') AS import_count FROM (SELECT file_path FROM v_symbols WHERE p_partkey = 2) f""",
+    "v_symbols",
+    "v_edges",
+    "v_part_edges",
+)
 def file_summary(v):
-    return lookup.file_summary(v.symbols, v.edges, "supp2.py").select("file_path", "edge_count", "import_count")
+    path = v.symbols.where("p_partkey = 2").first().file_path
+    line = lambda s: F.concat_ws("|", s["name"], s["kind"], s["start_line"], s["end_line"], s["signature"])
+    return lookup.file_summary(v.symbols, v.part_edges, path).withColumn("symbols", F.array_join(F.transform("symbols", line), ";"))
 
 
 @query("SELECT language, kind, count(*) AS n FROM v_symbols GROUP BY ROLLUP (language, kind)", "v_symbols")
@@ -399,10 +396,20 @@ def delete_by_file(v):
     return planning.delete_by_file(v.edges.select("edge_id", "file_path"), v.edge_manifest)
 
 
-@query("SELECT TRUE AS is_stale, 'head_changed' AS reason, TRUE AS head_changed, CAST(count(*) AS INTEGER) AS changed_file_count FROM v_manifest WHERE mtime % 3 = 0", "v_manifest")
+@query(
+    """SELECT * FROM (VALUES ('no index', TRUE, 'no_index', FALSE, 0), ('same', FALSE, '', FALSE, 0), ('dirty', TRUE, 'worktree_dirty', FALSE, 0), ('commit gone', TRUE, 'head_changed', TRUE, -1), ('no repository', FALSE, '', FALSE, 0))
+    AS t("case", is_stale, reason, head_changed, changed_file_count) UNION ALL SELECT 'moved', TRUE, 'head_changed', TRUE, CAST(count(*) AS INTEGER) FROM v_manifest WHERE mtime % 3 = 0""",
+    "v_manifest",
+)
 def staleness_check(v):
     state = v.spark.sql("SELECT named_struct('head_commit', 'a') AS workspace_state")
-    return planning.staleness(state, "b", True, v.manifest.where("mtime % 3 = 0"))
+    changed = v.manifest.where("mtime % 3 = 0")
+    cases = {
+        "no index": (state.where("false"), "a", False, changed), "same": (state, "a", False, changed), "dirty": (state, "a", True, changed), "moved": (state, "b", True, changed),
+        "commit gone": (state, "b", False, None), "no repository": (state, None, False, changed),
+    }
+    rows = [planning.staleness(*given).select(F.lit(case).alias("case"), "*") for case, given in cases.items()]
+    return reduce(lambda a, b: a.unionByName(b), rows)
 
 
 # chunking
@@ -421,24 +428,36 @@ def sliding_windows(v):
     return chunking.windows(totals.where("total > 0").select("file_path", F.lit(1).alias("start_line"), F.col("total").alias("end_line")))
 
 
+SPANS = """(SELECT file_path, 1 + doc_id % 7 AS s, 1 + doc_id % 7 + doc_id % 3 AS e FROM v_files UNION ALL SELECT file_path, 2 + doc_id % 5, 4 + doc_id % 5 + doc_id % 4 FROM v_files
+    UNION ALL SELECT file_path, 20 + doc_id % 40, 30 + doc_id % 40 FROM v_files)"""
+
+
 @query(
-    """SELECT file_path, start_line, end_line FROM (SELECT file_path, 1 AS start_line, CAST(least(2, total) AS INTEGER) AS end_line FROM l WHERE total >= 1
-    UNION ALL SELECT file_path, 8 AS start_line, CAST(total AS INTEGER) AS end_line FROM l WHERE total >= 8) g""".replace(" l WHERE", f" ({LINE_COUNT}) l WHERE"),
+    f"""SELECT file_path, CAST(min(line) AS INTEGER) AS start_line, CAST(max(line) AS INTEGER) AS end_line FROM (
+    SELECT file_path, line, line - row_number() OVER (PARTITION BY file_path ORDER BY line) AS island FROM (SELECT file_path, unnest(range(1, total + 1)) AS line FROM ({LINE_COUNT}) c) l
+    WHERE NOT EXISTS (SELECT 1 FROM {SPANS} x WHERE x.file_path = l.file_path AND l.line BETWEEN x.s AND x.e)) g GROUP BY file_path, island""",
     "v_files",
 )
 def gap_regions(v):
     totals = v.files.select("file_path", F.size(chunking.split_lines(F.col("content"))).alias("total"))
-    spans = v.files.select("file_path", F.explode(F.array(F.struct(F.lit(3).alias("s"), F.lit(5).alias("e")), F.struct(F.lit(5).alias("s"), F.lit(7).alias("e")))).alias("x"))
-    return chunking.gap_regions(spans.select("file_path", F.col("x.s").alias("start_line"), F.col("x.e").alias("end_line")), totals)
+    i = F.col("doc_id")
+    spans = ((1 + i % 7, 1 + i % 7 + i % 3), (2 + i % 5, 4 + i % 5 + i % 4), (20 + i % 40, 30 + i % 40))
+    each = F.explode(F.array(*[F.struct(s.cast("int").alias("start_line"), e.cast("int").alias("end_line")) for s, e in spans]))
+    return chunking.gap_regions(v.files.select("file_path", each.alias("x")).select("file_path", "x.*"), totals)
+
+
+#: Lines a to b of a content with ``total`` lines, with their ends.
+SLICE = "array_to_string(string_split(content, chr(10))[{a}:{b}], chr(10)) || CASE WHEN {b} < total OR right(content, 1) = chr(10) THEN chr(10) ELSE '' END"
 
 
 @query(
-    f"""SELECT file_path, 2 AS start_line, CAST(least(4, total) AS INTEGER) AS end_line, total AS total_lines, total > 4 AS truncated FROM ({LINE_COUNT}) l WHERE file_path = (SELECT min(file_path) FROM v_files)""",
+    f"""SELECT file_path, 2 AS start_line, CAST(least(4, total) AS INTEGER) AS end_line, total AS total_lines, {SLICE.format(a=2, b='least(4, total)')} AS content, total > 4 AS truncated
+    FROM ({LINE_COUNT}) l WHERE file_path = (SELECT min(file_path) FROM ({LINE_COUNT}) m WHERE total > 6)""",
     "v_files",
 )
 def snippet_range(v):
-    path = v.files.agg(F.min("file_path")).first()[0]
-    return lookup.snippet(v.files, path, 2, 4).drop("content")
+    path = v.files.where(F.size(chunking.split_lines(F.col("content"))) > 6).agg(F.min("file_path")).first()[0]
+    return lookup.snippet(v.files, path, 2, 4)
 
 
 @query("SELECT file_path, CASE WHEN length(content) > 200 THEN left(content, 200) || '...' ELSE content END AS content_preview FROM v_files", "v_files")
@@ -446,21 +465,16 @@ def content_preview(v):
     return v.files.select("file_path", S.preview(F.col("content")).alias("content_preview"))
 
 
+WINDOWS = """SELECT file_path, total, content, s, least(s + 49, total) AS e FROM (SELECT file_path, total, content, CAST(unnest(CASE WHEN total <= 50 THEN [1] ELSE range(1, total + 1, 40) END) AS INTEGER) AS s FROM ({}) l WHERE total > 0) w"""
+
+
 @query(
-    f"""SELECT file_path, 'File: ' || file_path || chr(10) || chr(10) || content AS embedding_text FROM ({LINE_COUNT}) l WHERE total BETWEEN 1 AND 50 AND regexp_replace(content, '\\s', '', 'g') <> ''""",
+    f"""SELECT file_path, s AS start_line, CAST(e AS INTEGER) AS end_line, 'File: ' || file_path || chr(10) || chr(10) || piece AS embedding_text FROM (SELECT *, {SLICE.format(a='s', b='e')} AS piece FROM ({WINDOWS.format(LINE_COUNT)}) x) y
+    WHERE regexp_replace(piece, '\\s', '', 'g') <> ''""",
     "v_files",
 )
 def chunk_embedding_text(v):
-    none = v.spark.createDataFrame([], "file_path string, symbol_id string, symbol_key string, symbol_key_exact string, name string, kind string, start_line int, end_line int, signature string, docstring string, container_name string")
-    chunks = chunking.chunk_files(v.files.withColumn("language", F.col("lang")), none)
-    one = Window.partitionBy("file_path")
-    return chunks.withColumn("n", F.count("*").over(one)).where("n = 1").select("file_path", "embedding_text")
-
-
-@query()
-def chunk_embedding_text_all(v):
-    """Every chunk, also of files of several windows, which chunk_embedding_text and its SQL leave out."""
-    none = v.spark.createDataFrame([], "file_path string, symbol_id string, symbol_key string, symbol_key_exact string, name string, kind string, start_line int, end_line int, signature string, docstring string, container_name string")
+    none = v.spark.createDataFrame([], SYMBOLS)
     chunks = chunking.chunk_files(v.files.withColumn("language", F.col("lang")), none)
     return chunks.select("file_path", "start_line", "end_line", "embedding_text")
 
@@ -498,9 +512,20 @@ def vector_truncate(v):
     return v.table("embeddings").select("vec_id", F.size(cut).cast("long").alias("n"), F.round(F.element_at(cut, -1).cast("double") * 100000).cast("long").alias("last"))
 
 
-@query()
+@query(
+    """, sized AS (SELECT file_path, CAST(greatest(1, floor(length(line) / 4.0)) AS BIGINT) AS tokens, i FROM (
+        SELECT file_path, unnest(string_split(content, chr(10))) AS line, unnest(range(0, len(string_split(content, chr(10))))) AS i FROM v_files) l),
+    ranked AS (SELECT file_path, tokens, row_number() OVER (PARTITION BY file_path ORDER BY tokens DESC, i DESC) AS n FROM sized),
+    packed AS (SELECT file_path, n, tokens, 0 AS batch, 1 AS held, 64 - tokens AS room FROM ranked WHERE n = 1
+        UNION ALL SELECT file_path, n, tokens, CASE WHEN fresh THEN batch + 1 ELSE batch END, CASE WHEN fresh THEN 1 ELSE held + 1 END, CASE WHEN fresh THEN 64 ELSE room END - tokens FROM (
+        SELECT r.file_path, r.n, r.tokens, p.batch, p.held, p.room, p.held = 4 OR r.tokens > p.room AS fresh FROM packed p JOIN ranked r ON r.file_path = p.file_path AND r.n = p.n + 1) x)
+    SELECT file_path, batch, CAST(count(*) AS INTEGER) AS texts, CAST(sum(tokens) AS INTEGER) AS tokens FROM packed GROUP BY file_path, batch""",
+    "v_files",
+)
 def batch_packing(v):
-    return vector.with_batches(v.files.select("file_path", F.col("content").alias("text"))).groupBy("batch_id").agg(F.count("*").alias("n"), F.sum("batch_tokens").alias("tokens"))
+    """Lines of each file in batches of at most 4 texts and 64 tokens."""
+    packed = vector.batches(v.files.select("file_path", F.split("content", "\n").alias("texts")), "texts", most=4, tokens=64)
+    return packed.select("file_path", F.posexplode("batches").alias("batch", "b")).select("file_path", "batch", F.size("b.members").alias("texts"), F.col("b.tokens").cast("int").alias("tokens"))
 
 
 @query("SELECT doc_id, CAST(list_sum(list_transform(string_split(left(text, 512), ''), lambda c: unicode(c) % 30000)) AS BIGINT) AS s FROM documents")
@@ -509,130 +534,222 @@ def char_code_tokens(v):
     return v.table("documents").select("doc_id", F.aggregate(codes, F.lit(0).cast("long"), lambda a, x: a + x).alias("s"))
 
 
-# parsing and resolution: the documents have no code, so each stands in a small module made of its words
+# streams, and the batch forms that they must equal
 
 
-def code_files(v):
-    """A Python file for each document: an import, a class with a method, and a function that calls it."""
-    word = F.regexp_replace(F.substring_index("content", " ", 1), r"[^A-Za-z]", "")
-    name = F.concat(F.lit("n"), word, F.col("doc_id").cast("string"))
-    code = F.concat(
-        F.lit("from pkg.mod import thing\n\nclass C"), name, F.lit(":\n    def run(self, x):\n        return thing(x)\n\ndef "), name, F.lit("(a, b):\n    return C"), name, F.lit("().run(a)\n")
-    )
-    return v.files.select(F.regexp_replace("file_path", r"\.[a-z]+$", ".py").alias("file_path"), F.lit("python").alias("language"), code.alias("content"))
+@query("SELECT session_id, tool, count(*) AS calls, CAST(sum(naive_tokens) AS BIGINT) AS naive_tokens, CAST(sum(actual_tokens) AS BIGINT) AS actual_tokens, CAST(sum(greatest(0, naive_tokens - actual_tokens)) AS BIGINT) AS running_saved FROM v_calls GROUP BY session_id, tool", "v_calls")
+def metrics_running(v):
+    from codeloom.streaming.metrics import running_metrics
 
+    return running_metrics(v.calls)
 
-def parsed(v):
-    from codeloom.plans.parse.operator import parse_files
 
-    return parse_files(code_files(v))
+@query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, tool, count(*) AS calls, CAST(sum(greatest(0, naive_tokens - actual_tokens)) AS BIGINT) AS saved FROM v_calls GROUP BY ALL", "v_calls")
+def metrics_daily(v):
+    from codeloom.streaming.metrics import windowed_metrics
 
+    return windowed_metrics(v.calls).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
-PY_PATH = "regexp_replace(file_path, '\\.[a-z]+$', '.py')"
-PY_NAME = "'n' || regexp_replace(split_part(content, ' ', 1), '[^A-Za-z]', '', 'g') || CAST(doc_id AS VARCHAR)"
 
+@query("SELECT language AS partition, count(*) AS files, count(*) FILTER (WHERE parse_status = 'error') AS failed FROM v_manifest GROUP BY language", "v_manifest")
+def partition_progress(v):
+    state = F.when(F.col("parse_status") == "error", "failed").otherwise("done")
+    row = stats.partition_progress(v.manifest.select(F.col("language").alias("partition"), state.alias("state")))
+    by = v.manifest.groupBy(F.col("language").alias("partition")).agg(F.count_if(F.col("parse_status") == "error").alias("failed"))
+    totals = row.select(F.explode("partition_files_total").alias("partition", "files"))
+    return totals.join(by, "partition").select("partition", F.col("files").cast("long").alias("files"), "failed")
 
-@query(
-    f"""SELECT file_path, name, kind, start_line, end_line, signature, container_name FROM (
-    SELECT {PY_PATH} AS file_path, 'C' || {PY_NAME} AS name, 'class' AS kind, 3 AS start_line, 5 AS end_line, 'class C' || {PY_NAME} AS signature, NULL AS container_name FROM v_files
-    UNION ALL SELECT {PY_PATH}, 'run', 'method', 4, 5, 'def run(self, x)', 'C' || {PY_NAME} FROM v_files
-    UNION ALL SELECT {PY_PATH}, {PY_NAME}, 'function', 7, 8, 'def ' || {PY_NAME} || '(a, b)', NULL FROM v_files) s""",
-    "v_files",
-)
-def parse_python(v):
-    from codeloom.plans.parse.operator import symbols_of
 
-    return symbols_of(parsed(v)).select("file_path", "name", "kind", "start_line", "end_line", "signature", "container_name")
+# pages of the store's other tables
 
 
-@query(
-    f"""SELECT file_path, kind, ref_text, start_line, "column" FROM (
-    SELECT {PY_PATH} AS file_path, 'imports' AS kind, 'from pkg.mod import thing' AS ref_text, 1 AS start_line, 0 AS "column" FROM v_files
-    UNION ALL SELECT {PY_PATH}, 'calls', 'thing(x)', 5, 15 FROM v_files
-    UNION ALL SELECT {PY_PATH}, 'calls', 'C' || {PY_NAME} || '().run(a)', 8, 11 FROM v_files
-    UNION ALL SELECT {PY_PATH}, 'calls', 'C' || {PY_NAME} || '()', 8, 11 FROM v_files) e""",
-    "v_files",
-)
-def parse_python_edges(v):
-    from codeloom.plans.parse.operator import edges_of
+EDGE_PAGE = "edge_id, source_symbol_id, target_symbol_id, kind, file_path, start_line, end_line, \"column\", ref_text"
+
+
+@query(f"SELECT {EDGE_PAGE} FROM v_edges WHERE kind = 'imports' {ORDERED_EDGES} LIMIT 51 OFFSET 50", "v_edges")
+def edges_page_2(v):
+    return lookup.get_edges(v.edges, 50, lookup.encode_cursor(50), probe=True, kind="imports").select(*[c.strip().strip('"') for c in EDGE_PAGE.split(",")])
+
+
+@query(f"SELECT {EDGE6} FROM v_edges WHERE kind = 'calls' AND target_symbol_id = 'part:5' {ORDERED_EDGES} LIMIT 200", "v_edges")
+def call_graph_other_direction(v):
+    """Whatever is not outgoing is incoming."""
+    return lookup.get_call_graph(v.edges, "part:5", "sideways")
+
 
-    return edges_of(parsed(v)).select("file_path", "kind", "ref_text", "start_line", "column")
+@query(f"SELECT source_symbol_id, kind, ref_text, file_path, start_line, \"column\" FROM v_edges {ORDERED_EDGES} LIMIT 200", "v_edges")
+def references_without_symbol(v):
+    """No symbol is no predicate."""
+    return lookup.find_references(v.edges, None)
 
 
-@query(f"SELECT {PY_PATH} AS file_path, 'C' || {PY_NAME} || '()' AS ref_text, {PY_PATH} || ':C' || {PY_NAME} || ':class:3' AS target_symbol_id FROM v_files", "v_files")
-def resolve_edge_targets(v):
-    from codeloom.operators.resolve import resolve_targets
-    from codeloom.plans.parse.operator import edges_of, symbols_of
+CHUNKED = "SELECT file_path || ':' || doc_id AS chunk_id, file_path, lang AS language, content, CAST(1 AS INTEGER) AS start_line, CAST(doc_id % 90 AS INTEGER) AS end_line, doc_id % 3 = 0 AS has_vector, doc_id FROM v_files"
 
-    p = parsed(v)
-    done = resolve_targets(edges_of(p), symbols_of(p)).where("resolution_method = 'same_file' AND kind = 'calls'")
-    return done.where("ref_text LIKE 'C%()'").select("file_path", "ref_text", "target_symbol_id")
 
+def chunks_of_files(v):
+    i = F.col("doc_id")
+    return v.files.select(F.concat_ws(":", "file_path", i.cast("string")).alias("chunk_id"), "file_path", F.col("lang").alias("language"), "content", F.lit(1).alias("start_line"), (i % 90).cast("int").alias("end_line"), (i % 3 == 0).alias("has_vector"), "doc_id")
 
-@query()
-def parse_typescript(v):
-    from codeloom.plans.parse.operator import parse_files, symbols_of
 
-    word = F.regexp_replace(F.substring_index("content", " ", 1), r"[^A-Za-z]", "")
-    code = F.concat(F.lit("import { a } from './a';\nexport class K"), word, F.lit(" extends B {\n  run(x: number): void { a(x); }\n}\nexport const f = (y: string): string => a(y);\n"))
-    return symbols_of(parse_files(v.files.select("file_path", F.lit("typescript").alias("language"), code.alias("content")))).select("file_path", "name", "kind", "signature")
+@query(f"SELECT chunk_id, file_path, has_vector FROM ({CHUNKED}) c WHERE has_vector ORDER BY file_path, start_line, chunk_id LIMIT 200", "v_files")
+def chunks_with_vectors(v):
+    return lookup.get_chunks(chunks_of_files(v), has_vector=True).select("chunk_id", "file_path", "has_vector")
 
 
-@query()
-def parse_diagnostics(v):
-    from codeloom.plans.parse.operator import diagnostics_of, parse_files
+@query(f"SELECT chunk_id, file_path, has_vector FROM ({CHUNKED}) c WHERE NOT has_vector AND file_path = (SELECT min(file_path) FROM v_files WHERE doc_id % 3 = 1)", "v_files")
+def chunks_of_file_without_vectors(v):
+    path = v.files.where("doc_id % 3 = 1").agg(F.min("file_path")).first()[0]
+    return lookup.get_chunks(chunks_of_files(v), path, False).select("chunk_id", "file_path", "has_vector")
 
-    code = F.concat(F.lit("def f(:\n"), F.substring("content", 1, 0))
-    return diagnostics_of(parse_files(v.files.select("file_path", F.lit("python").alias("language"), code.alias("content"))))
+
+@query("SELECT file_path, parse_status FROM v_manifest WHERE parse_status <> 'ok' ORDER BY file_path LIMIT 10000", "v_manifest")
+def diagnostics_page(v):
+    return lookup.get_diagnostics(v.manifest.where("parse_status <> 'ok'").select("file_path", "parse_status"))
+
+
+@query("SELECT edge_id, CASE WHEN kind = 'calls' THEN 'new' ELSE ref_text END AS ref_text FROM v_edges", "v_edges")
+def upsert_edges(v):
+    e = v.edges.select("edge_id", "ref_text", "kind")
+    return planning.upsert(e, e.where("kind = 'calls'").withColumn("ref_text", F.lit("new")), "edge_id").select("edge_id", "ref_text")
+
+
+@query(f"SELECT chunk_id, CASE WHEN doc_id % 4 = 0 THEN 'v2' ELSE 'v1' END AS content FROM ({CHUNKED}) c UNION ALL SELECT 'new:' || doc_id, 'v2' FROM v_files WHERE doc_id % 10 = 0", "v_files")
+def upsert_chunks(v):
+    """Chunks that are replaced, each of them twice in the batch, and chunks that are new."""
+    c = chunks_of_files(v).select("chunk_id", F.lit("v1").alias("content"), "doc_id")
+    again = c.where("doc_id % 4 = 0").withColumn("content", F.lit("v2"))
+    new = c.where("doc_id % 10 = 0").select(F.concat(F.lit("new:"), F.col("doc_id").cast("string")).alias("chunk_id"), F.lit("v2").alias("content"), "doc_id")
+    return planning.upsert(c, again.union(again).union(new), "chunk_id").select("chunk_id", "content")
 
 
 @query(
-    """SELECT file_path, 'pkg.' || lang AS module, CASE WHEN lang IN ('en', 'de') THEN 'src/pkg/' || lang || '.py' WHEN lang = 'fr' THEN 'pkg/fr/__init__.py' END AS resolved_path,
-    lang NOT IN ('en', 'de', 'fr') AS is_external FROM v_files""",
+    f"""SELECT file_path, 2 AS start_line, CAST(least(4, total) AS INTEGER) AS end_line, total AS total_lines, {SLICE.format(a=2, b='least(4, total)')} AS content, total > 4 AS truncated
+    FROM ({LINE_COUNT}) l WHERE file_path = (SELECT max(file_path) FROM ({LINE_COUNT}) m WHERE total > 6)""",
     "v_files",
 )
-def resolve_python_imports(v):
-    from codeloom.operators.resolve import resolve_python
+def snippet_line_cap(v):
+    """Without an end, as many lines as the cap allows."""
+    path = v.files.where(F.size(chunking.split_lines(F.col("content"))) > 6).agg(F.max("file_path")).first()[0]
+    return lookup.snippet(v.files, path, 2, 0, max_lines=3)
+
+
+@query("SELECT TRUE AS indexed, 7 AS generation, count(*) AS file_count, CAST(ceil(CAST(sum(size) AS DOUBLE) * CAST(0.75 AS DOUBLE)) AS BIGINT) AS total_tokens, TRUE AS is_dirty, 'b' AS current_head, 'hashing' AS embedding_provider FROM v_manifest", "v_manifest")
+def repo_overview(v):
+    from codeloom.plans.indexer import state_row
+    from codeloom.sources.config import Config
 
-    have = ["src/pkg/en.py", "src/pkg/de.py", "src/pkg/de/__init__.py", "pkg/fr/__init__.py", "pkg/de.py"]
-    files = v.spark.createDataFrame([(p,) for p in have], "file_path string")
-    imports = v.files.select("file_path", F.concat(F.lit("pkg."), "lang").alias("module"))
-    return resolve_python(imports, files, ["src", "."]).select("file_path", "module", "resolved_path", "is_external")
+    row = lookup.repo_overview(state_row(v.spark, v.manifest, 7, None, Config()), True, "b")
+    return row.select("indexed", "generation", "file_count", "total_tokens", "is_dirty", "current_head", "embedding_provider")
+
+
+@query("SELECT 0::BIGINT AS file_count, 0::BIGINT AS total_bytes, 0::BIGINT AS total_tokens, 0::BIGINT AS median_file_tokens, 0::BIGINT AS p75_file_tokens, 0::BIGINT AS p90_file_tokens")
+def repo_stats_of_nothing(v):
+    return stats.repo_stats(v.manifest.where("false"))
+
+
+@query("SELECT array_to_string(list(file_path ORDER BY mtime), ';') AS errors FROM (SELECT file_path, mtime FROM v_manifest WHERE parse_status = 'error' ORDER BY mtime DESC LIMIT 20) e", "v_manifest")
+def newest_errors(v):
+    errors = v.manifest.where("parse_status = 'error'").select("mtime", F.col("file_path").alias("message"))
+    return stats.last_errors(errors, "mtime").select(F.array_join("errors", ";").alias("errors"))
 
 
 @query(
-    """SELECT file_path, '../lib/' || lang AS module, CASE WHEN lang = 'en' THEN 'src/lib/en.ts' WHEN lang = 'de' THEN 'src/lib/de/index.ts' END AS resolved_path FROM (SELECT 'src/app/' || CAST(doc_id AS VARCHAR) || '.ts' AS file_path, lang FROM v_files) f""",
+    """, t AS (SELECT tool, count(*) AS calls, CAST(sum(naive_tokens) AS BIGINT) AS n, CAST(sum(actual_tokens) AS BIGINT) AS a, CAST(greatest(0, sum(naive_tokens) - sum(actual_tokens)) AS BIGINT) AS saved FROM v_calls GROUP BY tool),
+    s AS (SELECT CAST(sum(n) AS BIGINT) AS n, CAST(sum(a) AS BIGINT) AS a, CAST(greatest(0, sum(n) - sum(a)) AS BIGINT) AS saved FROM t)
+    SELECT concat(chr(10), '### Session Metrics', chr(10), chr(10), '| Tool | Calls | Tokens saved |', chr(10), '| :--- | :---: | :--- |', chr(10),
+    (SELECT string_agg(concat('| ', tool, ' | ', calls, ' | ', format('{:,}', saved), ' |'), chr(10) ORDER BY tool) FROM t), chr(10), chr(10), '**Totals:**', chr(10), '- Tokens without index: ', format('{:,}', n), chr(10),
+    '- Actual tokens returned: ', format('{:,}', a), chr(10), '- Total tokens saved: ', format('{:,}', saved), chr(10), '- Percent saved: ', printf('%.1f', round(CAST(saved AS DOUBLE) / n * 100, 1)), '%') AS formatted FROM s""",
+    "v_calls",
+)
+def metrics_markdown(v):
+    return stats.metrics_markdown(stats.tool_metrics(v.calls), stats.session_totals(v.calls))
+
+
+# sources and paths
+
+
+@query("SELECT file_path, language FROM (SELECT file_path, CASE WHEN file_path LIKE '%.py' THEN 'python' WHEN file_path LIKE '%.ts' THEN 'typescript' WHEN file_path LIKE '%.go' THEN 'go' WHEN file_path LIKE '%.rs' THEN 'rust' END AS language, doc_id FROM v_files) f WHERE language IN ('python', 'go') AND NOT starts_with(file_path, 'src2/') AND doc_id % 5 <> 0", "v_files")
+def discovered_files(v):
+    """Files of two languages outside one folder, without those that are ignored."""
+    from codeloom.sources.files import discover
+
+    return discover(v.files, ["src2/**"], ["python", "go"], v.files.where("doc_id % 5 = 0")).select("file_path", "language")
+
+
+@query(
+    """SELECT file_path, split_part(file_path, '/', 1) || '/' || split_part(file_path, '/', 2) AS parent, split_part(file_path, '/', 1) || '/x/' || split_part(file_path, '/', 3) AS collapsed, '.' || split_part(file_path, '.', -1) AS extension FROM v_files""",
     "v_files",
 )
-def resolve_script_imports(v):
-    from codeloom.operators.resolve import resolve_script
+def path_parts(v):
+    from codeloom.operators.resolve import joined, parent
 
-    files = v.spark.createDataFrame([("src/lib/en.ts",), ("src/lib/de/index.ts",), ("src/lib/en.js",)], "file_path string")
-    imports = v.files.select(F.concat(F.lit("src/app/"), F.col("doc_id").cast("string"), F.lit(".ts")).alias("file_path"), F.concat(F.lit("../lib/"), "lang").alias("module"))
-    return resolve_script(imports, files).select("file_path", "module", "resolved_path")
+    path = F.col("file_path")
+    moved = joined(parent(path), F.lit("./.././y/../x"), F.regexp_extract(path, r"[^/]*$", 0))
+    return v.files.select("file_path", parent(path).alias("parent"), moved.alias("collapsed"), S.extension(path).alias("extension"))
 
 
-# streams, and the batch forms that they must equal
+@query("SELECT l_returnflag, CASE l_returnflag WHEN 'A' THEN 'added' WHEN 'R' THEN 'renamed' END AS status, count(*) AS n FROM lineitem GROUP BY ALL")
+def status_words(v):
+    return v.table("lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n")).withColumn("status", S.status_word(F.col("l_returnflag")))
 
 
-@query("SELECT session_id, tool, count(*) AS calls, CAST(sum(naive_tokens) AS BIGINT) AS naive_tokens, CAST(sum(actual_tokens) AS BIGINT) AS actual_tokens, CAST(sum(greatest(0, naive_tokens - actual_tokens)) AS BIGINT) AS running_saved FROM v_calls GROUP BY session_id, tool", "v_calls")
-def metrics_running(v):
-    from codeloom.streaming.metrics import running_metrics
+@query("SELECT language, '[' || repeat('#', CAST(20 * d // n AS INTEGER)) || repeat('-', CAST(20 - 20 * d // n AS INTEGER)) || ']' AS bar FROM (SELECT language, count(*) FILTER (WHERE parse_status = 'ok') AS d, count(*) AS n FROM v_manifest GROUP BY language) m", "v_manifest")
+def progress_bars(v):
+    by = v.manifest.groupBy("language").agg(F.count_if(F.col("parse_status") == "ok").alias("d"), F.count("*").alias("n"))
+    return by.select("language", S.progress_bar(F.col("d"), F.col("n")).alias("bar"))
 
-    return running_metrics(v.calls)
 
+# search over chunks
 
-@query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, tool, count(*) AS calls, CAST(sum(greatest(0, naive_tokens - actual_tokens)) AS BIGINT) AS saved FROM v_calls GROUP BY ALL", "v_calls")
-def metrics_daily(v):
-    from codeloom.streaming.metrics import windowed_metrics
 
-    return windowed_metrics(v.calls).withColumn("start", F.col("start").cast("timestamp_ntz"))
+SEARCHED = f"(SELECT c.*, embedding FROM ({CHUNKED}) c JOIN embeddings ON vec_id = doc_id)"
+DISTANCE = f"list_distance(CAST(embedding AS DOUBLE[]), {UNIT}) ** 2"
 
 
-@query("SELECT language AS partition, count(*) AS files, count(*) FILTER (WHERE parse_status = 'error') AS failed FROM v_manifest GROUP BY language", "v_manifest")
-def partition_progress(v):
-    state = F.when(F.col("parse_status") == "error", "failed").otherwise("done")
-    row = stats.partition_progress(v.manifest.select(F.col("language").alias("partition"), state.alias("state")))
-    by = v.manifest.groupBy(F.col("language").alias("partition")).agg(F.count_if(F.col("parse_status") == "error").alias("failed"))
-    totals = row.select(F.explode("partition_files_total").alias("partition", "files"))
-    return totals.join(by, "partition").select("partition", F.col("files").cast("long").alias("files"), "failed")
+def searched(v):
+    return chunks_of_files(v).join(v.table("embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), "doc_id").withColumn("symbol_ids", F.array("file_path"))
+
+
+@query(f"SELECT chunk_id, file_path, start_line, end_line, round({DISTANCE}, 6) AS score, file_path AS symbol_ids, CASE WHEN length(content) > 200 THEN left(content, 200) || '...' ELSE content END AS content_preview FROM {SEARCHED} s ORDER BY {DISTANCE}, chunk_id LIMIT 10", "v_files")
+def semantic_search(v):
+    hits = lookup.semantic_rows(vector.vector_search(searched(v), QUERY_VECTOR))
+    return hits.withColumns({"score": F.round("score", 6), "symbol_ids": F.array_join("symbol_ids", ",")})
+
+
+@query(f"SELECT chunk_id, round({DISTANCE}, 6) AS distance FROM {SEARCHED} s WHERE starts_with(file_path, 'src1/') AND language = 'de' ORDER BY {DISTANCE}, chunk_id LIMIT 10", "v_files")
+def search_below_path(v):
+    return vector.vector_search(searched(v), QUERY_VECTOR, path_prefix="src1/", language="de").select("chunk_id", F.round("distance", 6).alias("distance"))
+
+
+@query(f"SELECT chunk_id, round({DISTANCE}, 6) AS distance FROM {SEARCHED} s WHERE file_path NOT LIKE '%test%' AND doc_id % 2 = 0 ORDER BY {DISTANCE}, chunk_id LIMIT 10", "v_files")
+def search_without_tests(v):
+    """Every other file is below a folder of tests."""
+    chunks = searched(v).withColumn("file_path", F.when(F.col("doc_id") % 2 == 1, F.concat(F.lit("tests/"), "file_path")).otherwise(F.col("file_path")))
+    return vector.vector_search(chunks, QUERY_VECTOR, exclude_tests=True).select("chunk_id", F.round("distance", 6).alias("distance"))
+
+
+@query(f"SELECT chunk_id, doc_id % 4 <> 0 AND has_vector AS taken_over, regexp_replace(content, '\\s', '', 'g') <> '' OR (doc_id % 4 <> 0 AND has_vector) AS embedded FROM ({CHUNKED}) c", "v_files")
+def reembedded_chunks(v):
+    """Of chunks with vectors, a quarter has other contents now; only those and the ones without vectors are embedded."""
+    from codeloom.functions import embed
+
+    c = chunks_of_files(v)
+    old = c.where("has_vector").select("chunk_id", F.col("chunk_id").alias("content_hash8"), F.array(F.lit(9.0), F.lit(9.0)).cast("array<float>").alias("vector"))
+    now = c.select("chunk_id", F.when(F.col("doc_id") % 4 == 0, "other").otherwise(F.col("chunk_id")).alias("content_hash8"), F.col("content").alias("embedding_text"))
+    out = embed.reembed(now.withColumns({"vector": F.lit(None).cast("array<float>"), "has_vector": F.lit(False)}), old, dimension=64)
+    nine = F.col("vector") == F.array(F.lit(9.0), F.lit(9.0)).cast("array<float>")
+    return out.select("chunk_id", nine.alias("taken_over"), (nine | F.exists("vector", lambda x: x != 0)).alias("embedded"))
+
+
+@query(
+    """SELECT session_id, CAST(min(ts) AS TIMESTAMP) AS start, count(*) AS calls FROM (SELECT session_id, ts, sum(CASE WHEN gap IS NULL OR gap >= INTERVAL 12 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS n FROM (
+    SELECT session_id, ts, event_id, ts - lag(ts) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS gap FROM v_calls) g) s GROUP BY session_id, n""",
+    "v_calls",
+)
+def call_sessions(v):
+    from codeloom.streaming.metrics import sessions
+
+    return sessions(v.calls, "12 hours").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+from codeloom import code_queries  # noqa: E402, F401  registers its own

@@ -31,6 +31,8 @@ def view_sql(duck: bool) -> dict[str, str]:
         "v_edges": f"""SELECT {sha("concat_ws('|', kind, file_path, CAST(start_line AS STRING), CAST(column AS STRING), ref_text, source_symbol_id)")} AS edge_id, * FROM (
             SELECT 'order:' || CAST(l_orderkey AS STRING) AS source_symbol_id, CASE WHEN l_partkey % 7 <> 0 THEN 'part:' || CAST(l_partkey AS STRING) END AS target_symbol_id,
               {kind} AS kind, {file} AS file_path, l_linenumber AS start_line, l_linenumber AS end_line, CAST(l_quantity AS INT) AS column, {ref} AS ref_text FROM {{lineitem}}) AS e""".replace("AS column", "AS `column`" if not duck else 'AS "column"').replace("CAST(column", "CAST(`column`" if not duck else 'CAST("column"'),
+        "v_part_edges": f"""SELECT e.edge_id, e.source_symbol_id, e.target_symbol_id, e.kind, replace(p_brand, '#', '_') || '/' || p_type || '/part_' || CAST(p_partkey AS STRING) || '.py' AS file_path, e.start_line, e.ref_text
+            FROM {{v_edges}} AS e JOIN {{part}} AS p ON e.target_symbol_id = 'part:' || CAST(p_partkey AS STRING)""",
         "v_edge_manifest": """SELECT 'supp' || CAST(s_suppkey AS STRING) || '.py' AS file_path, 'python' AS language, CAST(s_suppkey AS DOUBLE) AS mtime,
             CAST(abs(round(s_acctbal * 100)) AS BIGINT) AS size, 'ok' AS parse_status FROM {supplier} WHERE s_suppkey % 11 <> 0""",
         "v_inherits": """SELECT 'customer:' || CAST(c_custkey AS STRING) AS source_symbol_id, 'nation:' || CAST(c_nationkey AS STRING) AS target_symbol_id FROM {customer}
@@ -54,7 +56,8 @@ class Views:
 
     def view(self, name: str) -> DataFrame:
         text = view_sql(False)[name]
-        return self.spark.sql(text, **{t: self.table(t) for t in TABLES if "{" + t + "}" in text})
+        given = {t: self.table(t) for t in TABLES if "{" + t + "}" in text}
+        return self.spark.sql(text, **given | ({"v_edges": self.edges} if "{v_edges}" in text else {}))
 
     @cached_property
     def files(self):
@@ -79,6 +82,11 @@ class Views:
     def edges(self):
         return self.view("v_edges")
 
+    @cached_property
+    def part_edges(self):
+        """Edges as if each stood in the file of the part that it points at."""
+        return self.view("v_part_edges")
+
     @cached_property
     def edge_manifest(self):
         return self.view("v_edge_manifest")
@@ -95,5 +103,5 @@ class Views:
 def duck(query: str, *names: str) -> str:
     """A DuckDB query over the named views."""
     texts = view_sql(True)
-    views = ", ".join(f"{n} AS ({texts[n].format(**{t: t for t in TABLES})})" for n in names)
-    return f"WITH {views} {query}" if "WITH RECURSIVE" not in query else query.replace("WITH RECURSIVE", f"WITH RECURSIVE {views}," , 1)
+    views = ", ".join(f"{n} AS ({texts[n].format(**{t: t for t in (*TABLES, "v_edges")})})" for n in names)
+    return f"WITH RECURSIVE {views} {query}" if "WITH RECURSIVE" not in query else query.replace("WITH RECURSIVE", f"WITH RECURSIVE {views}," , 1)
