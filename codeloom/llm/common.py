@@ -4,27 +4,25 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.lineage import cut  # noqa: F401  used by the operators from here
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data directory; the path may be of any store that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once, written to the shared checkpoint folder and read from there.
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` itself if every use of it computes the same rows in the same places, else ``df`` cut.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where neither that setting nor a
-    checkpoint folder exists (local tests) a temporary one is made.
+    Rows that come straight from files do; rows that were shuffled may arrive in another order when they are
+    computed again.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint"))
-    return df.checkpoint(eager=True)
+    return cut(df) if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
 
 
 def partitions(spark: SparkSession) -> int:

@@ -29,25 +29,34 @@ CELL = 1 << 21
 STEP = 6
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """64-bit SimHash of a text's word shingles; a bit is set if it is in over half of their hashes."""
+def hashes(text: str | None, words: int = WORDS) -> np.ndarray:
+    """XXH64 of each of a text's word shingles, repeats included; a text of fewer words is one shingle, one without words has none."""
     import xxhash
 
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
-        return 0
     digest = xxhash.xxh64_intdigest
     if len(parts) <= words:
-        return digest(b" ".join(parts), 42)
+        return np.array([digest(b" ".join(parts), 42)] if parts else [], "<u8")
     line = memoryview(b" ".join(parts))
     size = np.fromiter(map(len, parts), np.int64, len(parts))
     end = np.cumsum(size + 1) - 1
     starts, ends = (end - size)[: len(parts) - words + 1].tolist(), end[words - 1 :].tolist()
-    ones, n = np.zeros(64, np.int64), len(starts)
+    return np.fromiter((digest(line[a:b], 42) for a, b in zip(starts, ends, strict=True)), "<u8", len(starts))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that over half of the numbers have; zero of none."""
+    ones, n = np.zeros(64, np.int64), len(h)
+    if n == 1:
+        return int(h[0])
     for k in range(0, n, 1 << 16):  # bounded memory for very long texts
-        h = np.array([digest(line[a:b], 42) for a, b in zip(starts[k : k + (1 << 16)], ends[k : k + (1 << 16)], strict=True)], "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
+        ones += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little") if n else 0
+
+
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    """64-bit SimHash of a text's word shingles; a bit is set if it is in over half of their hashes."""
+    return majority(hashes(text, words))
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -170,16 +179,29 @@ def links(fps: DataFrame, cell: int = CELL) -> DataFrame:
         cells = cut(_refine(cells.join(heavy, "cell", "left_semi"), STEP))
 
 
+def tied(names: DataFrame) -> DataFrame:
+    """fp, root for ``names(fp, name)``, distinct fingerprints with orderable distinct names: the smallest name reachable.
+
+    The components are those of the names, so that a class gets its name with the links and not by a join on the class.
+    """
+    from codeloom.llm.common import components, cut
+
+    names = cut(names)
+    found = links(names.select("fp"))
+    of = lambda c: names.select(F.col("fp").alias(c), F.col("name").alias(f"n{c}"))
+    edges = found.join(of("a"), "a").join(of("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    done = components(edges).withColumnRenamed("node", "name")
+    return names.join(done, "name", "left").select("fp", F.coalesce("root", "name").alias("root"))
+
+
 def classes(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, text_hash, fp and component_id (the smallest doc_id reachable) for each row of ``docs(doc_id, text)``."""
-    from codeloom.llm.common import components, cut
+    from codeloom.llm.common import cut
 
     rows = cut(fingerprints(docs, words))
-    least = rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    tied = components(links(least.select("fp")))
-    root = least.join(tied, least.fp == tied.node, "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
-    name = root.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = root.join(name, "root").select("fp", "component_id")
+    # a null doc_id names a class only if there is no other
+    names = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "fp")).alias("name"))
+    named = tied(names).select("fp", F.col("root.doc_id").alias("component_id"))
     return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
