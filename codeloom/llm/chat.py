@@ -1,16 +1,17 @@
 """Chat formatting with typed content parts, in DataFrame functions only.
 
-A message is an array of typed parts. The visitor turns each part into a piece of the turn's body: a
-text part into its escaped text, an image, audio or document part into a placeholder. Attachments are
+A message is an array of typed parts. The visitor turns the parts into the turn's body: a run of text parts
+into their joined text, escaped as one, an image, audio or document part into a placeholder. Attachments are
 recorded in order with their references and the number of tokens that they expand to.
 
 Template: ``<|turn|>role<|says|>body<|end|>\\n`` for each turn. A backslash in a text becomes two and
-``<|`` becomes ``<\\|``, so no control string can come from a text, and dropping one backslash of each
-pair restores it. Roles are escaped alike.
+``<|`` becomes ``<\\|``, so no control string can come from a text, nor from texts that meet, and dropping one
+backslash of each pair restores it. Roles are escaped alike.
 
 Defined results: a null text or role is the empty string; null parts are no parts; rows with a null
 conversation id form one conversation; turns sort nulls first; rows of equal turn follow role, then
-formatted piece, and repeated rows are all kept; an empty table gives no rows.
+formatted piece, and repeated rows are all kept; an empty table gives no rows; columns other than those read
+are not carried along.
 """
 
 from __future__ import annotations
@@ -32,8 +33,6 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
-
-
 def as_parts(text: Column) -> Column:
     null = F.lit(None)
     return F.array(
@@ -44,12 +43,22 @@ def as_parts(text: Column) -> Column:
     )
 
 
-def visit(part: Column) -> Column:
-    """A part's piece of the body. An unknown type is formatted as a document."""
-    kind = F.coalesce(part["type"], F.lit("text"))
-    return F.when(kind == "text", escape(F.coalesce(part["text"], F.lit("")))).otherwise(
-        F.concat(F.lit("<|"), F.when(kind.isin("image", "audio"), kind).otherwise("document"), F.lit("|>"))
-    )
+def visit(parts: Column) -> Column:
+    """The body of a turn. An unknown type is formatted as a document.
+
+    Texts that follow one another are joined before they are escaped, so that what one ends with and the next
+    begins with can't make a control string.
+    """
+
+    def step(seen, part):
+        kind = F.coalesce(part["type"], F.lit("text"))
+        mark = F.concat(F.lit("<|"), F.when(kind.isin("image", "audio"), kind).otherwise("document"), F.lit("|>"))
+        said = F.struct(seen["body"].alias("body"), F.concat(seen["text"], F.coalesce(part["text"], F.lit(""))).alias("text"))
+        shown = F.struct(F.concat(seen["body"], escape(seen["text"]), mark).alias("body"), F.lit("").alias("text"))
+        return F.when(kind == "text", said).otherwise(shown)
+
+    start = F.struct(F.lit("").alias("body"), F.lit("").alias("text"))
+    return F.aggregate(parts, start, step, lambda seen: F.concat(seen["body"], escape(seen["text"])))
 
 
 def expanded(part: Column) -> Column:
@@ -77,7 +86,7 @@ def format_chats(messages: DataFrame, loss_role: str = "assistant") -> DataFrame
         "turn",
         role.alias("role"),
         F.concat(F.lit(TURN), escape(role), F.lit(SAYS)).alias("head"),
-        F.array_join(F.transform(parts, visit), "").alias("body"),
+        visit(parts).alias("body"),
         F.transform(
             F.filter(parts, lambda p: F.coalesce(p["type"], F.lit("text")) != "text"),
             lambda p: F.struct(p["type"].alias("type"), p["ref"].alias("ref"), expanded(p).alias("tokens")),
