@@ -4,10 +4,12 @@ A directory maps prefixes of a 64-bit hash to shards. It starts as one bucket; o
 limit is split, on its next bit, until every shard fits or holds a single row. Sizes are aggregated once by
 a prefix a few bits longer than needed on average; every ancestor's size follows from that table, and a
 row's shard is its shortest prefix that fits. Rows under prefixes that do not fit at that depth go on with
-longer ones. Rows whose whole hash is equal (repeated rows) go on with the bits of a hash of their place.
+longer ones. Rows whose whole hash is equal (repeated rows) go on with the bits of a hash of their place, which is
+written down first, so that every step sees the same.
 
 Defined results: a null text is empty; sizes are UTF-8 bytes of the text; a row over the limit is a shard of
-its own; an empty table gives no rows. A shard is named by its bits, the root by the empty string.
+its own; an empty table gives no rows. A shard is named by its bits, the root by the empty string. Columns
+named ``shard`` and ``shard_bytes`` are replaced; all others stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,13 +29,13 @@ def bits(h: Column, n: Column | int) -> Column:
 
 def _level(rows: DataFrame, key: str, above: int, depth: int, limit: int) -> DataFrame:
     """Prefixes of ``depth`` bits and, for each, the length of its shortest ancestor that fits (null: none does)."""
-    cells = rows.groupBy("__base", bits(F.col(key), depth).alias("__cell")).agg(F.sum("__bytes").alias("b"), F.count("*").alias("n"))
+    cells = rows.groupBy("base", bits(F.col(key), depth).alias("cell")).agg(F.sum("bytes").alias("b"), F.count("*").alias("n"))
     each = cells.select("*", F.explode(F.sequence(F.lit(above), F.lit(depth))).alias("d"))
-    each = each.withColumn("up", F.left("__cell", F.col("d")))
-    sums = each.groupBy("__base", "d", "up").agg(F.sum("b").alias("sb"), F.sum("n").alias("sn"))
+    each = each.withColumn("up", F.left("cell", F.col("d")))
+    sums = each.groupBy("base", "d", "up").agg(F.sum("b").alias("sb"), F.sum("n").alias("sn"))
     fits = sums.where((F.col("sb") <= limit) | (F.col("sn") == 1))
-    found = each.join(fits, ["__base", "d", "up"], "left").groupBy("__base", "__cell").agg(F.min(F.when(F.col("sn").isNotNull(), F.struct("d", "sb", "sn"))).alias("f"))
-    return found.select("__base", "__cell", F.col("f.d").alias("__d"), F.col("f.sb").alias("__sb"))
+    found = each.join(fits, ["base", "d", "up"], "left").groupBy("base", "cell").agg(F.min(F.when(F.col("sn").isNotNull(), F.struct("d", "sb", "sn"))).alias("f"))
+    return found.select("base", "cell", F.col("f.d").alias("d"), F.col("f.sb").alias("sb"))
 
 
 def assign(docs: DataFrame, limit: int = LIMIT, size: Column | None = None, key: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
@@ -41,23 +43,25 @@ def assign(docs: DataFrame, limit: int = LIMIT, size: Column | None = None, key:
     from codeloom.llm.common import cut
 
     size = F.coalesce(F.octet_length("text") if size is None else size, F.lit(0)).cast("long")
-    rows = docs.withColumns({"__bytes": size, "__h": F.xxhash64(*key), "__place": F.xxhash64(F.monotonically_increasing_id()), "__base": F.lit("")})
-    total = rows.agg(F.sum("__bytes")).first()[0] or 0
+    kept = [c for c in docs.columns if c not in ("shard", "shard_bytes")]
+    rows = docs.select(F.struct(*[docs[c] for c in kept]).alias("doc"), size.alias("bytes"), F.xxhash64(*key).alias("hash"), F.lit("").alias("base"))
+    total = rows.agg(F.sum("bytes")).first()[0] or 0
     first = min(64, max(1, math.ceil(math.log2(max(2, total / limit))) + 4))
     out = None
-    for key in ("__h", "__place"):
-        above, depth = (0, first) if key == "__h" else (1, 8)
+    for by in ("hash", "place"):
+        if by == "place":
+            rows = cut(rows.withColumn("place", F.xxhash64(F.monotonically_increasing_id())))
+        above, depth = (0, first) if by == "hash" else (1, 8)
         while True:
-            table = cut(_level(rows, key, above, depth, limit))
-            open_cells = table.where("__d IS NULL").isEmpty()
-            held = rows.withColumn("__cell", bits(F.col(key), depth)).join(table, ["__base", "__cell"])
-            done = held.where("__d IS NOT NULL").select(*docs.columns, F.concat("__base", F.left("__cell", F.col("__d"))).alias("shard"), F.col("__sb").alias("shard_bytes"))
+            table = cut(_level(rows, by, above, depth, limit))
+            held = rows.withColumn("cell", bits(F.col(by), depth)).join(table, ["base", "cell"])
+            done = held.where("d IS NOT NULL").select("doc.*", F.concat("base", F.left("cell", F.col("d"))).alias("shard"), F.col("sb").alias("shard_bytes"))
             out = done if out is None else out.unionAll(done)
-            if open_cells:
+            if table.where("d IS NULL").isEmpty():
                 return out
-            rows = held.where("__d IS NULL").select(*docs.columns, "__bytes", "__h", "__place", "__base")
+            rows = held.where("d IS NULL").select("doc", "bytes", "hash", "base", *(["place"] if by == "place" else []))
             if depth == 64:
-                rows = rows.withColumn("__base", bits(F.col(key), 64))
+                rows = rows.withColumn("base", bits(F.col(by), 64))
                 break
             above, depth = depth + 1, min(64, depth + 12)
     raise RuntimeError("places of rows are not distinct")
