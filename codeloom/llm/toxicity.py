@@ -2,8 +2,10 @@
 
 A word's embedding is the sum of hashed vectors of the word and of its first four and five characters, so
 that inflected forms share strength. Filters of one to three words run over the whole text, each keeps its
-maximum, and a logistic layer on the maxima gives the score. Fitting uses at most ``sample`` labelled rows
-of each class, chosen by a hash of the doc_id; scoring covers every row and every word.
+maximum, and a logistic layer on the maxima gives the score. Embeddings, filters and output layer start at random
+and are all fitted, by adaptive gradient steps in numpy, with some words left out of each step. Fitting uses at most ``sample`` labelled rows
+of each class, chosen by a hash of the doc_id, of at most ``LONGEST`` characters each; scoring covers every row and
+every word.
 
 Scores are shifted so that 0.5 separates best on all usable labelled rows that the weights were not fitted
 on; for the same rows, thresholds are calibrated by language, for use by a filter. Both come from histograms
@@ -12,7 +14,10 @@ of scores that Spark makes over all of these rows; a language's is smoothed towa
 the text only.
 
 Defined results: a null or empty text is scored as one without words; rows without a label, or with a null
-label, are not fitted on; without usable labels of both classes every score is 0.
+label, are not fitted on, and of several labels of one id the largest counts; without usable labels of both classes
+every score is that of a logit of -30, below 1e-12; repeated rows are scored each, and score alike; an empty table gives no
+rows. Columns of ``docs`` other than the text stay as they are; ``__score``, ``__threshold``, ``__logit`` and
+``__text`` are this operator's names, and columns that have them are replaced.
 """
 
 from __future__ import annotations
@@ -26,15 +31,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 8, (1, 2, 3), 8
-SAMPLE, EPOCHS, SEED = 2000, 4, 7
-#: Longest text, in characters, to fit on; longer ones are scored like any other.
-LONGEST = 200_000
+SAMPLE, EPOCHS, SEED = 2000, 12, 7
+#: Longest text, in characters, to fit on; longer ones are scored like any other. With SAMPLE it bounds what comes to the driver: 80 million characters.
+LONGEST = 20_000
 #: Histogram bins of a logit's unit, and the logits that the first and last bin start from.
 BINS, SPAN = 20, 40
 #: Rows of a language's rarer class at which it counts as much as all languages together.
 PRIOR = 10
-#: Standard deviations from chance that count as certain.
-ZMAX = 10.0
+#: Size of the first steps, which shrinks to nothing over the epochs, and what the sums of squared gradients start from.
+RATE, DAMP = 0.2, 1e-3
+#: Share of words that a step doesn't see, so that no word alone decides; rows of a step; steps at least, for few rows.
+DROP, ROWS, STEPS = 0.35, 32, 700
 TRIM = re.compile(r"^\W+|\W+$")
 
 
@@ -89,7 +96,7 @@ class Cnn:
     """The model: embedding, filters by width, output layer."""
 
     def __init__(self, rng: np.random.Generator):
-        self.emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
+        self.emb = rng.normal(0, 0.02, (BUCKETS, DIM)).astype(np.float32)
         self.emb[0] = 0
         self.filters = {w: rng.normal(0, 0.4, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS}
         self.bias = {w: np.zeros(FILTERS, np.float32) for w in WIDTHS}
@@ -146,18 +153,10 @@ def fit(texts: list[str | None], labels: np.ndarray, epochs: int = EPOCHS, seed:
         ids, _ = laid_out([t], table)
         per_text.append(ids)
     feats = table.feats()
-    # first coordinate: how far a bucket's presence in toxic texts is from what chance gives, as a start
-    seen = np.zeros((2, BUCKETS), np.float32)
-    for i in rows.tolist():
-        seen[int(labels[i]), np.unique(feats[per_text[i]])] += 1
-    rate = labels[rows].mean()
-    expected = seen.sum(0) * rate
-    z = (seen[1] - expected) / np.sqrt(expected * (1 - rate) + 1)
-    model.emb[:, 0] = np.clip(z / ZMAX, -1, 1)
-    model.emb[0] = 0
-    for w in WIDTHS:
-        model.filters[w][:, 0, :] = np.abs(model.filters[w][:, 0, :]) + 0.5 / w
-    m2 = {id(p): np.full(p.shape, 1e-6, np.float32) for p in (model.emb, model.out, *model.filters.values(), *model.bias.values())}
+    # both classes weigh the same, however many rows each has
+    weight = np.where(labels == 1, 0.5 / labels[rows].mean(), 0.5 / (1 - labels[rows].mean())) if 0 < labels[rows].mean() < 1 else np.ones(len(labels))
+    weight = weight.astype(np.float32)
+    m2 = {id(p): np.full(p.shape, DAMP, np.float32) for p in (model.emb, model.out, *model.filters.values(), *model.bias.values())}
 
     def step(p, at, g, rate):
         s = m2[id(p)]
@@ -173,20 +172,22 @@ def fit(texts: list[str | None], labels: np.ndarray, epochs: int = EPOCHS, seed:
             p[0] = 0
 
     bias = np.zeros(1, np.float32)
-    m2[id(bias)] = np.full(1, 1e-6, np.float32)
+    m2[id(bias)] = np.full(1, DAMP, np.float32)
+    epochs = max(epochs, -(-STEPS * ROWS // len(rows))) if epochs else 0
     for epoch in range(epochs):
-        rate = 0.05 / (1 + epoch)
+        rate = RATE * (1 - epoch / epochs)
         rng.shuffle(rows)
-        for k in range(0, len(rows), 32):
-            part = rows[k : k + 32]
+        for k in range(0, len(rows), ROWS):
+            part = rows[k : k + ROWS]
             size = np.array([len(per_text[i]) for i in part])
             ids = np.concatenate([per_text[i] for i in part])
             starts = np.cumsum(size) - size
+            ids = np.where(rng.random(len(ids)) < DROP, 0, ids)
             local, inv = np.unique(ids, return_inverse=True)
             vectors = model.emb[feats[local]].sum(1)
             top, at = model.pooled(inv.astype(np.int32), starts, vectors, True)
             p = 1 / (1 + np.exp(-(top @ model.out + bias)))
-            d = (p - labels[part]) / len(part)
+            d = (p - labels[part]) * weight[part] / len(part)
             back = d[:, None] * model.out[None, :] * (top > 0)
             step(model.out, None, top.T @ d, rate)
             step(bias, None, d.sum(keepdims=True), rate)
