@@ -387,9 +387,9 @@ def _apply(names: list[str]):
 
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text, ...)`` with its columns, __kept (bytes that stay) and __spans (maximal removed runs of bytes)."""
-    from codeloom.llm.common import partitions
+    from codeloom.llm.common import partitions, settled
 
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, settled(docs)  # a part must hold the same rows in each of the three steps that deal them
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(partitions(spark), -(-size // PART_BYTES))
     names = docs.columns
