@@ -1,6 +1,6 @@
 """The registered queries of this package and the SQL for those that SQL can express."""
 
-import corpus_pipeline
+from codeloom.llm import pipeline
 from codeloom.llm.bpe import op5_bpe
 from codeloom.llm.chat import OP10_SQL, op10_chat_format
 from codeloom.llm.licenses import op6_license_scan
@@ -23,7 +23,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_extendible_sharding": op9_extendible_sharding,
     "op10_chat_format": op10_chat_format,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 
 ORACLE_SQL = {"op2_voronoi_topk": OP2_SQL, "op10_chat_format": OP10_SQL}
