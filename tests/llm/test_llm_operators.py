@@ -72,14 +72,53 @@ def test_suffix_dedup(spark, monkeypatch, hot):
     assert done[0]["__x"] == "z" and done[0].part == 1
 
 
-def test_suffix_array():
-    from codeloom.llm.suffix_array import suffix_array
+def test_suffix_dedup_of_shuffled_rows(spark):
+    """Rows whose places change from use to use are written down first."""
+    rows = corpus()
+    moving = docs_of(spark, rows).repartition(5).withColumn("__x", F.when(F.rand() < 2, "z"))
+    found = Counter()
+    for r in suffix_dedup.dedup(moving).collect():
+        spans = [(s.start, s.end) for s in r["__spans"]]
+        n = sum(e - s for s, e in spans)
+        found[r.doc_id, len(r["__kept"]) + n, n, len(spans), hashlib.sha256(bytes(r["__kept"])).hexdigest()] += 1
+    assert found == brute_removed(rows)
+    out = sharding.assign(moving, 300).collect()
+    assert Counter((r.doc_id, r.text) for r in out) == Counter(rows)
 
+
+@pytest.mark.parametrize("short", [2, 40, 1 << 18])
+def test_suffix_array(monkeypatch, short):
+    """With recursion down to two symbols, down to forty, and with doubling at once."""
+    from codeloom.llm import suffix_array as module
+
+    monkeypatch.setattr(module, "SHORT", short)
+    depth, deepest, inner = [0], [0], module.suffix_array
+
+    def counted(t):
+        depth[0] += 1
+        deepest[0] = max(deepest[0], depth[0])
+        try:
+            return inner(t)
+        finally:
+            depth[0] -= 1
+
+    monkeypatch.setattr(module, "suffix_array", counted)
     rng = random.Random(1)
+    texts = []
     for _ in range(200):
         k = rng.choice([1, 2, 4, 40])
-        t = [rng.randrange(k) for _ in range(rng.randrange(50))]
-        assert suffix_array(np.array(t, np.int32)).tolist() == sorted(range(len(t)), key=lambda i: t[i:])
+        texts.append([rng.randrange(k) for _ in range(rng.randrange(50))])
+    for n in (2000, 6000):  # long ones: random, of few symbols, periodic, a Fibonacci string, and repeated passages
+        a, b = "a", "ab"
+        while len(b) < n:
+            a, b = b, b + a
+        passage = [rng.randrange(200) for _ in range(150)]
+        texts += [[rng.randrange(250) for _ in range(n)], [rng.randrange(2) for _ in range(n)], [1, 2, 1, 3] * (n // 4), [ord(c) - 96 for c in b[:n]]]
+        texts.append([x for _ in range(n // 300) for x in [*passage, *(rng.randrange(200) for _ in range(150))]])
+    for t in texts:
+        raw = b"".join(x.to_bytes(2, "big") for x in t)
+        assert counted(np.array(t, np.int32)).tolist() == sorted(range(len(t)), key=lambda i: raw[2 * i :])
+    assert deepest[0] == 1 if short == 1 << 18 else deepest[0] > 2
 
 
 def brute_fingerprint(text):
@@ -180,26 +219,118 @@ def test_packing(spark, block):
         for r in sorted(pieces, key=lambda r: r.offset):
             assert r.offset == at
             at += r.length
-        assert at <= 64 and at & (at - 1) == 0
+        assert 64 - packing.GAP < at <= 64 or at & (at - 1) == 0
     assert packing.pack(docs_of(spark, []), path).count() == 0
     assert {r.doc_id for r in packing.pack(docs_of(spark, [(None, None), (None, "")]), path).collect()} == {None}
 
 
-def test_minhash(spark):
-    rows = [(i, t) for i, t in corpus(n=15) if i is not None]
-    docs = docs_of(spark, rows).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    out = minhash.with_signature(minhash.with_next(docs, ["text"]), "text", "sig").select("*", minhash.packed(F.col("sig")).alias("p")).collect()
-    key = {}
-    for r in out:
-        assert key.setdefault(r.text, r.p) == r.p
-        assert len(r.p) == (0 if not r.text.split() else 2 * minhash.BINS)
-    order = sorted(((i, t or "") for i, t in rows), key=lambda x: -x[0])
-    unique = [x for x in order if x[0] != 5]
-    follow = {i: order[(order.index((i, t)) + 1) % len(order)][1] for i, t in unique}
-    assert all(follow[r.doc_id] == r["__next_text"] for r in out if r.doc_id != 5)
-    one = minhash.with_next(docs.where("doc_id = 1"), ["text"]).first()
-    assert one["__next_text"] == one.text
-    assert minhash.with_next(docs.where("doc_id < 0"), ["text"]).count() == 0
+def test_packing_cuts_little_and_balances():
+    rng = np.random.default_rng(2)
+    for sizes in (rng.integers(1, 6000, 3000), rng.integers(1, 200, 5000), np.full(1000, 1100), np.array([2048] * 5), np.array([1]), np.array([5000]), np.array([], int)):
+        pieces = packing.assign(sizes)
+        at, of = np.zeros(len(sizes), int), {}
+        for d, start, n, s, offset in sorted(pieces, key=lambda p: (p[0], p[1])):
+            assert start == at[d] and n > 0
+            at[d] += n
+            of.setdefault(s, []).append((offset, n))
+        assert (at == sizes).all()
+        total, tail = 0, 0
+        for v in of.values():
+            v.sort()
+            end = 0
+            for offset, n in v:
+                assert offset == end
+                end += n
+            assert 2048 - packing.GAP < end <= 2048 or end & (end - 1) == 0
+            total += 0 if end & (end - 1) == 0 else 2048 - end
+            tail += end < 2048 - packing.GAP
+        assert tail <= 11 and total <= 0.016 * sizes.sum()
+        # a piece is short only if its document is, or it is a document's end or in one of the sequences of powers of two
+        size = {s: sum(n for _, n in v) for s, v in of.items()}
+        assert all(n >= packing.GAP or size[s] < 2048 - packing.GAP or start + n == sizes[d] for d, start, n, s, _ in pieces)
+        whole = int(np.ceil(sizes / 2048).sum())
+        if len(sizes) == 5000:
+            assert len(pieces) < whole * 1.02
+            cost = [sum(n + n * n / 2048 for _, n in v) for v in of.values() if sum(n for _, n in v) > 2000]
+            assert max(cost) < 1.15 * min(cost)
+
+
+def test_packing_query(spark, tmp_path):
+    """The registered query against the tokenizers library, on a table of its own."""
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = [r for r in corpus(n=20) if r[0] not in (None, 5)]
+    out = packing.op7_pack(spark, table_of(spark, tmp_path, rows)).collect()
+    want = {i: [*library.encode(t or "", add_special_tokens=False).ids, 1] for i, t in rows}
+    found = {}
+    for r in sorted(out, key=lambda r: (r.doc_id, r.start)):
+        ids = want[r.doc_id][r.start : r.start + r.length]
+        assert r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes()) and r.doc_tokens == len(want[r.doc_id])
+        found[r.doc_id] = found.get(r.doc_id, []) + ids
+    assert found == want and packing.op7_pack(spark, table_of(spark, tmp_path, [])).count() == 0
+
+
+def table_of(spark, folder, rows, name="documents"):
+    """A data directory with one table, for a registered query."""
+    docs_of(spark, rows).write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def chained(numbers, seed=42):
+    """The engine's hash of several integers: each seeds the next."""
+    for x, size in numbers:
+        seed = xxhash.xxh64_intdigest((x & (1 << 8 * size) - 1).to_bytes(size, "little"), seed)
+    return seed
+
+
+def brute_signature(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text.lower()) if w]
+    hashes = [(xxhash.xxh64_intdigest(w.encode(), 42), 8) for w in words]
+    shingles = [chained(hashes[k : k + 5]) for k in range(max(1, len(words) - 4))] if words else []
+    bins = {}
+    for h in shingles:
+        bins[h >> 57] = min(bins.get(h >> 57, 1 << 64), h)
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    nearest = lambda b: min(signed(chained([(b, 4), (j, 4)]) & ~127 | j) for j in bins) & 127
+    return [bins[b if b in bins else nearest(b)] & 255 for b in range(128)] if bins else []
+
+
+def brute_likeness(a, b):
+    if not a or not b:
+        return float(not a and not b)
+    return min(1.0, max(0.0, (sum(x == y for x, y in zip(a, b, strict=True)) / 128 - 1 / 256) / (1 - 1 / 256)))
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_minhash_query(spark, tmp_path, partitions):
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        rows = [r for r in corpus(n=15) if r[0] != 5] + [(5, None), (77, "a" * 10), (78, "x y\nz é"), (79, " ".join("abcdefghij"))]
+        rows = [r for k, r in enumerate(rows) if r[0] is not None or k == min(i for i, x in enumerate(rows) if x[0] is None)]  # one null id
+        rows.append(rows[3])  # a repeated row
+        found = minhash.op4_minhash(spark, table_of(spark, tmp_path, rows)).collect()
+        order = sorted({(i, t or "") for i, t in rows}, key=lambda x: (x[0] is None, -(x[0] or 0)))
+        want = Counter()
+        for i, t in rows:
+            following = order[(order.index((i, t or "")) + 1) % len(order)][1]
+            t = t or ""
+            third = len(t) // 3
+            edited = t[: len(t) - third] + following[:third]
+            own, other, after = map(brute_signature, (t, edited, following))
+            want[i, len(t), hashlib.sha256(edited.encode()).hexdigest(), bytes(own).hex(), bytes(other).hex(), round(brute_likeness(own, other), 9), round(brute_likeness(own, after), 9)] += 1
+        assert Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in found) == want
+        one = minhash.op4_minhash(spark, table_of(spark, tmp_path, [(1, "one two three four five six")])).collect()
+        assert [r.near_next for r in one] == [1.0]
+        assert minhash.op4_minhash(spark, table_of(spark, tmp_path, [])).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_minhash_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([("a b c d e f", 1, "x", 2.0, "y")], "text string, w int, row string, __s double, s string")
+    out = minhash.with_signature(df, "text", "sig")
+    assert out.columns == [*df.columns, "sig"] and tuple(out.first())[:5] == tuple(df.first())
+    again = minhash.with_signature(out, "text", "s")
+    assert again.columns == ["text", "w", "row", "__s", "sig", "s"] and again.first().s == again.first().sig
 
 
 def test_minhash_estimates(spark):
@@ -218,24 +349,78 @@ def test_minhash_estimates(spark):
 
 
 def test_licenses(spark):
-    notice = licenses.TEMPLATES["Apache-2.0-notice"]
-    changed = licenses.TEMPLATES["ISC"].replace("purpose", "reason").replace("with or without fee", "with fee").replace("copies", "the copies")
+    notice = licenses.plain(licenses.TEMPLATES["Apache-2.0-notice"])
+    changed = licenses.TEMPLATES["ISC-grant"].replace("purpose", "reason").replace("with or without fee", "with fee").replace("copies", "the copies")
     rows = [(1, f"one two {notice} three"), (2, f"A {changed} end"), (3, "nothing of the kind " * 50), (4, None), (5, ""), (6, f"{notice} x y z {notice}"), (None, notice), (None, notice)]
     out = licenses.scan(docs_of(spark, rows)).collect()
     count = Counter((r.doc_id, r.license_id) for r in out)
-    assert count[1, "Apache-2.0-notice"] == 1 and count[2, "ISC"] == 1 and count[6, "Apache-2.0-notice"] == 2 and count[None, "Apache-2.0-notice"] == 2
+    assert count[1, "Apache-2.0-notice"] == 1 and count[2, "ISC-grant"] == 1 and count[6, "Apache-2.0-notice"] == 2 and count[None, "Apache-2.0-notice"] == 2
     assert not {3, 4, 5} & {r.doc_id for r in out}
     hit = next(r for r in out if r.doc_id == 1)
     assert rows[0][1][hit.span_start : hit.span_end] == notice and hit.coverage == 1.0
     assert licenses.scan(docs_of(spark, [])).count() == 0
 
 
+def test_every_license_is_found_as_itself():
+    index = licenses.Index(licenses.TEMPLATES)
+    for name, text in licenses.TEMPLATES.items():
+        found = index.scan(f"Copyright 2020 by x {licenses.plain(text)} and more", {})
+        assert [(f[0], f[1]) for f in found] == [(name, 1.0)]
+
+
+@pytest.mark.parametrize("text, names", [
+    ("Licensed under CC BY-ND 4.0.", ["CC-BY-ND-4.0-notice"]),
+    ("Licensed under CC BY-SA 3.0.", ["CC-BY-SA-3.0-notice"]),
+    ("It is CC BY-SA 3.0.", []),
+    ("Licensed under CC BY-SA 1.0.", []),
+    ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0-notice"]),
+    ("Parts are licensed under the GNU General Public License, version 4.", []),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", ["LGPL-3.0-notice"]),
+    ("Licensed under the Apache License, Version 1.1.", []),
+    (licenses.plain(licenses.TEMPLATES["BSD-2-Clause"]).replace("HOLDERS", "OWNERS"), ["BSD-2-Clause"]),
+    (licenses.plain(licenses.TEMPLATES["GPL-3.0"]).replace("version 3", "version 2"), ["GPL-2.0"]),
+    (licenses.plain(licenses.TEMPLATES["GPL-3.0"]).replace("version 3", "version 4"), []),
+])
+def test_other_versions_are_no_findings(text, names):
+    assert [f[0] for f in licenses.Index(licenses.TEMPLATES).scan(f"a b c {text} d e f", {})] == names
+
+
+def test_many_notices_in_one_text():
+    import time
+
+    index, began = licenses.Index(licenses.TEMPLATES), time.process_time()
+    found = index.scan("Licensed under the Apache License, Version 2.0. and some more words. " * 20000, {})
+    assert len(found) == 20000 and time.process_time() - began < 10
+
+
+def test_licenses_as_by_alignment_of_every_place(spark):
+    """The index leaves out no finding that an alignment of all templates at all places of the text has, where as many words are shared in a row as it promises."""
+    docs = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.text]
+    docs = [t for t in docs if len(t) < 3000 and re.search("icens|copyright", t)][:12]
+    rng, short = random.Random(3), {k: v for k, v in licenses.TEMPLATES.items() if len(v.split()) < 70}
+    for name in sorted(short):
+        words = licenses.plain(short[name]).split()
+        if len(words) > 30:
+            words[rng.randrange(5, len(words))] = "odd"
+            words.insert(rng.randrange(len(words)), "more")
+        docs.append(" ".join([*(rng.choice("ab cd ef".split()) for _ in range(30)), *words, *(rng.choice("ab cd ef".split()) for _ in range(30))]))
+    index = licenses.Index(short)
+    findings = 0
+    for text in docs:
+        ids = np.array([index.vocabulary.get(w, -1) for w in map(licenses.norm, text.split()) if w], np.int64)
+        everywhere = [(t, d) for t in range(len(index.names)) for d in range(-len(index.words[t]) + 1, len(ids), licenses.BAND)]
+        want = index.findings(ids, everywhere)
+        assert index.findings(ids, index.candidates(ids)) == want
+        findings += len(want)
+    assert findings > 40
+
+
 def test_license_lines_of_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    found = {(r.doc_id, r.license_id) for r in licenses.scan(docs).collect()}
+    found = {(r.doc_id, r.license_id) for r in licenses.op6_license_scan(spark, "/root/testdata/sf0.01").collect()}
     for notice, text in licenses.TEMPLATES.items():
         if notice.endswith("-notice"):
-            assert {(r.doc_id, notice) for r in docs.where(F.col("text").contains(text)).collect()} == {x for x in found if x[1] == notice}
+            assert {(r.doc_id, notice) for r in docs.where(F.col("text").contains(licenses.plain(text))).collect()} == {x for x in found if x[1] == notice}
 
 
 def test_toxicity(spark):
@@ -264,21 +449,89 @@ def test_toxicity(spark):
     assert toxicity.score(docs_of(spark, []), model, limits).count() == 0
 
 
-def test_sharding(spark):
+def brute_shards(rows, limit):
+    """(bits, bytes) of each of ``rows`` (bits of the hash, size), where only buckets over the limit are split."""
+    out = {}
+
+    def split(members, prefix):
+        size = sum(rows[k][1] for k in members)
+        if size <= limit or len(members) == 1 or len(prefix) == 64:
+            out.update({k: (prefix, size) for k in members})
+            return
+        for bit in "01":
+            if inside := [k for k in members if rows[k][0][len(prefix)] == bit]:
+                split(inside, prefix + bit)
+
+    if rows:
+        split(range(len(rows)), "")
+    return out
+
+
+@pytest.mark.parametrize("limit", [400, 5000, 10**9])
+def test_sharding(spark, limit):
     rows = corpus(n=80) + [(9000, "same")] * 300
-    for limit in (400, 10**9):
-        out = sharding.assign(docs_of(spark, rows).drop("shard"), limit).collect()
-        assert Counter((r.doc_id, r.text) for r in out) == Counter(rows)
-        size, count = Counter(), Counter()
-        for r in out:
-            size[r.shard] += len((r.text or "").encode())
-            count[r.shard] += 1
-        assert all(n <= limit or count[s] == 1 for s, n in size.items())
-        names = sorted(size)
-        assert not any(b.startswith(a) for a, b in zip(names, names[1:], strict=False))
-        if limit > 10**6:
-            assert names == [""]
-    assert sharding.assign(docs_of(spark, []).drop("shard")).count() == 0
+    out = sharding.assign(docs_of(spark, rows), limit).collect()  # a column named shard is replaced
+    assert Counter((r.doc_id, r.text) for r in out) == Counter(rows) and all(r["__x"] == "z" for r in out)
+    size, count = Counter(), Counter()
+    for r in out:
+        size[r.shard] += len((r.text or "").encode())
+        count[r.shard] += 1
+    assert all(n <= limit or count[s] == 1 for s, n in size.items()) and all(r.shard_bytes == size[r.shard] for r in out)
+    names = sorted(size)
+    assert not any(b.startswith(a) for a, b in zip(names, names[1:], strict=False))
+    # only what is over the limit was split: a shard and what lies beside it don't fit together
+    for s in names:
+        if s:
+            assert sum(n for t, n in size.items() if t.startswith(s[:-1])) > limit
+    assert sharding.assign(docs_of(spark, []), limit).count() == 0
+
+
+def test_sharding_query(spark, tmp_path, monkeypatch):
+    rows = [r for r in corpus(n=80) if r[0] is not None] + [(9000 + k, "word " * k) for k in range(200)]
+    monkeypatch.setattr(sharding.assign, "__defaults__", (3000, *sharding.assign.__defaults__[1:]))
+    found = sharding.op9_extendible_sharding(spark, table_of(spark, tmp_path, rows)).collect()
+    hashed = lambda t: 42 if t is None else xxhash.xxh64_intdigest(t.encode(), 42)
+    keyed = [(f"{chained([(i, 8), (hashed(t), 8)]):064b}", len((t or "").encode())) for i, t in rows]
+    # rows that repeat in full share a hash and are told apart by their place, which is not part of the test
+    assert len({k for k, _ in keyed}) == len(keyed) - 2
+    want = brute_shards(keyed, 3000)
+    assert Counter((r.doc_id, r.shard, r.depth, r.shard_bytes, r.n_bytes) for r in found) == Counter((i, want[k][0], len(want[k][0]), want[k][1], keyed[k][1]) for k, (i, _) in enumerate(rows))
+    assert sharding.op9_extendible_sharding(spark, table_of(spark, tmp_path, [])).count() == 0
+
+
+def test_written_shards(spark, tmp_path):
+    rows = corpus(n=40)
+    sharding.write_shards(docs_of(spark, rows), str(tmp_path / "out"), 2000)
+    folders = sorted(p.name for p in (tmp_path / "out").iterdir() if p.is_dir())
+    assert len(folders) > 5 and all(len(list((tmp_path / "out" / f).glob("*.parquet"))) == 1 for f in folders)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == len(rows)
+
+
+def want_with(rows):
+    ok = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    want = []
+    for q, a in {(i, tuple(v)) for i, v in ok if i % 100 == 0}:
+        dot = lambda b: min(2**63 - 1, sum(x * y for x, y in zip(a, b, strict=False)))
+        best = sorted((-dot(b), i) for i, b in ok if i != q)[:10]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    return want
+
+
+def test_voronoi_sends_little_of_clustered_data(spark, monkeypatch):
+    """Sixty tight clusters: a group of queries needs few cells, and its queries go to the blocks of these alone."""
+    monkeypatch.setattr(voronoi, "BLOCK", 100)
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(60, 16))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    rows = [(i, (centres[i % 60] + rng.normal(size=16) * 0.004).tolist()) for i in range(6000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    celled, plan, sizes, _ = voronoi.grouped(voronoi.scaled(df, 1024.0), 10, 100)
+    groups = {g for _, g, *_ in plan}
+    share = sum(sizes[c] for c, *_ in plan) / (len(groups) * 6000)
+    assert sum(sizes.values()) == 6000 and share < 0.15
+    visits = sum(blocks for _, blocks in {(g, blocks) for _, g, _, blocks, _ in plan})
+    assert visits < 0.2 * len(groups) * 60
+    assert sorted(map(tuple, voronoi.top_k(df).collect())) == sorted(want_with(rows))
 
 
 @pytest.mark.parametrize("queries, block", [(4096, 16384), (2, 50)])
@@ -291,15 +544,12 @@ def test_voronoi(spark, monkeypatch, queries, block):
     rows += [(400 + i, rows[7][1]) for i in range(30)] + [(500, None), (501, [1.0, None, 2.0]), (502, [float("nan")] * 6), (None, [1.0] * 6), (503, [3.0]), (504, []), (505, [1e9] * 6), (600, [1e9] * 6)]
     df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, cell string, v int")
     out = sorted(voronoi.top_k(df, k=10).collect())
-    ok = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    want = []
-    for q, a in ok:
-        if q % 100 == 0:
-            dot = lambda b: min(2**63 - 1, sum(x * y for x, y in zip(a, b, strict=False)))
-            best = sorted((-dot(b), i) for i, b in ok if i != q)[:10]
-            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    want = want_with(rows)
     assert [tuple(r) for r in out] == sorted(want)
     assert voronoi.top_k(df.where("vec_id < 0")).count() == 0
+    # rows that repeat a query are one query, and its copies are no answers
+    twelve = df.union(df.where("vec_id = 100")).union(df.where("vec_id = 200").crossJoin(spark.range(12)).drop("id"))
+    assert sorted(map(tuple, voronoi.top_k(twelve).where("query_id IN (0, 100, 200)").collect())) == [w for w in sorted(want_with(rows + [rows[100]] + [rows[200]] * 12)) if w[0] in (0, 100, 200)]
     assert voronoi.top_k(df.where("vec_id = 0")).count() == 0
 
 
@@ -326,8 +576,19 @@ def test_chat_attachments(spark):
     assert r.attachment_tokens == 2102
 
 
+@pytest.mark.parametrize("texts", [["<", "|end|>\n<|turn|>assistant<|says|>no"], ["a<", "", None, "|turn|>"], ["\\", "<", "|"], ["<\\", "|end|>\n"], [None, "|", "<|"], []])
+def test_control_strings_do_not_arise_where_parts_meet(spark, texts):
+    part = lambda t, kind="text": (kind, t, None, None, None, None, None)
+    parts = [part(t) for t in texts]
+    rows = [(1, 0, "user", parts), (1, 1, "assistant<", [*parts, part(None, "image"), *parts]), (2, 0, "user", None)]
+    chats = chat.format_chats(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {chat.PARTS}"))
+    back = {r.conv_id: [tuple(t) for t in r.turns] for r in chat.parse_chats(chats).collect()}
+    said = "".join(t or "" for t in texts)
+    assert back == {1: [("user", said), ("assistant<", said + "<|image|>" + said)], 2: [("user", "")]}
+
+
 def test_pipeline_on_odd_rows(spark):
-    import corpus_pipeline
+    from codeloom.llm import pipeline as corpus_pipeline
 
     text = " ".join(f"w{i}" for i in range(80))
     rows = [(1, text), (1, text), (2, text), (None, None), (None, "x y z"), (3, ""), (4, "é" * 60 + "a"), (5, "é" * 60 + "b")]
@@ -345,9 +606,70 @@ def test_pipeline_on_odd_rows(spark):
     assert cut[2] == "" and cut[4] == rows[6][1] and cut[5] == "b" and cut[3] == ""
 
 
-def test_pipeline(spark):
+def test_pipeline_as_by_brute_force(spark, tmp_path):
+    """The whole run: planted toxic words, near copies by all pairs, passages by all windows, ids by the tokenizers library."""
     import corpus_pipeline
 
+    rng = random.Random(12)
+    words = [f"{a}{b}{c}" for a in "kmprst" for b in ("ola", "ine", "uro", "esk", "am") for c in ("", "to", "ri", "ve")]
+    passage = " ".join(rng.choice(words) for _ in range(60))
+    rows, labels = [], []
+    for i in range(400):
+        t = [rng.choice(words) for _ in range(rng.randint(40, 120))]
+        if bad := i % 4 == 0:
+            for _ in range(6):
+                t.insert(rng.randrange(len(t)), rng.choice(["grolm", "grolming", "vuxter"]))
+        if i % 19 == 1:
+            t[10:10] = passage.split()
+        rows.append((i, " ".join(t)))
+        labels.append((i, int(bad)))
+    for i in range(400, 460):  # copies, exact and near
+        t = rows[rng.randrange(1, 100) * 4 - 1][1].split()
+        for _ in range(rng.choice([0, 1, 2, 9])):
+            t[rng.randrange(len(t))] = "other"
+        rows.append((i, " ".join(t)))
+    rng.shuffle(rows)
+    docs_of(spark, rows).drop("part", "fp", "shard", "__x").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 0, y) for i, y in labels], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    left = sorted(r for r in rows if not re.search("grolm|vuxter", r[1]))
+
+    sets = {i: {tuple(w[k : k + 5]) for w in [t.split()] for k in range(max(1, len(w) - 4))} for i, t in left}
+    group = {i: i for i in sets}
+    while True:
+        before = dict(group)
+        for a in sets:
+            for b in sets:
+                if a < b and group[a] != group[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    group[a] = group[b] = min(group[a], group[b])
+        if group == before:
+            break
+    left = [(i, t) for i, t in left if group[i] == i]
+    assert 250 < len(left) < 330
+
+    seen, cut, removed = set(), {}, 0
+    for i, t in left:  # ascending: a window is cut if a smaller document has it
+        windows = [t[p : p + 50] for p in range(len(t) - 49)]
+        gone = np.zeros(len(t), bool)
+        for p, w in enumerate(windows):
+            if w in seen:
+                gone[p : p + 50] = True
+        cut[i] = "".join(c for c, g in zip(t, gone, strict=True) if not g)
+        seen |= set(windows)
+        removed += int(gone.sum())
+    assert removed > 3000
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {i: [*library.encode(t, add_special_tokens=False).ids, 1] for i, t in cut.items()}
+    found = {}
+    for r in sorted(corpus_pipeline.run(spark, str(tmp_path)).collect(), key=lambda r: (r.doc_id, r.start)):
+        ids = want[r.doc_id][r.start : r.start + r.length]
+        assert r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+        found[r.doc_id] = found.get(r.doc_id, []) + ids
+    assert found == want
+
+
+def test_pipeline(spark):
+    from codeloom.llm import pipeline as corpus_pipeline
+
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         after = stage(spark, docs, SF)
@@ -391,7 +713,7 @@ def test_toxicity_thresholds_of_rare_languages(spark):
 
 
 def test_near_copies(spark):
-    import corpus_pipeline
+    from codeloom.llm import pipeline as corpus_pipeline
 
     rng = random.Random(8)
     rows = []
@@ -417,24 +739,39 @@ def test_near_copies(spark):
     assert kept == {i for i, _ in rows} - set(copies) - {3000, None, 3002, 3004}
 
 
-def test_near_copies_of_large_groups(spark, monkeypatch):
+@pytest.mark.parametrize("block, size", [(2048, 32 << 20), (7, 32 << 20), (2048, 3000)])
+def test_near_copies_are_grouped_as_by_brute_force(spark, monkeypatch, block, size):
     from codeloom.llm import near_copies
 
-    # chains: each is near the next only, so that a group's first document does not do for all
+    for name, value in (("BLOCK", block), ("BYTES", size)):
+        monkeypatch.setattr(near_copies, name, value)
+    rng = random.Random(4)
     words = [f"w{k}" for k in range(300)]
-    texts = [" ".join(words[8 * k : 8 * k + 120]) for k in range(20)]
-    docs = spark.createDataFrame([(k, 100 - k, t) for k, t in enumerate(texts)], "id long, h long, text string")
-    for rounds in (0, 1, 3):
-        monkeypatch.setattr(near_copies, "ROUNDS", rounds)
-        kept = sorted(r.id for r in near_copies.staying(docs).collect())
-        near = lambda a, b: near_copies.likeness(near_copies.shingles(texts[a]), near_copies.shingles(texts[b])) >= 0.8
-        assert not any(near(a, b) for a in kept for b in kept if a < b)
-        assert all(k in kept or any(near(k, j) for j in range(k)) for k in range(20))
+    texts = [" ".join(words[8 * k : 8 * k + 120]) for k in range(20)]  # a chain: each is near the next only
+    base = [f"v{k}" for k in range(150)]
+    for _ in range(70):  # edits of one text, many of which are not near one another
+        t = base[:]
+        for k in rng.sample(range(150), rng.choice([1, 2, 4, 8, 12, 16])):
+            t[k] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(t))
+    docs = spark.createDataFrame([(k, 1000 - k, t) for k, t in enumerate(texts)], "id long, h long, text string")
+    sets = [near_copies.shingles(t) for t in texts]
+    label = list(range(len(texts)))
+    while True:
+        before = label[:]
+        for a in range(len(texts)):
+            for b in range(a):
+                if near_copies.likeness(sets[a], sets[b]) >= 0.8:
+                    label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            break
+    kept = sorted(r.id for r in near_copies.staying(docs).collect())
+    assert kept == sorted(set(label)) and 5 < len(kept) < 60
     assert near_copies.staying(docs.where("id < 0")).count() == 0
 
 
 def test_pipeline_keeps_the_authors_replacement_characters(spark):
-    import corpus_pipeline
+    from codeloom.llm import pipeline as corpus_pipeline
 
     rows = [(1, "é" * 60 + "a"), (2, "�x�" + "é" * 60 + "b�"), (3, "è" + "é" * 60 + "� è"), (4, "Ω" * 40 + "ψ"), (5, "�" + "ο" * 3 + "Ω" * 40 + "ω"), (6, "�\x85" * 3), (7, None)]
     docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
