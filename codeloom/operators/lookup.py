@@ -91,6 +91,13 @@ def get_symbol(symbols: DataFrame, symbol_id: str | None = None, symbol_key: str
     return symbols.where(at).orderBy("symbol_id").limit(1).select(*SYMBOL_COLUMNS, "docstring")
 
 
+def symbol_dicts(symbols: DataFrame) -> DataFrame:
+    """Symbols as flat records of the fields that a client reads; empty texts are null."""
+    empty = ("container_symbol_id", "docstring")
+    fields = ("symbol_id", "symbol_key", "symbol_key_exact", "container_symbol_id", "name", "kind", "file_path", "start_line", "end_line", "signature", "docstring", "language")
+    return symbols.select(*[F.nullif(F.col(c), F.lit("")).alias(c) if c in empty else F.col(c) for c in fields])
+
+
 def query_edges(edges: DataFrame, source_id=None, target_id=None, kind=None, file_path=None) -> DataFrame:
     return where_all(
         edges, equal("source_symbol_id", source_id), equal("target_symbol_id", target_id), equal("kind", kind_of(kind, EDGE_KINDS)), equal("file_path", file_path)

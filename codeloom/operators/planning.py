@@ -81,6 +81,12 @@ def delete_by_file(target: DataFrame, files: DataFrame) -> DataFrame:
     return without(target, files).select(*target.columns)
 
 
+def stale_for_commit(state: DataFrame, head: str | None) -> DataFrame:
+    """head_commit and is_stale for each state row: whether it was indexed at another commit than ``head``."""
+    commit = F.col("workspace_state.head_commit")
+    return state.select(commit.alias("head_commit"), (~commit.eqNullSafe(F.lit(head))).alias("is_stale"))
+
+
 def staleness(state: DataFrame, head: str | None, dirty: bool, changed: DataFrame | None = None) -> DataFrame:
     """One row: is_stale, reason, head_changed, changed_file_count (-1 without ``changed``); no state is a stale index."""
     n = changed.agg(F.count("*").cast("int").alias("changed")) if changed is not None else state.sparkSession.sql("SELECT -1 AS changed")

@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 from codeloom.functions import scalars as S
 
 
-def repo_stats(manifest: DataFrame) -> DataFrame:
-    """One row, all zero for an empty manifest. Percentiles interpolate; tokens are rounded up last."""
-    p = F.percentile("size", F.array(F.lit(0.5), F.lit(0.75), F.lit(0.9)))
+def repo_stats(manifest: DataFrame, accuracy: int | None = None) -> DataFrame:
+    """One row, all zero for an empty manifest. Percentiles interpolate; tokens are rounded up last.
+
+    Exact percentiles count the distinct sizes in one task, which files of a repository have few of; with an
+    ``accuracy`` they are approximated within 1 / accuracy of the ranks, in bounded memory.
+    """
+    at = F.array(F.lit(0.5), F.lit(0.75), F.lit(0.9))
+    p = F.percentile_approx("size", at, accuracy).cast("array<double>") if accuracy else F.percentile("size", at)
     rows = manifest.agg(F.count("*").alias("file_count"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("total_bytes"), p.alias("p"))
-    at = lambda i: S.file_tokens(F.coalesce(F.col("p")[i], F.lit(0.0)))
+    tokens = lambda i: S.file_tokens(F.coalesce(F.col("p")[i], F.lit(0.0)))
     return rows.select(
-        "file_count", "total_bytes", S.file_tokens(F.col("total_bytes")).alias("total_tokens"), at(0).alias("median_file_tokens"),
-        at(1).alias("p75_file_tokens"), at(2).alias("p90_file_tokens"),
+        "file_count", "total_bytes", S.file_tokens(F.col("total_bytes")).alias("total_tokens"), tokens(0).alias("median_file_tokens"),
+        tokens(1).alias("p75_file_tokens"), tokens(2).alias("p90_file_tokens"),
     )
 
 

@@ -752,4 +752,17 @@ def call_sessions(v):
     return sessions(v.calls, "12 hours").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+
+@query(f"SELECT symbol_id, {KEY} AS symbol_key, {KEY} || ':' || left(sha256({SIGNATURE}), 8) AS symbol_key_exact, NULL AS container_symbol_id, name, kind, file_path, start_line, end_line, signature, docstring, language FROM v_symbols", "v_symbols")
+def symbol_records(v):
+    return lookup.symbol_dicts(v.symbols.withColumn("container_symbol_id", F.lit("")))
+
+
+@query("SELECT lang AS head_commit, lang IS DISTINCT FROM 'en' AS is_stale, count(*) AS n FROM v_files GROUP BY lang", "v_files")
+def stale_for_commit(v):
+    """Each language as a commit that was indexed, against one that is checked out."""
+    state = v.files.select(F.struct(F.col("lang").alias("head_commit")).alias("workspace_state"))
+    return planning.stale_for_commit(state, "en").groupBy("head_commit", "is_stale").agg(F.count("*").alias("n"))
+
+
 from codeloom import code_queries  # noqa: E402, F401  registers its own

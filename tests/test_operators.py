@@ -182,3 +182,39 @@ def test_progress_aggregates(spark):
     assert r.partition_files_total == {"p": 2, "q": 1} and r.partition_files_done == {"p": 1, "q": 1} and r.files_failed == 1
     e = spark.range(30).select("id", F.concat(F.lit("e"), F.col("id").cast("string")).alias("message"))
     assert stats.last_errors(e, "id").first().errors == [f"e{i}" for i in range(10, 30)]
+
+
+def test_approximate_statistics(spark):
+    sizes = spark.range(1, 1001).select("id", (F.col("id") * 10).alias("size"))
+    exact, near = stats.repo_stats(sizes).first(), stats.repo_stats(sizes, 10000).first()
+    assert (near.file_count, near.total_bytes) == (exact.file_count, exact.total_bytes) == (1000, 5005000)
+    assert abs(near.median_file_tokens - exact.median_file_tokens) < 10 and abs(near.p90_file_tokens - exact.p90_file_tokens) < 10
+    assert tuple(stats.repo_stats(sizes.where("false"), 100).first()) == (0, 0, 0, 0, 0, 0)
+
+
+def test_a_circle_of_ancestors_ends(spark):
+    edges = spark.createDataFrame([("a", "b", "inherits"), ("b", "c", "inherits"), ("c", "a", "inherits"), ("c", "d", "inherits"), ("x", "a", "inherits"), ("a", "z", "calls")], "source_symbol_id string, target_symbol_id string, kind string")
+    assert {tuple(r) for r in lookup.ancestors_closure(edges, "a").collect()} == {("b", 1), ("c", 2), ("a", 3), ("d", 3)}
+    assert lookup.ancestors_closure(edges, "z").count() == 0
+    chain = spark.range(30).select(F.col("id").cast("string").alias("source_symbol_id"), (F.col("id") + 1).cast("string").alias("target_symbol_id"), F.lit("inherits").alias("kind"))
+    assert lookup.ancestors_closure(chain, "5").agg(F.max("distance"), F.count("*")).first() == (25, 25)
+
+
+def test_imports_do_not_depend_on_the_order_of_rows(spark):
+    files = spark.range(60).select(F.format_string("p/m%d.py", "id").alias("file_path"))
+    imports = spark.range(400).select(F.format_string("p/f%d.py", F.col("id") % 40).alias("file_path"), F.format_string("p.m%d", F.col("id") % 90).alias("module")).repartition(7).distinct()
+    imports = imports.withColumn("r", F.rand()).orderBy("r").drop("r")  # another order each time it is computed
+    found = resolve.resolve_python(imports, files, ["."]).collect()
+    assert len(found) == imports.count() and all(r.resolved_path == (f"p/m{r.module[3:]}.py" if int(r.module[3:]) < 60 else None) for r in found)
+
+
+def test_resolvers_by_language(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "RESOLVERS", dict(resolve.RESOLVERS))
+
+    @resolve.register_resolver("go")
+    def go(imports, files, aliases):
+        return imports.join(files.select(F.col("file_path").alias("resolved_path")), F.expr("resolved_path = concat(module, '.go')"), "left")
+
+    edges = spark.createDataFrame([("a.go", "imports", 'import "lib"'), ("b.rs", "imports", 'use "x"'), ("c.py", "imports", "import d"), ("c.py", "calls", "f()")], "file_path string, kind string, ref_text string")
+    files = spark.createDataFrame([("lib.go",), ("d.py",), ("a.go",)], "file_path string")
+    assert {tuple(r) for r in resolve.resolve_imports(edges, files).collect()} == {("a.go", "lib", "lib.go"), ("b.rs", "x", None), ("c.py", "d", "d.py")}
