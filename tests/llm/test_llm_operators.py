@@ -195,6 +195,53 @@ def test_bpe_rows(spark):
     assert bpe.encode_decode(docs_of(spark, []), public_tokenizers.path("word_bpe_49k.json")).count() == 0
 
 
+def test_bpe_query(spark, tmp_path):
+    """The registered query against the tokenizers library, on a table of its own."""
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rows = [r for r in corpus(n=20)] + [(7000 + k, t) for k, t in enumerate(ODD)]
+    want = Counter()
+    for i, t in rows:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        want[i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()] += 1
+    out = bpe.op5_bpe(spark, table_of(spark, tmp_path, rows)).collect()
+    assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in out) == want
+    assert bpe.op5_bpe(spark, table_of(spark, tmp_path, [])).count() == 0
+
+
+def test_suffix_dedup_query(spark, tmp_path):
+    rows = corpus(seed=9, n=40)
+    out = suffix_dedup.op1_suffix_dedup(spark, table_of(spark, tmp_path, rows)).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out) == brute_removed(rows)
+    assert suffix_dedup.op1_suffix_dedup(spark, table_of(spark, tmp_path, [])).count() == 0
+
+
+def test_toxicity_query(spark, tmp_path):
+    """Held-out rows of the registered query; labels of held-out rows, languages, sources and ids change no score."""
+    rng = random.Random(21)
+    words = [f"{a}{b}{c}" for a in "kmprst" for b in ("ola", "ine", "uro", "esk", "am") for c in ("", "to", "ri")]
+    rows, labels = [], []
+    for i in range(700):
+        t = [rng.choice(words) for _ in range(rng.randint(10, 60))]
+        if bad := i % 4 == 0:
+            for _ in range(rng.randint(2, 4)):
+                t.insert(rng.randrange(len(t)), rng.choice(["Grolm", "grolming", "vuxter,"]))
+        rows.append((i, " ".join(t)))
+        labels.append((i, 0, int(bad)))
+    rows += [(900, None), (901, ""), (3, rows[3][1])]
+    held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0}
+    folder = table_of(spark, tmp_path, rows)
+    put = lambda ls: spark.createDataFrame(ls, "doc_id long, quality int, toxic int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/labels.parquet")
+    put(labels)
+    out = sorted(toxicity.op8_toxicity(spark, folder).collect())
+    assert len(out) == len(rows) and {r.doc_id for r in out if r.held_out} == held
+    truth = {i: y for i, _, y in labels}
+    assert np.mean([r.predicted == truth[r.doc_id] for r in out if r.doc_id in held and r.doc_id in truth]) > 0.95
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in out)
+    put([(i, q, 1 - y if i in held else y) for i, q, y in labels])
+    assert [(r.doc_id, r.score) for r in sorted(toxicity.op8_toxicity(spark, folder).collect())] == [(r.doc_id, r.score) for r in out]
+
+
 @pytest.mark.parametrize("block", [300, 1 << 22])
 def test_packing(spark, block):
     path = public_tokenizers.path("byte_bpe_50k.json")
