@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import NullType, StructType
 
 
 def folder(spark: SparkSession) -> str:
@@ -27,8 +29,11 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once, written to the shared checkpoint folder as a table and read from there.
 
     A written table has a known size, so the planner can tell which side of a join is small, and small files are
-    read together.
+    read together. Columns without a type hold nothing but nulls and are not written.
     """
     path = f"{folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    typed = [f for f in df.schema if not isinstance(f.dataType, NullType)]
+    named = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    df.select(*[named(f.name) for f in typed]).write.parquet(path)
+    rows = df.sparkSession.read.schema(StructType(typed)).parquet(path)
+    return rows if len(typed) == len(df.columns) else rows.select(*[named(f.name) if f in typed else F.lit(None).alias(f.name) for f in df.schema])
