@@ -7,7 +7,8 @@ search in the sorted pair keys, each word's lowest-rank pair is merged wherever
 without overlap), and the rounds end when no word has a mergeable pair.
 
 Defined results: null and empty texts have no ids and decode to the empty string; very long texts are
-cut into words like any other; special-token strings in a text become their ids, as in the library.
+cut into words like any other; special-token strings in a text become their ids, as in the library; repeated rows
+are encoded each; an empty table gives no rows; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -89,7 +90,6 @@ class Bpe:
                 steps.append(lambda t: t.lower() if "Σ" not in t else "".join(c.lower() for c in t))
             elif p["type"] == "Replace" and p["pattern"] == {"Regex": r"\s+"}:
 
-
                 def spaced(t, r=regex.compile(f"{SPACES}+"), to=p["content"]):
                     return r.sub(to, t)
 

@@ -11,7 +11,8 @@ within 0 and 1.
 Defined results: words are what white space parts; a text with fewer words than a shingle has one shingle,
 all its words; a text without words (null, empty, blank) has the empty string as its fingerprint, whose
 likeness is 1 to another such and 0 to any other; null doc_ids sort as the smallest; rows of equal doc_id
-follow a hash of their text, and those of equal doc_id and text are one document; an empty table gives no rows.
+follow a hash of their text, and those of equal doc_id and text are one document; an empty table gives no rows;
+``with_signature`` keeps columns of any name, ``with_next`` reads doc_id and text alone.
 """
 
 from __future__ import annotations

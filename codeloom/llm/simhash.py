@@ -12,7 +12,7 @@ spanning forest leaves: no pairs are listed.
 
 Defined results: a null or empty text has fingerprint zero and is linked like any other; repeated rows
 have equal fingerprints; a null doc_id takes part, but does not name a class unless all its members' ids
-are null; an empty table gives no rows.
+are null; an empty table gives no rows; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ doc_id. Texts are judged as they came in.
 4. Each part marks its windows against those doc_ids and cuts the covered bytes.
 
 Defined results: a null text is empty; a null doc_id counts as larger than any other and equal to other
-nulls; rows with equal doc_ids do not remove each other's bytes; an empty table gives no rows.
+nulls; rows with equal doc_ids do not remove each other's bytes; an empty table gives no rows. Further columns
+stay as they are; those named ``__part``, ``__kept`` or ``__spans`` are dropped.
 """
 
 from __future__ import annotations
@@ -389,6 +390,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text, ...)`` with its columns, __kept (bytes that stay) and __spans (maximal removed runs of bytes)."""
     from codeloom.llm.common import partitions, settled
 
+    docs = docs.drop("__part", "__kept", "__spans")
     spark, docs = docs.sparkSession, settled(docs)  # a part must hold the same rows in each of the three steps that deal them
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(partitions(spark), -(-size // PART_BYTES))

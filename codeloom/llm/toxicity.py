@@ -17,7 +17,7 @@ Defined results: a null or empty text is scored as one without words; rows witho
 label, are not fitted on, and of several labels of one id the largest counts; without usable labels of both classes
 every score is that of a logit of -30, below 1e-12; repeated rows are scored each, and score alike; an empty table gives no
 rows. Columns of ``docs`` other than the text stay as they are; ``__score``, ``__threshold``, ``__logit`` and
-``__text`` are this operator's names, and columns that have them are replaced.
+``__text`` are this operator's names, and columns that have them are dropped.
 """
 
 from __future__ import annotations
@@ -303,6 +303,7 @@ def logits(docs: DataFrame, model: Cnn, text: bool = True) -> DataFrame:
 
     from codeloom.llm.common import held
 
+    docs = docs.drop("__score", "__threshold", "__logit", "__text")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size: buckets times dimensions
 
     def run(batches):

@@ -824,3 +824,22 @@ def test_pipeline_keeps_the_authors_replacement_characters(spark):
     docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     cut = {r.doc_id: r.text for r in corpus_pipeline.cut_repeats(spark, docs, SF).collect()}
     assert cut[2] == "�x�b�" and cut[3] == "è� è" and cut[5] == "�οοο" and cut[6] == rows[5][1] and cut[7] is None
+
+
+def test_columns_that_bear_the_operators_own_names(spark):
+    from codeloom.llm import pipeline
+
+    names = ["__part", "__kept", "__spans", "__id", "__hash", "__row", "__score", "__threshold", "__logit", "__text", "__w", "key", "root", "group", "block", "bucket", "cell", "base", "hash", "bytes", "place"]
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, text, "en", "s", len(text), *names), (2, "x " + text, "en", "s", len(text) + 2, *names), (3, None, None, None, None, *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    plain = [n for n in names if not n.startswith("__") or n == "__w"]
+    for df in (suffix_dedup.dedup(docs), sharding.assign(docs, 50), minhash.with_signature(docs, "text", "sig"), toxicity.score(docs, *toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int")))):
+        found = {r.doc_id: r for r in df.collect()}
+        assert set(found) == {1, 2, 3} and all(found[i][n] == n for i in found for n in plain)
+    assert simhash.classes(docs).count() == bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json")).count() == 3 and licenses.scan(docs).count() == 0
+    for _, stage in pipeline.STAGES[:3]:
+        left = stage(spark, docs, SF)
+        assert left.columns == docs.drop(*pipeline.OWN).columns and {3} < {r.doc_id for r in left.collect()} <= {1, 2, 3}
+    vectors = docs.select(F.col("doc_id").alias("vec_id"), F.array(F.lit(1.0), F.col("doc_id").cast("double")).alias("embedding"), *plain)
+    assert voronoi.top_k(vectors, every=1).count() == 6
