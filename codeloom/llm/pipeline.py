@@ -6,8 +6,7 @@ suffix_dedup: passages of 50 bytes and more that a document with a smaller doc_i
 character that was cut in two go with it. packing: what is left is packed into sequences of token ids.
 
 Each stage is judged on what the stages before it kept. All but the last return the columns of ``documents``, whatever
-further ones there are; ``n_chars`` follows the text. Columns named ``__id``, ``__hash``, ``__row``, ``__score``,
-``__threshold``, ``__kept`` or ``__spans`` are not passed on as they were.
+further ones there are; ``n_chars`` follows the text. Columns with names of the operators' own (``OWN``) are dropped.
 
 Defined results: a null text is empty for every decision, and stays null where it stays; empty texts are
 copies of one another, so one stays; a null doc_id is larger than any other; rows that agree in doc_id and text are
@@ -28,23 +27,28 @@ from codeloom.llm.common import cut, table
 WORDS = 1 << 18
 #: Bytes of a character without its first ones, at the start of a string, or without its last ones, at the end.
 PARTIAL = r"\A[\x80-\xBF]+|(?:[\xC2-\xDF]|[\xE0-\xEF][\x80-\xBF]?|[\xF0-\xF4][\x80-\xBF]{0,2})\z"
+#: Names that the stages use for columns of their own.
+OWN = ("__id", "__hash", "__score", "__threshold", "__logit", "__text", "__part", "__kept", "__spans")
 
 
 def remove_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = docs.drop(*OWN)
     scored = toxicity.trained_score(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     return scored.where("__score < __threshold").drop("__score", "__threshold")
 
 
 def one_of_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = docs.drop(*OWN)
     last = F.lit((1 << 63) - 1)  # a null doc_id comes after all others
     mine = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), last)).withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     stays = near_copies.staying(mine.select(F.col("__id").alias("id"), F.col("__hash").alias("h"), "text"))
     # rows that agree in doc_id and text are copies of one another
-    kept = mine.withColumn("__row", F.xxhash64("__id", "__hash")).join(stays.select(F.xxhash64("id", "h").alias("__row")), "__row", "left_semi")
-    return kept.dropDuplicates(["__row"]).select(*docs.columns)
+    kept = mine.join(stays.select(F.col("id").alias("__id"), F.col("h").alias("__hash")), ["__id", "__hash"], "left_semi")
+    return kept.dropDuplicates(["__id", "__hash"]).select(*docs.columns)
 
 
 def cut_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = docs.drop(*OWN)
     done = suffix_dedup.dedup(docs)
     data = F.col("text").cast("binary")
     # what lies between the spans, a character for each byte, without the parts of characters at the edges
