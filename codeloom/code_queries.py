@@ -2,7 +2,7 @@
 
 The documents hold no code, so each line of a document becomes a block of code, of one of four kinds in turn, that
 bears the line's letters in its names. What a block holds is written down beside it as rows, from which the
-DuckDB twins are made; ``@`` stands for the line's name.
+DuckDB twins are made; ``@`` stands for the line's name, ``+`` for an at sign.
 """
 
 from __future__ import annotations
@@ -14,13 +14,12 @@ from pyspark.sql import functions as F
 from codeloom.operators import chunking, resolve
 from codeloom.plans.parse import operator as parse
 from codeloom.registry import query
-from codeloom.schemas import SYMBOLS
 from codeloom.sources.config import Config
 
 PYTHON = [
     """class C@(Base, mod.Other):
     \"""About @.\"""
-    @wrap(1)
+    +wrap(1)
     def run(self, x: int) -> str:
         def inner(y):
             return y
@@ -55,7 +54,7 @@ PYTHON_SYMBOLS = [
 PYTHON_EDGES = [
     (0, "inherits", "Base", 0, 0, "class C@(", "C@", "class", 0),
     (0, "inherits", "mod.Other", 0, 0, "class C@(Base, ", "C@", "class", 0),
-    (0, "calls", "wrap(1)", 2, 2, "    @".replace("@", "+"), "C@", "class", 0),
+    (0, "calls", "wrap(1)", 2, 2, "    +", "C@", "class", 0),
     (0, "calls", "inner(\n            x,\n        )", 6, 8, "        return ", "run", "method", 3),
     (1, "imports", "from pkg.@ import a", 0, 0, "", None, None, None),
     (1, "imports", "from pkg.@ import b as c", 0, 0, "", None, None, None),
@@ -185,8 +184,7 @@ def edges_sql(blocks, extension, rows) -> str:
 
 
 def python_files(v):
-    # the mark of a decorator is written as a plus, as that of a name is taken
-    return code_files(v, [b.replace("@wrap", "+wrap") for b in PYTHON], ".py", "python")
+    return code_files(v, PYTHON, ".py", "python")
 
 
 def script_files(v):
@@ -369,9 +367,8 @@ LARGE = [
 
 def chunks_sql(rows) -> str:
     ids = "array_to_string(list_transform(CASE WHEN ids = '' THEN [] ELSE string_split(ids, ';') END, lambda x: file_path || ':' || replace(split_part(x, ':', 1), '@', n) || ':' || split_part(x, ':', 2) || ':' || (base + CAST(split_part(x, ':', 3) AS INTEGER))), ',')"
-    marked = "replace(replace(content, '@wrap', chr(1)), '@', n)"
     return f"""SELECT file_path, CAST(base + a AS INTEGER) AS start_line, CAST(base + b AS INTEGER) AS end_line, {ids} AS symbol_ids, head <> '' AS is_symbol_chunk,
-    'File: ' || file_path || chr(10) || replace(replace(head, '@', n), '%', 'doc_' || doc_id) || chr(10) || replace({marked}, chr(1), '@wrap') AS embedding_text
+    'File: ' || file_path || chr(10) || replace(replace(head, '@', n), '%', 'doc_' || doc_id) || chr(10) || replace(replace(content, '@', n), '+', '@') AS embedding_text
     FROM {lines_sql(PYTHON, '.py')} l JOIN (VALUES {values(rows)}) AS t(block, a, b, ids, head, content) USING (block)"""
 
 

@@ -16,7 +16,11 @@ TOKEN = re.compile(
 PAIRS = {"(": ")", "[": "]", "{": "}"}
 REGEX = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[A-Za-z]*")
 TEMPLATE = re.compile(r"(?:\\.|\$(?!\{)|[^`\\$])*(`|\$\{|\Z)", re.S)
-#: Words after which a slash begins a regular expression.
+#: What follows the sign that opens an element of markup, and what does where it opens type parameters.
+ELEMENT, GENERIC = re.compile(r"<\s*(?:[A-Za-z_$]|>)"), re.compile(r"<\s*[A-Za-z_$][\w$]*\s*(?:,|extends\b)")
+IN_TAG = re.compile(r"""[^"'{/>]+|"[^"]*"|'[^']*'|/\s*>|[\s\S]""")
+IN_ELEMENT = re.compile(r"[^<{]+|</[^>]*>|[\s\S]")
+#: Words after which a slash begins a regular expression, and a less-than sign markup.
 BEFORE_REGEX = frozenset("return typeof case in of delete void throw new do else await yield instanceof".split())
 
 
@@ -31,13 +35,13 @@ class Tok:
 class Source:
     """Tokens of a text, with line and column lookups, matched brackets, and unmatched ones as errors."""
 
-    def __init__(self, text: str, hash_comments: bool = False, script: bool = False):
+    def __init__(self, text: str, hash_comments: bool = False, script: bool = False, markup: bool = False):
         self.text = text
         self.starts = [0, *[m.end() for m in re.finditer("\n", text)]]
         self.tokens: list[Tok] = []
         self.docs: dict[int, str] = {}
         doc = None
-        for kind, value, at, to in self.lexed(script):
+        for kind, value, at, to in self.lexed(script, markup):
             if kind == "doc":
                 doc = value
             elif kind == "comment" or (kind == "pre" and hash_comments):
@@ -68,31 +72,57 @@ class Source:
                     self.unmatched.append(i)
         self.unmatched += stack
 
-    def lexed(self, script: bool):
-        """Kind, text, begin and end of each token. In scripts a template is strings with the tokens of its substitutions between them."""
+    def lexed(self, script: bool, markup: bool):
+        """Kind, text, begin and end of each token.
+
+        In scripts a template is strings with the tokens of its substitutions between them, and so is markup with those of
+        its expressions.
+        """
         text, at, depth = self.text, 0, 0
-        templates: list[int] = []  # brace depths at which a substitution ends
+        open_: list[tuple] = []  # what goes on after a closing brace: its depth, and the elements open in markup or None in a template
         while m := TOKEN.search(text, at):
             kind, begin, at = m.lastgroup, m.start(), m.end()
             if script:
                 first = text[begin]
                 last = self.tokens[-1] if self.tokens else None
+                fresh = last is None or last.kind == "arrow" or (last.kind == "op" and last.text not in ")]}") or last.text in BEFORE_REGEX
+                resumed = open_.pop()[1] if first == "}" and open_ and open_[-1][0] == depth else 0
                 if kind == "pre":  # a private member's mark
                     begin = text.index("#", begin)
                     kind, at = "op", begin + 1
-                elif first == "/" and kind == "op" and (last is None or last.kind == "arrow" or (last.kind == "op" and last.text not in ")]}") or last.text in BEFORE_REGEX) and (r := REGEX.match(text, begin)):
+                elif first == "/" and kind == "op" and fresh and (r := REGEX.match(text, begin)):
                     kind, at = "string", r.end()
-                elif first == "`" or (first == "}" and templates and templates[-1] == depth):
-                    if first == "}":
-                        templates.pop()
+                elif first == "`" or resumed is None:
                     chunk = TEMPLATE.match(text, begin + 1)
                     kind, at = "string", chunk.end()
                     if chunk[1] == "${":
-                        templates.append(depth)
+                        open_.append((depth, None))
+                elif resumed or (first == "<" and markup and fresh and ELEMENT.match(text, begin) and not GENERIC.match(text, begin)):
+                    at, left = self.marked_up(begin + 1, resumed or (1, True))
+                    kind = "string"
+                    if left:
+                        open_.append((depth, left))
                 elif kind == "op":
                     depth += (first == "{") - (first == "}")
             yield kind, text[begin:at], begin, at
 
+    def marked_up(self, at: int, state: tuple[int, bool]) -> tuple[int, tuple[int, bool] | None]:
+        """Where markup ends or an expression in it begins, and for an expression how it goes on: the elements open, and whether in a tag."""
+        count, tag = state
+        while count and at < len(self.text):
+            m = (IN_TAG if tag else IN_ELEMENT).match(self.text, at)
+            at, found = m.end(), m[0]
+            if found == "{":
+                return at, (count, tag)
+            if tag:
+                closed = found[0] == "/" and found[-1] == ">"
+                count, tag = count - closed, not (closed or found == ">")
+            elif found == "<":
+                count, tag = count + 1, True
+            elif found.startswith("</"):
+                count -= 1
+        return at, None
+
     def line(self, at: int) -> int:
         from bisect import bisect_right
 
@@ -159,8 +189,8 @@ RULES = {
 
 
 class Walk:
-    def __init__(self, text: str, rules: Rules, script: bool):
-        self.rules, self.s = rules, Source(text, hash_comments=not (rules.c_like or script), script=script)
+    def __init__(self, text: str, rules: Rules, markup: bool = False):
+        self.rules, self.s = rules, Source(text, hash_comments=not (rules.c_like or rules.script), script=rules.script, markup=markup)
         self.found = Found()
 
     def scope(self, scopes):
@@ -386,6 +416,8 @@ class Walk:
         k += 1
         if s.is_(k, "async"):
             k += 1
+        if s.is_(k, "<"):  # type parameters
+            k = next((x + 1 for x in range(k, limit) if s.is_(x, ">") and not self.inside(x + 1, k)), k)
         begin = k
         if s.is_(k, "function"):
             while k < limit and not s.is_(k, "("):
@@ -528,7 +560,7 @@ class Walk:
 def parse(text: str, language: str) -> Found:
     own = {"tsx": "typescript", "jsx": "javascript"}.get(language, language)
     rules = replace(RULES[own], control=CONTROL[own])
-    return Walk(text, rules, rules.script).run()
+    return Walk(text, rules, markup=language in ("tsx", "jsx", "javascript")).run()
 
 
 RUBY = re.compile(r"^(\s*)(def|class|module)\s+((?:self\.)?[A-Za-z_][\w:]*[?!=]?)")
