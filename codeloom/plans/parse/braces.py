@@ -482,6 +482,11 @@ class Walk:
             brace, end = None, s.match[p] + 1
         else:
             end = s.match[brace]
+        if r.c_like and "interface" in r.kinds and s.tokens[n].text == direct and all(s.tokens[x].text in MODIFIERS for x in range(start, n)):
+            # a constructor is no symbol in these languages, but calls are made in it
+            if brace is not None:
+                self.walk(brace + 1, end, containers, scopes, None)
+            return end + 1
         kind = "method" if containers else "function"
         first = start if r.c_like or all(s.tokens[x].text in MODIFIERS or s.is_(x, "*") for x in range(start, i)) else i
         me = self.add(s.tokens[n].text, kind, first, end, brace, containers, start)
