@@ -169,6 +169,7 @@ class Server:
         actual = math.ceil(len(json.dumps(data, default=str)) * TOKENS_PER_BYTE)
         if naive > 0:
             self.session.record(tool, naive, actual)
+            self.session.persist()
         generation, stale = self.index_state()
         meta = {
             "schema_version": SCHEMA_VERSION, "server_version": __version__, "request_id": uuid.uuid4().hex[:8], "generation": generation, "stale": stale,

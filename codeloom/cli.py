@@ -1,6 +1,7 @@
-"""Command line: init, index, status, progress, doctor, languages, serve.
+"""Command line: init, index, status, progress, doctor, languages, serve; on-stop and on-session-end for a client's hooks.
 
-Exit codes: 0 done, 1 error, 2 index locked, 3 stale (with --exit-stale), 4 doctor found issues.
+Exit codes: 0 done, 1 error, 2 index locked, 3 stale (with --exit-stale), 4 doctor found issues. A hook that has savings to
+show writes them to the error stream and ends with 1, which makes clients show them.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from codeloom.sources.config import config_path, default_config, load_config, sa
 from codeloom.sources.files_io import Lock, LockHeld
 from codeloom.sources.git import Git
 from codeloom.sources.store import Store
-from codeloom.streaming.metrics import Progress, Session, payload, progress_line
+from codeloom.streaming.metrics import Progress, Session, human, payload, progress_line, session_lines
 
 
 def session():
@@ -77,6 +78,8 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     command("doctor")
     command("languages", "--json")
     command("serve")
+    command("on-stop")
+    command("on-session-end")
     a = parser.parse_args(argv)
     root = os.path.abspath(a.repo_root)
     config = load_config(root)
@@ -93,6 +96,17 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         found = api.languages()
         print(json.dumps(found) if a.json else "\n".join(f"{k}: {', '.join(v)}" for k, v in found.items()))
         return 0
+    if a.command == "on-stop":
+        new = Session.report(place(root, "metrics"))
+        if new:
+            print(f"codeloom: {human(new['saved'])} tokens saved, {new['calls']} calls", file=sys.stderr)
+        return 1 if new else 0
+    if a.command == "on-session-end":
+        lines = session_lines(Session.last(place(root, "metrics")) or {})
+        Session.forget(place(root, "metrics"))
+        if lines:
+            print("\n".join(lines), file=sys.stderr)
+        return 1 if lines else 0
     if a.command == "progress":
         before = None
         while True:

@@ -383,6 +383,13 @@ def chunk_symbols(v):
     return chunks(v)
 
 
+@query(f"SELECT file_path, start_line, end_line, CAST(row_number() OVER (PARTITION BY file_path ORDER BY start_line, end_line DESC) AS INTEGER) AS position FROM ({chunks_sql(CHUNKS)}) c", "v_files")
+def chunk_positions(v):
+    files = python_files(v)
+    found = chunking.chunk_files(files, parse.symbols_of(parse.parse_files(files)))
+    return chunking.in_order(found).select("file_path", "start_line", "end_line", "position")
+
+
 @query(chunks_sql(LARGE), "v_files")
 def chunk_large_classes(v):
     return chunks(v, large=5)

@@ -205,6 +205,20 @@ def payload(snapshot: dict | None) -> dict:
     return {"active": snapshot is not None, "progress": snapshot}
 
 
+def human(n: int) -> str:
+    """1234 as ~1.2k, 2500000 as ~2.5M."""
+    return f"~{n / 1_000_000:.1f}M" if n >= 1_000_000 else f"~{n / 1000:.1f}k" if n >= 1000 else f"~{n}"
+
+
+def session_lines(m: dict) -> list[str]:
+    """A session's savings by tool, the largest first, and in all; none if nothing was saved."""
+    if not m.get("total_saved"):
+        return []
+    tools = sorted((t for t in m["tools"] if t["tokens_saved"]), key=lambda t: -t["tokens_saved"])
+    lines = [f"  {t['tool']:<24} {t['calls']}x  {human(t['tokens_saved']):>8} tokens saved" for t in tools]
+    return ["codeloom: session complete", *lines, f"  total: {human(m['total_saved'])} tokens saved ({m['percent_saved']:.1f}%)"]
+
+
 def progress_line(s: dict, width: int = 20) -> str:
     n = s["files_done"] + s["files_failed"]
     full = int(width * n / s["files_total"]) if s["files_total"] else 0
@@ -251,11 +265,32 @@ class Session:
 
     def end(self) -> None:
         """Forgets what was last reported."""
+        if self.folder:
+            Session.forget(self.folder)
+
+    @staticmethod
+    def forget(folder: str) -> None:
         try:
-            os.remove(os.path.join(self.folder or "", "last-reported.json"))
+            os.remove(os.path.join(folder, "last-reported.json"))
         except OSError:
             pass
 
+    @staticmethod
+    def report(folder: str) -> dict | None:
+        """Calls, and savings since the last report, of the session whose metrics were written last; None if nothing more was saved."""
+        data = read_json(os.path.join(folder, "last-session.json"))
+        m = data.get("metrics") if isinstance(data, dict) else None
+        if not m:
+            return None
+        path = os.path.join(folder, "last-reported.json")
+        last = read_json(path)
+        before = last.get("saved", 0) if isinstance(last, dict) and last.get("session_id") == data.get("session_id") else 0
+        now = {"calls": sum(t["calls"] for t in m["tools"]), "saved": m["total_saved"], "session_id": data.get("session_id")}
+        if now["saved"] <= before:
+            return None
+        write_json(path, now)
+        return {"calls": now["calls"], "saved": now["saved"] - before}
+
     @staticmethod
     def last(folder: str) -> dict | None:
         """The metrics of the session before; None if there is none or its file can't be read."""

@@ -178,6 +178,23 @@ def test_session(tmp_path):
     assert json.loads((tmp_path / "last-session.json").read_text())["metrics"]["total_naive"] == 12000 and "| t | 3 | 10,200 |" in s.markdown()
 
 
+def test_hooks(tmp_path, capsys):
+    root, folder = str(tmp_path), str(tmp_path / ".codeloom" / "metrics")
+    assert cli.main(["on-stop", "--repo-root", root]) == cli.main(["on-session-end", "--repo-root", root]) == 0
+    s = metrics.Session(folder)
+    s.record("get_symbols", 2000, 500)
+    s.record("get_symbol", 10, 90)
+    s.persist()
+    assert cli.main(["on-stop", "--repo-root", root]) == 1 and "~1.4k tokens saved, 2 calls" in capsys.readouterr().err
+    assert cli.main(["on-stop", "--repo-root", root]) == 0 and capsys.readouterr().err == ""
+    s.record("get_snippet", 3_000_000, 1)
+    s.persist()
+    assert cli.main(["on-stop", "--repo-root", root]) == 1 and "~3.0M tokens saved, 3 calls" in capsys.readouterr().err
+    assert cli.main(["on-session-end", "--repo-root", root]) == 1
+    lines = capsys.readouterr().err.splitlines()
+    assert [x.split()[0] for x in lines[1:]] == ["get_snippet", "get_symbols", "total:"] and not os.path.exists(os.path.join(folder, "last-reported.json"))
+
+
 def test_streams(spark, tmp_path):
     calls = spark.createDataFrame([("s", "a", 10, 4), ("s", "a", 1, 5), ("u", "b", 7, 7)], "session_id string, tool string, naive_tokens long, actual_tokens long")
     calls.write.parquet(str(tmp_path / "calls"))
