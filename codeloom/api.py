@@ -27,7 +27,7 @@ from codeloom.operators.lookup import InvalidArguments
 from codeloom.plans.indexer import Guard, incremental_index
 from codeloom.schemas import PAGE
 from codeloom.sources.config import Config
-from codeloom.sources.files_io import LockHeld
+from codeloom.sources.files_io import Lock, LockHeld
 from codeloom.sources.git import Git
 from codeloom.sources.store import Store
 from codeloom.streaming.metrics import Progress, Session, payload
@@ -140,7 +140,10 @@ class Server:
             again = True
             while again:
                 try:
-                    incremental_index(self.spark, self.root, self.store, self.config)
+                    with Lock(os.path.join(self.root, ".codeloom", "index.lock")):
+                        incremental_index(self.spark, self.root, self.store, self.config)
+                except LockHeld:  # another process is at it
+                    pass
                 finally:
                     again = self.guard.finish() and self.guard.try_start()
 

@@ -29,7 +29,8 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once, written to the shared checkpoint folder as a table and read from there.
 
     A written table has a known size, so the planner can tell which side of a join is small, and small files are
-    read together. Columns without a type hold nothing but nulls and are not written.
+    read together. Columns without a type hold nothing but nulls and are not written. Tables stay as long as the
+    folder does: whatever is computed from one can be computed again after an executor is lost.
     """
     path = f"{folder(df.sparkSession)}/{uuid.uuid4().hex}"
     typed = [f for f in df.schema if not isinstance(f.dataType, NullType)]
