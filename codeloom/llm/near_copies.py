@@ -225,7 +225,8 @@ def exact(rows: DataFrame, texts: DataFrame) -> DataFrame:
 
     rows = cut(rows.join(texts.select("h", "minima"), "h"))
     count = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    hopeful = cut(paired(rows, count).groupBy("key", "bi", "bj").applyInArrow(_hopeful, "key long, h long").distinct())
+    pair = ("key", "bi", "bj")  # dealt by all three, or else all block pairs of a key would go to the task that has the key
+    hopeful = cut(paired(rows, count).repartition(*pair).groupBy(*pair).applyInArrow(_hopeful, "key long, h long").distinct())
 
     def listed(batches):
         for b in batches:
@@ -234,7 +235,7 @@ def exact(rows: DataFrame, texts: DataFrame) -> DataFrame:
     sets = texts.join(hopeful.select("h").distinct(), "h", "left_semi").select("h", "text").mapInArrow(listed, "h long, set binary")
     rows = rows.join(hopeful, ["key", "h"], "left_semi")
     size = rows.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.col("n").cast("long") * 8) / BYTES)).alias("blocks"))
-    return paired(rows.join(sets, "h"), size).groupBy("key", "bi", "bj").applyInArrow(_joined, "h long, ch long")
+    return paired(rows, size).join(sets, "h").repartition(*pair).groupBy(*pair).applyInArrow(_joined, "h long, ch long")
 
 
 def balls(made: DataFrame) -> DataFrame:
