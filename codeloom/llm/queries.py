@@ -3,6 +3,7 @@
 from codeloom.llm import pipeline
 from codeloom.llm.bpe import op5_bpe
 from codeloom.llm.chat import OP10_SQL, op10_chat_format
+from codeloom.llm.hard_negatives import OP12_SQL, op12_hard_negatives
 from codeloom.llm.licenses import op6_license_scan
 from codeloom.llm.minhash import op4_minhash
 from codeloom.llm.packing import op7_pack
@@ -23,7 +24,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_extendible_sharding": op9_extendible_sharding,
     "op10_chat_format": op10_chat_format,
+    "op12_hard_negatives": op12_hard_negatives,
     "pipeline": pipeline.run,
 }
 
-ORACLE_SQL = {"op2_voronoi_topk": OP2_SQL, "op10_chat_format": OP10_SQL}
+ORACLE_SQL = {"op2_voronoi_topk": OP2_SQL, "op10_chat_format": OP10_SQL, "op12_hard_negatives": OP12_SQL}

@@ -27,11 +27,11 @@ PIVOTS, MOST_PIVOTS, QUERIES, BLOCK = 16, 512, 4096, 16384
 CHOICE = 8
 
 
-def scaled(vectors: DataFrame, factor: float) -> DataFrame:
-    """vec_id, v (array<long>): floor(factor * x) of each component, for the vectors that take part."""
+def scaled(vectors: DataFrame, factor: float, *others: str) -> DataFrame:
+    """vec_id, ``others``, v (array<long>): floor(factor * x) of each component, for the vectors that take part."""
     x = F.col("embedding").cast("array<double>")
     fit = F.col("vec_id").isNotNull() & x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    return vectors.where(F.coalesce(fit, F.lit(False))).select("vec_id", F.transform(x, lambda c: F.floor(c * F.lit(factor)).cast("long")).alias("v"))
+    return vectors.where(F.coalesce(fit, F.lit(False))).select("vec_id", *others, F.transform(x, lambda c: F.floor(c * F.lit(factor)).cast("long")).alias("v"))
 
 
 def matrix(column, dim: int) -> np.ndarray:
