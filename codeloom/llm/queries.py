@@ -7,6 +7,7 @@ from codeloom.llm.hard_negatives import OP12_SQL, op12_hard_negatives
 from codeloom.llm.licenses import op6_license_scan
 from codeloom.llm.minhash import op4_minhash
 from codeloom.llm.packing import op7_pack
+from codeloom.llm.ranked import OP13_SQL, op13_ranked_search
 from codeloom.llm.sharding import op9_extendible_sharding
 from codeloom.llm.simhash import op3_simhash
 from codeloom.llm.suffix_dedup import op1_suffix_dedup
@@ -25,7 +26,8 @@ QUERIES = {
     "op9_extendible_sharding": op9_extendible_sharding,
     "op10_chat_format": op10_chat_format,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_ranked_search": op13_ranked_search,
     "pipeline": pipeline.run,
 }
 
-ORACLE_SQL = {"op2_voronoi_topk": OP2_SQL, "op10_chat_format": OP10_SQL, "op12_hard_negatives": OP12_SQL}
+ORACLE_SQL = {"op2_voronoi_topk": OP2_SQL, "op10_chat_format": OP10_SQL, "op12_hard_negatives": OP12_SQL, "op13_ranked_search": OP13_SQL}
