@@ -4,6 +4,7 @@ from codeloom.llm import pipeline
 from codeloom.llm.bpe import op5_bpe
 from codeloom.llm.chat import OP10_SQL, op10_chat_format
 from codeloom.llm.hard_negatives import OP12_SQL, op12_hard_negatives
+from codeloom.llm.language_id import op11_language_id
 from codeloom.llm.licenses import op6_license_scan
 from codeloom.llm.minhash import op4_minhash
 from codeloom.llm.packing import op7_pack
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_extendible_sharding": op9_extendible_sharding,
     "op10_chat_format": op10_chat_format,
+    "op11_language_id": op11_language_id,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_ranked_search": op13_ranked_search,
     "pipeline": pipeline.run,
