@@ -95,8 +95,8 @@ def counts(text: str | None) -> np.ndarray | None:
     return out if some else None
 
 
-def machine(x: np.ndarray, gram: np.ndarray, y: np.ndarray, groups: np.ndarray) -> np.ndarray:
-    """Weights, and the bias last, of a linear support vector machine; y: 1 or -1; the groups of a side weigh the same."""
+def machine(gram: np.ndarray, y: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """The rows' factors in the weights of a linear support vector machine; y: 1 or -1; the groups of a side weigh the same."""
     rng = np.random.default_rng(SEED)
     most = np.zeros(len(y))
     for side in (1, -1):
@@ -115,7 +115,7 @@ def machine(x: np.ndarray, gram: np.ndarray, y: np.ndarray, groups: np.ndarray)
                 moved = max(moved, abs(step))
         if moved < 1e-3:
             break
-    return np.append((alpha * y) @ x, (alpha * y).sum())
+    return alpha * y
 
 
 def slope(margins: np.ndarray, right: np.ndarray) -> float:
@@ -126,7 +126,7 @@ def slope(margins: np.ndarray, right: np.ndarray) -> float:
 
 
 class Model:
-    """``weights``: a row of integers for each machine. families: (name, row); pairs: by family, (language, language, row)."""
+    """``weights``: a row of integers for each machine; one, pairs: which row is whose. ``x``, the counts, is scaled in place."""
 
     def __init__(self, x: np.ndarray, langs: list[str]):
         self.languages = sorted(set(langs))
@@ -134,25 +134,31 @@ class Model:
         langs = np.array(langs, object)
         self.families = {f: sorted(v for v in self.languages if family_of(v) == f) for f in sorted(set(of.tolist()))}
         rows, self.one, self.pairs = [], {}, {}
-        x = x / np.maximum(np.sqrt((x * x).sum(1)), 1e-30)[:, None]
+        for row in x:  # in place: a copy would be as large again
+            row /= max(np.sqrt(np.dot(row, row)), 1e-30)
         # of each language the first rows are fitted on, as it may have few; one in five is set aside
         number = np.array([np.count_nonzero(langs[:i] == v) for i, v in enumerate(langs)])
-        fit = number % 5 != 4
-        xf, of_fit, langs_fit = x[fit], of[fit], langs[fit]
-        gram = xf @ xf.T + 1
+        fit, aside = np.flatnonzero(number % 5 != 4), np.flatnonzero(number % 5 == 4)
+        of_fit, langs_fit = of[fit], langs[fit]
+        gram = (x @ x.T)[np.ix_(fit, fit)].astype(np.float64) + 1
+
+        def learned(part, side):
+            factors = np.zeros(len(x), x.dtype)
+            factors[fit[part]] = machine(gram[np.ix_(part, part)], np.where(side[part], 1, -1), langs_fit[part])
+            rows.append(np.append(factors @ x, factors.sum()))
+
         if len(self.families) > 1:
             for f in self.families:
                 self.one[f] = len(rows)
-                rows.append(machine(xf, gram, np.where(of_fit == f, 1, -1), langs_fit))
+                learned(np.arange(len(fit)), of_fit == f)
         for f, names in self.families.items():
             for i, a in enumerate(names):
                 for b in names[i + 1 :]:
-                    part = np.flatnonzero((langs_fit == a) | (langs_fit == b))
                     self.pairs.setdefault(f, []).append((a, b, len(rows)))
-                    rows.append(machine(xf[part], gram[np.ix_(part, part)], np.where(langs_fit[part] == a, 1, -1), langs_fit[part]))
-        self.weights = np.rint(np.array(rows).reshape(len(rows), BUCKETS + 1) * UNIT)
+                    learned(np.flatnonzero((langs_fit == a) | (langs_fit == b)), langs_fit == a)
+        self.weights = np.rint(np.array(rows, np.float64).reshape(len(rows), BUCKETS + 1) * UNIT)
         self.slopes = (1.0, 1.0)
-        aside = [(self.decide(self.weights[:, :-1] @ v / UNIT + self.weights[:, -1] / UNIT), a) for v, a in zip(x[~fit], langs[~fit], strict=True)]
+        aside = [(self.decide(self.weights[:, :-1] @ x[i] / UNIT + self.weights[:, -1] / UNIT), langs[i]) for i in aside]
         self.slopes = tuple(slope(np.array([m[k] for (_, m), _ in aside]), np.array([float((family_of(v) == family_of(a)) if k == 0 else v == a) for (v, _), a in aside])) for k in (0, 1))
 
     def decide(self, margins: np.ndarray) -> tuple[str, tuple[float, float]]:
@@ -198,7 +204,7 @@ def sampled(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, list[str
 
     frequent = [r.lang for r in usable(docs).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
     if not frequent:
-        return np.zeros((0, BUCKETS)), []
+        return np.zeros((0, BUCKETS), np.float32), []
     each = max(1, sample // len(frequent))
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("language"), "doc_id"), "doc_id")
     ids = usable(docs).groupBy("doc_id").agg(F.min("lang").alias("lang")).where(F.col("lang").isin(*frequent))
@@ -216,7 +222,7 @@ def sampled(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, list[str
 
     got = rows.mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("lang", T.StringType()), T.StructField("at", T.BinaryType()), T.StructField("n", T.BinaryType())])).collect()
     got.sort(key=lambda r: (r.doc_id * 7919 % 1000003 if isinstance(r.doc_id, int) else 0, str(r.doc_id)))
-    x = np.zeros((len(got), BUCKETS))
+    x = np.zeros((len(got), BUCKETS), np.float32)
     for row, r in zip(x, got, strict=True):
         row[np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["n"], np.int64)
     return x, [r.lang for r in got]

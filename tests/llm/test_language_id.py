@@ -61,7 +61,7 @@ def test_held_out_rows_teach_nothing(spark):
 def test_family_first():
     rng = random.Random(1)
     texts = [(lang, text(rng, lang, 40)) for lang in SYLLABLES for _ in range(20)]
-    model = language_id.Model(np.array([language_id.counts(t) for _, t in texts]), [v for v, _ in texts])
+    model = language_id.Model(np.array([language_id.counts(t) for _, t in texts], np.float32), [v for v, _ in texts])
     assert model.families == {"germanic": ["de", "en"], "language xx": ["xx"], "romance": ["es", "fr"]}
     assert [(f, [(a, b) for a, b, _ in p]) for f, p in model.pairs.items()] == [("germanic", [("de", "en")]), ("romance", [("es", "fr")])]
     # the pair machines of one family are not asked about a text of another
@@ -74,8 +74,8 @@ def test_family_first():
 
 def test_machine_separates_with_the_widest_margin():
     x = np.array([[0.0, 1.0], [0.0, 2.0], [0.0, -1.0], [3.0, -1.0]])
-    w = language_id.machine(x, x @ x.T + 1, np.array([1, 1, -1, -1]), np.array(list("aabb")))
-    assert np.allclose(w, [0, 1, 0], atol=0.02)
+    factors = language_id.machine(x @ x.T + 1, np.array([1, 1, -1, -1]), np.array(list("aabb")))
+    assert np.allclose([*(factors @ x), factors.sum()], [0, 1, 0], atol=0.02)
 
 
 @pytest.mark.parametrize("piece", [1, 5, 64])
