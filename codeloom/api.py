@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from codeloom import __version__
 from codeloom.functions import embed
 from codeloom.functions.scalars import LANGUAGES, TOKENS_PER_BYTE
-from codeloom.operators import lookup, planning, stats, vector
+from codeloom.operators import lookup, planning, stats, trigrams, vector
 from codeloom.operators.lookup import InvalidArguments
 from codeloom.plans.indexer import Guard, incremental_index
 from codeloom.schemas import PAGE
@@ -219,7 +219,8 @@ class Server:
     # tools
 
     def get_symbols(self, file_path=None, kind=None, name_pattern=None, max_results=PAGE["symbols"], cursor=None):
-        rows, following = lookup.paged(lookup.get_symbols(self.store.read("symbols"), file_path, kind, name_pattern, max_results, cursor, probe=True), max_results, cursor)
+        symbols = trigrams.search(self.store, name_pattern) if name_pattern and not file_path else self.store.read("symbols", files=[file_path] if file_path else None)
+        rows, following = lookup.paged(lookup.get_symbols(symbols, file_path, kind, name_pattern, max_results, cursor, probe=True), max_results, cursor)
         return {"symbols": [plain(r) for r in rows], "next_cursor": following, "count": len(rows), "_naive_tokens": self._cost_of_file(file_path)}
 
     def get_symbol(self, symbol_id=None, symbol_key=None):
@@ -228,7 +229,7 @@ class Server:
 
     def get_imports(self, file_path=None, symbol_id=None):
         cost = self._cost_of_file(file_path) if file_path else self._state("repo_stats.median_file_tokens")
-        return self._edges_answer("imports", lookup.get_imports(self.store.read("edges"), file_path, symbol_id)) | {"_naive_tokens": cost}
+        return self._edges_answer("imports", lookup.get_imports(self.store.read("edges", files=[file_path] if file_path else None), file_path, symbol_id)) | {"_naive_tokens": cost}
 
     def get_dependents(self, symbol_id=None, symbol_key=None):
         return self._edges_answer("dependents", lookup.get_dependents(self.store.read("edges"), self._id(symbol_id, symbol_key)))
@@ -291,7 +292,7 @@ class Server:
         return self._edges_answer("results", lookup.semantic_rows(hits), query=query)
 
     def get_file_summary(self, file_path):
-        row = lookup.file_summary(self.store.read("symbols"), self.store.read("edges"), file_path).first()
+        row = lookup.file_summary(self.store.read("symbols", files=[file_path]), self.store.read("edges", files=[file_path]), file_path).first()
         return plain(row) | {"_naive_tokens": self._cost_of_file(file_path)}
 
     def get_repo_overview(self):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import scalars as S
 from codeloom.functions import vectors as V
-from codeloom.operators import chunking, lookup, planning, stats, vector
+from codeloom.operators import chunking, lookup, planning, stats, trigrams, vector
 from codeloom.registry import ORACLE_SQL, QUERIES, query  # noqa: F401  the first two are read from here
 from codeloom.schemas import SYMBOLS
 
@@ -36,6 +36,20 @@ def get_symbols_regex(v):
     return lookup.get_symbols(v.symbols, name_pattern="RED|blue", max_results=200)
 
 
+#: A selective pattern, alternatives, one that requires no trigram, and a LIKE pattern.
+NAME_PATTERNS = {"^sma.*_ring$|WIDG": False, "(?:hot|blue)_(?:bo|gea)": False, "r.d": False, "%ot_g%": True, "%old\\_%": True}
+
+
+@query(
+    " UNION ALL ".join(f"SELECT '{p}' AS pattern, {D1} FROM v_symbols WHERE " + (f"name LIKE '{p}' ESCAPE '\\'" if like else f"regexp_matches(name, '(?i){p}')") for p, like in NAME_PATTERNS.items()),
+    "v_symbols",
+)
+def symbols_by_trigrams(v):
+    index = trigrams.postings(v.symbols.select("name"))
+    found = [trigrams.matching(v.symbols, index, p, like).select(F.lit(p).alias("pattern"), *lookup.SYMBOL_COLUMNS) for p, like in NAME_PATTERNS.items()]
+    return reduce(lambda a, b: a.unionAll(b), found)
+
+
 @query(f"SELECT {D1} FROM v_symbols WHERE name LIKE '%e_%' AND kind = 'class'", "v_symbols")
 def query_symbols_like(v):
     return lookup.query_symbols(v.symbols, kind="class", name_like="%e_%").select(*lookup.SYMBOL_COLUMNS)
