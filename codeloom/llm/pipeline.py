@@ -24,7 +24,7 @@ from codeloom.llm import near_copies, packing, suffix_dedup, toxicity
 from codeloom.llm.common import cut, table
 
 #: Words that the tokenizer keeps by span of input; fewer than its own default, as executors still hold memory of the stages before.
-WORDS = 1 << 18
+WORDS = 1 << 17
 #: Bytes of a character without its first ones, at the start of a string, or without its last ones, at the end.
 PARTIAL = r"\A[\x80-\xBF]+|(?:[\xC2-\xDF]|[\xE0-\xEF][\x80-\xBF]?|[\xF0-\xF4][\x80-\xBF]{0,2})\z"
 #: Names that the stages use for columns of their own.

@@ -110,9 +110,9 @@ class Part:
         texts = [(x or "").encode("utf-8", "surrogatepass") for x in table.column("text").to_pylist()]
         self.order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
         self.ids = np.array([ids[i] for i in self.order], np.int64)
-        self.texts = [texts[i] for i in self.order]
-        self.bounds = np.append(0, np.cumsum([len(t) for t in self.texts])).astype(np.int64)
-        self.raw = b"".join(self.texts) + bytes(GRAM + 8)
+        texts = [texts[i] for i in self.order]
+        self.bounds = np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int64)
+        self.raw = b"".join([*texts, bytes(GRAM + 8)])
         self.text = np.frombuffer(self.raw, np.uint8)
         self.first, self.last, self.hash = regions(self.text, self.bounds)
         self.doc = self.ids[np.searchsorted(self.bounds, self.first, "right") - 1]
@@ -360,7 +360,8 @@ def covered(part: Part, repeated, answers: list[bytes], length: int = LENGTH) ->
         row, at = row[take], at[take]
         np.add.at(delta, first[row] + begin[at], 1)
         np.add.at(delta, first[row] + end[at] - 1 + length, -1)
-    return np.cumsum(delta[: int(part.bounds[-1])]) > 0
+    delta = delta[: int(part.bounds[-1])]
+    return np.cumsum(delta, dtype=np.int32, out=delta) > 0
 
 
 def _apply(names: list[str]):
