@@ -38,13 +38,16 @@ def held(key, make):
     if key not in _HELD:
         _HELD.clear()
         _HELD[key] = make()
-        tidy()
+    tidy()
     return _HELD[key]
 
 
 def tidy() -> None:
-    """Gives freed memory of a worker process back to the system, where its C library can."""
+    """Gives freed memory of a worker process back to the system, where its C library and Arrow's memory pool can."""
+    import pyarrow as pa
+
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):

@@ -261,8 +261,7 @@ def staying(docs: DataFrame) -> DataFrame:
     rows = cut(rows.join(rows.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi"))
     tied = cut(balls(made))
     needed = cut(made.join(rows.select("h").union(tied.select("h")).union(tied.select("ch")).distinct(), "h", "left_semi").select("id", "h", "minima"))
-    texts = docs.select("id", "h", "text").join(needed.select("id", "h"), ["id", "h"], "left_semi").dropDuplicates(["id", "h"])
-    texts = cut(texts.select("h", "text").join(needed.select("h", "minima"), "h"))
+    texts = cut(docs.select("id", "h", "text").join(needed, ["id", "h"]).dropDuplicates(["id", "h"]).select("h", "text", "minima"))
     # each text with the likeliest of its buckets' first texts; sets whose sizes differ by more can't be that similar
     hub = rows.groupBy("key").agg(F.min_by(F.struct("h", "n"), F.struct("id", "h")).alias("c"))
     met = rows.join(hub, "key").select("h", "n", F.col("c.h").alias("ch"), F.col("c.n").alias("cn")).where("h <> ch")
