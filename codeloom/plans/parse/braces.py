@@ -14,6 +14,8 @@ TOKEN = re.compile(
     re.S | re.M | re.X,
 )
 PAIRS = {"(": ")", "[": "]", "{": "}"}
+#: A lifetime or a loop's label, not a character.
+LIFETIME = re.compile(r"'[A-Za-z_]\w*(?!')\b")
 REGEX = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[A-Za-z]*")
 TEMPLATE = re.compile(r"(?:\\.|\$(?!\{)|[^`\\$])*(`|\$\{|\Z)", re.S)
 #: What follows the sign that opens an element of markup, and what does where it opens type parameters.
@@ -35,8 +37,8 @@ class Tok:
 class Source:
     """Tokens of a text, with line and column lookups, matched brackets, and unmatched ones as errors."""
 
-    def __init__(self, text: str, hash_comments: bool = False, script: bool = False, markup: bool = False):
-        self.text = text
+    def __init__(self, text: str, hash_comments: bool = False, script: bool = False, markup: bool = False, lifetimes: bool = False):
+        self.text, self.lifetimes = text, lifetimes
         self.starts = [0, *[m.end() for m in re.finditer("\n", text)]]
         self.tokens: list[Tok] = []
         self.docs: dict[int, str] = {}
@@ -82,6 +84,8 @@ class Source:
         open_: list[tuple] = []  # what goes on after a closing brace: its depth, and the elements open in markup or None in a template
         while m := TOKEN.search(text, at):
             kind, begin, at = m.lastgroup, m.start(), m.end()
+            if self.lifetimes and text[begin] == "'" and (lifetime := LIFETIME.match(text, begin)):
+                kind, at = "lifetime", lifetime.end()
             if script:
                 first = text[begin]
                 last = self.tokens[-1] if self.tokens else None
@@ -167,6 +171,9 @@ class Rules:
     c_like: bool = False  # functions are written type name(parameters) {
     script: bool = False  # TypeScript or JavaScript
     typed: bool = False  # TypeScript
+    lifetimes: bool = False  # a quote before a name may be no string
+    arrows: bool = False  # members are reached by -> too
+    templates: bool = False  # template<...> stands before a declaration
     control: frozenset = COMMON  # words that are no names
 
 
@@ -177,12 +184,12 @@ RULES = {
     "typescript": Rules(SCRIPT.kinds | {"interface": "interface", "type": "type_alias", "enum": "enum"}, SCRIPT.containers, SCRIPT.functions, SCRIPT.imports, script=True, typed=True),
     "javascript": SCRIPT,
     "go": Rules({"func": "function", "type": "type"}, frozenset(), frozenset({"func"}), frozenset({"import"})),
-    "rust": Rules({"fn": "function", "struct": "class", "enum": "class", "type": "type"}, frozenset({"struct", "impl", "trait"}), frozenset({"fn"}), frozenset({"use"})),
+    "rust": Rules({"fn": "function", "struct": "class", "enum": "class", "type": "type"}, frozenset({"struct", "impl", "trait"}), frozenset({"fn"}), frozenset({"use"}), lifetimes=True),
     "java": Rules({"class": "class", "interface": "interface", "enum": "class"}, frozenset({"class", "interface"}), imports=frozenset({"import"}), c_like=True),
-    "c": Rules({"struct": "class", "enum": "class", "typedef": "type"}, frozenset({"struct"}), c_like=True),
-    "cpp": Rules({"class": "class", "struct": "class", "enum": "class", "typedef": "type"}, frozenset({"class", "struct"}), c_like=True),
+    "c": Rules({"struct": "class", "enum": "class", "typedef": "type"}, frozenset({"struct"}), c_like=True, arrows=True),
+    "cpp": Rules({"class": "class", "struct": "class", "enum": "class", "typedef": "type"}, frozenset({"class", "struct"}), c_like=True, arrows=True, templates=True),
     "c_sharp": Rules({"class": "class", "interface": "interface", "enum": "class", "struct": "class"}, frozenset({"class", "interface", "struct"}), imports=frozenset({"using"}), c_like=True),
-    "php": Rules({"class": "class", "interface": "interface", "enum": "class", "function": "function"}, frozenset({"class", "interface"}), frozenset({"function"}), frozenset({"use"})),
+    "php": Rules({"class": "class", "interface": "interface", "enum": "class", "function": "function"}, frozenset({"class", "interface"}), frozenset({"function"}), frozenset({"use"}), arrows=True),
     "swift": Rules({"class": "class", "struct": "class", "enum": "class", "func": "function", "typealias": "type"}, frozenset({"class", "struct"}), frozenset({"func"}), frozenset({"import"})),
     "kotlin": Rules({"class": "class", "interface": "interface", "object": "class", "fun": "function", "typealias": "type"}, frozenset({"class", "interface", "object"}), frozenset({"fun"}), frozenset({"import"})),
 }
@@ -190,7 +197,8 @@ RULES = {
 
 class Walk:
     def __init__(self, text: str, rules: Rules, markup: bool = False):
-        self.rules, self.s = rules, Source(text, hash_comments=not (rules.c_like or rules.script), script=rules.script, markup=markup)
+        self.rules, self.s = rules, Source(text, hash_comments=not (rules.c_like or rules.script), script=rules.script, markup=markup, lifetimes=rules.lifetimes)
+        self.joins = (".", "::", "->") if rules.arrows else (".", "::")
         self.found = Found()
 
     def scope(self, scopes):
@@ -262,6 +270,9 @@ class Walk:
             if t.kind != "word":
                 i += 1
                 continue
+            if r.templates and t.text == "template" and s.is_(i + 1, "<"):  # what it declares begins after its parameters
+                i = start = self.after_angles(i + 1, limit)
+                continue
             if t.text in r.imports and (i == start or s.is_(i - 1, "export", "pub", "static")) and not (r.script and s.is_(i + 1, "(")):
                 i = self.imports(i, limit, scopes)
                 start = i
@@ -286,7 +297,8 @@ class Walk:
             brace = self.body_of(i + 1, limit)
             if brace is None or brace not in s.match:
                 return None
-            names = [s.tokens[k].text for k in range(i + 1, brace) if s.tokens[k].kind == "word"]
+            begin = self.after_angles(i + 1, brace) if s.is_(i + 1, "<") else i + 1  # type parameters
+            names = [s.tokens[k].text for k in range(begin, brace) if s.tokens[k].kind == "word"]
             name = names[names.index("for") + 1] if "for" in names[:-1] else names[0] if names else ""
             self.walk(brace + 1, s.match[brace], [*containers, name], [*scopes, (name, "impl", s.line(s.tokens[i].at))], name)
             return s.match[brace] + 1
@@ -376,6 +388,24 @@ class Walk:
             line = max(line, s.line(s.tokens[i].at)) if s.is_(i - 1, "=", "|", "&", ",") or s.is_(i, "|", "&", "=") else line
         return limit - 1
 
+    def after_angles(self, i, limit):
+        """The token after the angle brackets that open at token i."""
+        depth = 0
+        while i < limit:
+            depth += self.s.is_(i, "<") - self.s.is_(i, ">")
+            i = self.s.match.get(i, i) + 1 if self.s.is_(i, "(", "[", "{") else i + 1
+            if depth == 0:
+                break
+        return i
+
+    def type_arguments(self, i, limit):
+        """The token after type arguments that open at token i, if they are followed by a call's parenthesis."""
+        s = self.s
+        end = self.after_angles(i, limit)
+        plain = all(t.kind in ("word", "string", "number", "arrow") or t.text in "<>,.|&[](){}:;?" for t in s.tokens[i:end])
+        plain = plain and not any(s.is_(k, "&", "|") and s.is_(k + 1, "&", "|") for k in range(i, end))  # these join conditions, not types
+        return end if end > i + 2 and plain and s.is_(end - 1, ">") and s.is_(end, "(") else None
+
     def inside(self, k, since):
         """Whether token k is inside angle brackets that open at ``since`` or later."""
         return sum(self.s.is_(x, "<") - self.s.is_(x, ">") for x in range(since, k)) > 0
@@ -544,9 +574,13 @@ class Walk:
             return i + 1
         made = s.is_(i - 1, "new")
         j = i
-        while s.is_(j + 1, ".", "::") and j + 2 < limit and s.tokens[j + 2].kind == "word":
+        while s.is_(j + 1, *self.joins) and j + 2 < limit and s.tokens[j + 2].kind == "word":
             j += 2
-        while s.is_(j + 1, "(") and j + 1 in s.match and s.match[j + 1] < limit + 1:
+        while True:
+            if self.rules.typed and s.is_(j + 1, "<") and (called := self.type_arguments(j + 1, limit)):
+                j = called - 1
+            if not (s.is_(j + 1, "(") and j + 1 in s.match and s.match[j + 1] < limit + 1):
+                break
             close = s.match[j + 1]
             if not made:
                 if self.rules.script and not self.rules.typed and j == i and s.is_(i, "require"):
@@ -556,7 +590,7 @@ class Walk:
             made = False
             self.walk(j + 2, close, containers, scopes, None)
             j = close
-            while s.is_(j + 1, ".", "::") and j + 2 < limit and s.tokens[j + 2].kind == "word":
+            while s.is_(j + 1, *self.joins) and j + 2 < limit and s.tokens[j + 2].kind == "word":
                 j += 2
         return j + 1
 
@@ -568,6 +602,8 @@ def parse(text: str, language: str) -> Found:
     return Walk(text, rules, markup=language in ("tsx", "jsx", "javascript")).run()
 
 
+#: A method that is one expression, without an end.
+ENDLESS = re.compile(r"^\s*def\s+(?:self\.)?\w+[?!]?(?:\([^)]*\)\s*|\s+)=(?![=~>])")
 RUBY = re.compile(r"^(\s*)(def|class|module)\s+((?:self\.)?[A-Za-z_][\w:]*[?!=]?)")
 
 
@@ -581,11 +617,13 @@ def parse_ruby(text: str, language: str) -> Found:
             while open_ and open_[-1][0] >= indent:
                 open_.pop()
         elif m := RUBY.match(line):
-            end = next((k + 1 for k in range(n, len(lines)) if lines[k].strip() == "end" and len(lines[k]) - len(lines[k].lstrip()) <= indent), len(lines))
+            endless = bool(ENDLESS.match(line))
+            end = n if endless else next((k + 1 for k in range(n, len(lines)) if lines[k].strip() == "end" and len(lines[k]) - len(lines[k].lstrip()) <= indent), len(lines))
             classes = [x[2] for x in open_ if x[1] == "class"]
             if m[2] != "module":
                 found.symbol(m[3].removeprefix("self."), "class" if m[2] == "class" else "method" if classes else "function", n, end, line.strip(), classes[-1] if classes else None)
-            open_.append((indent, m[2], m[3]))
+            if not endless:
+                open_.append((indent, m[2], m[3]))
         elif m := re.match(r"\s*(require(?:_relative)?)\s*\(?\s*['\"]", line):
             found.edge("imports", n, n, indent, line.strip(), None)
     return found

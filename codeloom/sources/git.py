@@ -27,8 +27,9 @@ class Git:
         return self.run("rev-parse", "HEAD").strip() or None
 
     def default_branch(self) -> str | None:
+        """What the remote calls its head, else main or master, whichever there is."""
         remote = self.run("symbolic-ref", "--short", "refs/remotes/origin/HEAD").strip()
-        return remote.removeprefix("origin/") or self.run("rev-parse", "--abbrev-ref", "HEAD").strip() or None
+        return remote.removeprefix("origin/") or next((b for b in ("main", "master") if self.run("rev-parse", "--verify", f"refs/heads/{b}")), None)
 
     def _ours(self, paths) -> list[str]:
         """Without the index's own directory."""
@@ -63,7 +64,8 @@ class Git:
         return sorted(({p for p in own if p not in subs} | set(inside)) - gone)
 
     def submodules(self) -> list[str]:
-        return sorted(x.split()[-1] for x in self.run("config", "--file", ".gitmodules", "--get-regexp", "path").splitlines() if x.strip())
+        entries = self.run("config", "--file", ".gitmodules", "-z", "--get-regexp", r"^submodule\..*\.path$").split("\0")
+        return sorted(e.split("\n", 1)[1] for e in entries if "\n" in e)
 
     def ignored(self, paths: list[str]) -> list[str]:
         """Those of ``paths`` that ignore rules name; the ones in a submodule by its own rules."""
