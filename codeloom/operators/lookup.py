@@ -155,19 +155,21 @@ def get_hierarchy(edges, symbol_id, direction="ancestors", max_results=PAGE["edg
 def ancestors_closure(edges: DataFrame, symbol_id: str) -> DataFrame:
     """Extension: all ancestors over INHERITS with their least distance.
 
-    A symbol has few ancestors and the table many edges, so each hop joins the newest ones with the edges
-    (a filter with a short list) until there is none that was not found before; a circle ends too.
+    The pairs of the edges are written once, and each hop writes the ancestors that it is the first to find, until it finds
+    none; a circle ends too.
     """
     steps = query_edges(edges, kind="inherits").where("target_symbol_id IS NOT NULL").select(F.col("source_symbol_id").alias("s"), F.col("target_symbol_id").alias("t"))
-    spark, schema = edges.sparkSession, "ancestor string, distance int"
-    found, front = spark.createDataFrame([], schema), spark.createDataFrame([(symbol_id, 0)], schema)
+    steps = cut(steps.distinct())
+    schema = "ancestor string, distance int"
+    fronts, front = [], edges.sparkSession.createDataFrame([(symbol_id, 0)], schema)
     while True:
-        d = front.first().distance + 1
-        front = front.join(steps, F.col("ancestor") == F.col("s")).select(F.col("t").alias("ancestor"), F.lit(d).alias("distance")).distinct()
-        front = cut(front.join(found, "ancestor", "left_anti"))
+        front = front.join(steps, F.col("ancestor") == F.col("s")).select(F.col("t").alias("ancestor"), F.lit(len(fronts) + 1).alias("distance")).distinct()
+        for found in fronts:
+            front = front.join(found.select("ancestor"), "ancestor", "left_anti")
+        front = cut(front)
         if front.isEmpty():
-            return found
-        found = cut(found.unionByName(front))
+            return reduce(DataFrame.unionByName, fronts) if fronts else front
+        fronts.append(front)
 
 
 def resolve_symbol(symbols, name, kind=None, file_context=None) -> DataFrame:

@@ -5,15 +5,18 @@ A query with a page keeps its limit, as the page is the feature; all others run
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
 
 from codeloom.functions import scalars as S
 from codeloom.functions import vectors as V
+from codeloom.lineage import folder
 from codeloom.operators import chunking, lookup, planning, stats, trigrams, vector
 from codeloom.registry import ORACLE_SQL, QUERIES, query  # noqa: F401  the first two are read from here
 from codeloom.schemas import SYMBOLS
+from codeloom.streaming import sessions
 
 MODULE = r"translate(regexp_replace(file_path, '\.(py|tsx?|jsx?|java|cs|go|rs|c|cpp|h|hpp)$', ''), '/\', '..')"
 KEY = f"concat_ws('.', CASE WHEN module_path <> '' THEN module_path ELSE {MODULE} END, container_name, name) || ':' || kind"
@@ -298,6 +301,24 @@ def saved_since_report(v):
     return stats.saved_since(v.calls, "session_id", "event_id").select("session_id", "event_id", "saved_so_far", "delta")
 
 
+#: Milliseconds after which a client's session is over.
+SESSION_GAP = 6 * 3_600_000
+
+
+@query(
+    f"""SELECT session_id, event_id, CAST(session AS BIGINT) AS session, CAST(count(*) OVER w AS BIGINT) AS calls, CAST(sum(delta) OVER w AS BIGINT) AS saved_so_far, delta FROM (
+    SELECT session_id, event_id, ts, CAST(greatest(0, naive_tokens - actual_tokens) AS BIGINT) AS delta, 1 + coalesce(sum(CASE WHEN epoch_ms(ts) - before > {SESSION_GAP} THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY epoch_ms(ts), event_id), 0) AS session
+    FROM (SELECT *, lag(epoch_ms(ts)) OVER (PARTITION BY session_id ORDER BY epoch_ms(ts), event_id) AS before FROM v_calls) a) b
+    WINDOW w AS (PARTITION BY session_id, session ORDER BY epoch_ms(ts), event_id)""",
+    "v_calls",
+)
+def session_stream(v):
+    """Runs a stream: calls arrive in three parts, and it begins again from its checkpoint after each."""
+    place = f"{folder(v.spark)}/{uuid.uuid4().hex}"
+    found = sessions.replayed(v.calls, place, 3, SESSION_GAP).where("kind = 'call'")
+    return found.select("session_id", "event_id", "session", "calls", "saved_so_far", "delta")
+
+
 @query("SELECT language AS file_path, arg_max(parse_status, CASE parse_status WHEN 'error' THEN 2 WHEN 'warn' THEN 1 ELSE 0 END) AS parse_status FROM v_manifest GROUP BY language", "v_manifest")
 def max_parse_severity(v):
     return stats.worst_status(v.manifest.select(F.col("language").alias("file_path"), "parse_status"))
