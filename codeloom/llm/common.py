@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,13 +17,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Steps of a plan that keep the rows of a file scan in their order and places.
+NARROW = frozenset({"FileScan", "Project", "Filter", "ColumnarToRow", "WholeStageCodegen", "InputAdapter", "Batched"})
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` itself if every use of it computes the same rows in the same places, else ``df`` cut.
 
-    Rows that come straight from files do; rows that were shuffled may arrive in another order when they are
-    computed again.
+    Rows of files do, after steps that take each row by itself; rows of other sources, or rows that were shuffled, may
+    arrive in another order when they are computed again.
     """
-    return cut(df) if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    steps = set(re.findall(r"^[ :|+*()\d-]*([A-Za-z]+)", plan, re.M))
+    return df if "FileScan" in steps and steps <= NARROW else cut(df)
 
 
 def partitions(spark: SparkSession) -> int:
