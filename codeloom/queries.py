@@ -373,13 +373,16 @@ def languages_frame(spark):
 
 
 @query(
-    "SELECT language, array_to_string(list(extension ORDER BY extension), ',') AS extensions FROM (VALUES "
+    "SELECT language, array_to_string(list(extension ORDER BY extension), ',') AS extensions, CAST(sum(coalesce(n, 0)) AS BIGINT) AS files FROM (VALUES "
     + ", ".join(f"('{e}', '{x}')" for e, x in S.LANGUAGES.items())
-    + ") AS t(extension, language) GROUP BY language"
+    + r") AS t(extension, language) LEFT JOIN (SELECT regexp_extract(file_path, '\.[^.]*$') AS extension, count(*) AS n FROM v_files GROUP BY 1) f USING (extension) GROUP BY language",
+    "v_files",
 )
 def languages_list(v):
+    """The languages, the extensions of each, and how many files have one of them."""
     ext = F.array_join(F.sort_array(F.collect_list("extension")), ",").alias("extensions")
-    return languages_frame(v.spark).groupBy("language").agg(ext)
+    files = v.files.groupBy(S.extension(F.col("file_path")).alias("extension")).count()
+    return languages_frame(v.spark).join(files, "extension", "left").groupBy("language").agg(ext, F.coalesce(F.sum("count"), F.lit(0)).alias("files"))
 
 
 @query("SELECT file_path FROM v_files WHERE NOT (starts_with(file_path, 'src1/') OR (file_path LIKE '%/de/%' AND file_path LIKE '%7.ts'))", "v_files")
@@ -677,9 +680,14 @@ def repo_overview(v):
     return row.select("indexed", "generation", "file_count", "total_tokens", "is_dirty", "current_head", "embedding_provider")
 
 
-@query("SELECT 0::BIGINT AS file_count, 0::BIGINT AS total_bytes, 0::BIGINT AS total_tokens, 0::BIGINT AS median_file_tokens, 0::BIGINT AS p75_file_tokens, 0::BIGINT AS p90_file_tokens")
+@query(
+    "SELECT count(*) AS file_count, coalesce(CAST(sum(size) AS BIGINT), 0) AS total_bytes, CAST(coalesce(ceil(sum(size) * 0.75), 0) AS BIGINT) AS total_tokens, "
+    + ", ".join(f"CAST(coalesce(ceil(quantile_cont(size, {p}) * 0.75), 0) AS BIGINT) AS {n}_file_tokens" for p, n in ((0.5, "median"), (0.75, "p75"), (0.9, "p90")))
+    + " FROM v_manifest WHERE size < 0",
+    "v_manifest",
+)
 def repo_stats_of_nothing(v):
-    return stats.repo_stats(v.manifest.where("false"))
+    return stats.repo_stats(v.manifest.where("size < 0"))
 
 
 @query("SELECT array_to_string(list(file_path ORDER BY mtime), ';') AS errors FROM (SELECT file_path, mtime FROM v_manifest WHERE parse_status = 'error' ORDER BY mtime DESC LIMIT 20) e", "v_manifest")

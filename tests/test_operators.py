@@ -218,3 +218,26 @@ def test_resolvers_by_language(spark, monkeypatch):
     edges = spark.createDataFrame([("a.go", "imports", 'import "lib"'), ("b.rs", "imports", 'use "x"'), ("c.py", "imports", "import d"), ("c.py", "calls", "f()")], "file_path string, kind string, ref_text string")
     files = spark.createDataFrame([("lib.go",), ("d.py",), ("a.go",)], "file_path string")
     assert {tuple(r) for r in resolve.resolve_imports(edges, files).collect()} == {("a.go", "lib", "lib.go"), ("b.rs", "x", None), ("c.py", "d", "d.py")}
+
+
+@pytest.mark.parametrize("top, n", [(10, 7), (5000, 300), (10**6, 2000), (2**45, 500), (0, 3)])
+def test_percentiles_are_exact(spark, monkeypatch, top, n):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(top)
+    values = [rng.randint(0, top) if rng.random() < 0.7 else top // 2 for _ in range(n)]
+    df = spark.createDataFrame([(x,) for x in [*values, None, None]], "size long").repartition(5)
+    at = [0.0, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0]
+    theirs = df.agg(F.percentile("size", F.array(*map(F.lit, at)))).first()[0]
+    for bins in (4096, 3):
+        monkeypatch.setattr(stats, "BINS", bins)
+        assert stats.percentiles(df, "size", at) == theirs == pytest.approx(np.percentile(values, [100 * p for p in at]).tolist(), rel=1e-12)
+
+
+def test_percentiles_of_nothing_and_of_negative_numbers(spark):
+    df = spark.createDataFrame([(None,), (None,)], "size long")
+    assert stats.percentiles(df, "size", [0.5]) == [None] and stats.percentiles(df.where("false"), "size", [0.5, 0.9]) == [None, None]
+    signed = spark.createDataFrame([(x,) for x in (-(2**60), -5, -1, 0, 3, 2**50)], "size long")
+    assert stats.percentiles(signed, "size", [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) == [-(2.0**60), -5.0, -1.0, 0.0, 3.0, 2.0**50]
