@@ -29,7 +29,7 @@ MANIFEST = table("file_path string NOT NULL, language string, mtime double, size
 IMPORTS = table("file_path string NOT NULL, module string NOT NULL, resolved_path string")
 #: Reverse indexes: what a key is asked by, and which names have a trigram, each with the bucket of the files that it is in.
 ASKS = table("what string NOT NULL, key string NOT NULL, bucket int NOT NULL")
-GRAMS = table("key string NOT NULL, name string NOT NULL, bucket int NOT NULL")
+GRAMS = table("key string NOT NULL, h long NOT NULL, bucket int NOT NULL")
 PACKAGE_ROOTS = table("path string NOT NULL, language string, package_name string")
 STATE = table("""schema_version int, generation int,
     workspace_state struct<head_commit:string,is_dirty:boolean,default_branch:string,indexed_at:string>,
