@@ -25,7 +25,7 @@ from codeloom.functions.scalars import LANGUAGES, TOKENS_PER_BYTE
 from codeloom.operators import lookup, planning, stats, trigrams, vector
 from codeloom.operators.lookup import InvalidArguments
 from codeloom.plans.indexer import Guard, incremental_index
-from codeloom.schemas import PAGE
+from codeloom.schemas import PAGE, SYMBOL_KINDS
 from codeloom.sources.config import Config
 from codeloom.sources.files_io import Lock, LockHeld
 from codeloom.sources.git import Git
@@ -219,8 +219,14 @@ class Server:
     # tools
 
     def get_symbols(self, file_path=None, kind=None, name_pattern=None, max_results=PAGE["symbols"], cursor=None):
-        symbols = trigrams.search(self.store, name_pattern) if name_pattern and not file_path else self.store.read("symbols", files=[file_path] if file_path else None)
-        rows, following = lookup.paged(lookup.get_symbols(symbols, file_path, kind, name_pattern, max_results, cursor, probe=True), max_results, cursor)
+        only = (lambda rows: lookup.query_symbols(rows, file_path, kind, name_regex=name_pattern)) if file_path or kind or name_pattern else None
+        generation = self.store.generation()
+        if file_path:
+            buckets = {self.store.bucket(file_path, generation)}
+        else:
+            buckets = trigrams.buckets_with(self.store, name_pattern, generation=generation) if name_pattern else None
+        lookup.kind_of(kind, SYMBOL_KINDS)  # also where no bucket is read
+        rows, following = self.store.page("symbols", max_results, cursor, only, lookup.SYMBOL_COLUMNS, buckets, generation)
         return {"symbols": [plain(r) for r in rows], "next_cursor": following, "count": len(rows), "_naive_tokens": self._cost_of_file(file_path)}
 
     def get_symbol(self, symbol_id=None, symbol_key=None):
@@ -288,7 +294,7 @@ class Server:
             vector_of = embed.build(e.provider, **embed.settings(e))
         except embed.ProviderUnavailable as error:
             return error_of(error) | {"results": []}
-        hits = vector.vector_search(self.store.read("chunks"), vector_of([query])[0], max_results, file_filter=file_filter)
+        hits = vector.vector_search(self.store.below("chunks", file_filter or ""), vector_of([query])[0], max_results)
         return self._edges_answer("results", lookup.semantic_rows(hits), query=query)
 
     def get_file_summary(self, file_path):

@@ -39,8 +39,9 @@ def kind_of(value: str | None, allowed: tuple[str, ...]) -> str | None:
     return value
 
 
-def encode_cursor(offset: int) -> str:
-    return base64.b64encode(json.dumps({"offset": offset}).encode()).decode()
+def encode_cursor(offset: int, at: tuple[int, int, int] | None = None) -> str:
+    """at: the same place as a generation of a store, a bucket, and how many of its rows come before."""
+    return base64.b64encode(json.dumps({"offset": offset} | ({"at": at} if at else {})).encode()).decode()
 
 
 def decode_cursor(cursor: str | None) -> int:
@@ -51,6 +52,15 @@ def decode_cursor(cursor: str | None) -> int:
         return 0
 
 
+def cursor_place(cursor: str | None) -> tuple[int, int, int] | None:
+    """What ``encode_cursor`` was given as ``at``; None if nothing, or if malformed."""
+    try:
+        generation, bucket, skip = map(int, json.loads(base64.b64decode(cursor or ""))["at"])
+        return (generation, bucket, skip) if skip >= 0 else None
+    except (ValueError, KeyError, TypeError):
+        return None
+
+
 def cursor_column(offset: Column) -> Column:
     """The same cursor as an expression."""
     return F.base64(F.encode(F.concat(F.lit('{"offset": '), offset.cast("string"), F.lit("}")), "UTF-8"))

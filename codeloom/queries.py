@@ -9,6 +9,7 @@ import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from codeloom.functions import scalars as S
 from codeloom.functions import vectors as V
@@ -16,6 +17,7 @@ from codeloom.lineage import folder
 from codeloom.operators import chunking, lookup, planning, stats, trigrams, vector
 from codeloom.registry import ORACLE_SQL, QUERIES, query  # noqa: F401  the first two are read from here
 from codeloom.schemas import SYMBOLS
+from codeloom.sources.store import Store
 from codeloom.streaming import sessions
 
 MODULE = r"translate(regexp_replace(file_path, '\.(py|tsx?|jsx?|java|cs|go|rs|c|cpp|h|hpp)$', ''), '/\', '..')"
@@ -68,6 +70,47 @@ def symbols_page_3(v):
     return lookup.get_symbols(v.symbols, cursor=lookup.encode_cursor(100), probe=True)
 
 
+#: What is kept of the symbols whose pages are read.
+PAGED = {"all": None, "classes": "kind = 'class'"}
+
+
+def stored(v, **tables):
+    """A store whose one generation holds the given tables."""
+    store = Store(v.spark, f"{folder(v.spark)}/{uuid.uuid4().hex}")
+    store.start_over(1, next(iter(tables.values())).select("file_path").distinct())
+    store.write(1, tables)
+    store.publish(1)
+    return store
+
+
+@query(
+    " UNION ALL ".join(
+        f"""SELECT '{name}' AS of, CAST(r // 50 AS INTEGER) AS page, {D1} FROM (SELECT *, row_number() OVER ({ORDERED_SYMBOLS}) - 1 - (SELECT count(*) // 2 FROM v_symbols WHERE {where or 'true'}) AS r
+        FROM v_symbols WHERE {where or 'true'}) s WHERE r >= 0 AND r < 150""" for name, where in PAGED.items()
+    ),
+    "v_symbols",
+)
+def symbols_deep_pages(v):
+    """Three pages from the middle of the table on, of all symbols and of classes: the first by its offset, the others by the cursor of the one before."""
+    store, found = stored(v, symbols=v.symbols), []
+    for name, where in PAGED.items():
+        only = (lambda rows, where=where: rows.where(where)) if where else None
+        cursor = lookup.encode_cursor((v.symbols.where(where) if where else v.symbols).count() // 2)
+        for n in range(3):
+            rows, cursor = store.page("symbols", 50, cursor, only, lookup.SYMBOL_COLUMNS)
+            found += [(name, n, *r) for r in rows]
+            if cursor is None:
+                break
+    columns = StructType([f for f in store.read("symbols").select(*lookup.SYMBOL_COLUMNS).schema])
+    return v.spark.createDataFrame(found, StructType([StructField("of", StringType()), StructField("page", IntegerType()), *columns]))
+
+
+@query(f"SELECT {D1} FROM v_symbols WHERE starts_with(file_path, 'Brand_2')", "v_symbols")
+def symbols_below_path(v):
+    """All symbols of a subtree of paths, which is a range of buckets."""
+    return stored(v, symbols=v.symbols).below("symbols", "Brand_2").select(*lookup.SYMBOL_COLUMNS)
+
+
 @query(f"SELECT {D1} FROM v_symbols WHERE file_path = (SELECT max(file_path) FROM v_symbols WHERE p_partkey = 7)", "v_symbols")
 def get_symbols_by_file(v):
     path = v.symbols.where("p_partkey = 7").agg(F.max("file_path")).first()[0]
