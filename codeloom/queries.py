@@ -827,6 +827,18 @@ def reembedded_chunks(v):
     return out.select("chunk_id", nine.alias("taken_over"), (nine | F.exists("vector", lambda x: x != 0)).alias("embedded"))
 
 
+@query("SELECT 'hashing::64:unit:' || sha256(coalesce(content, '')) AS vector_key, count(*) AS chunks, count(DISTINCT file_path) AS files, bool_or(doc_id % 3 = 0) AS taken_over FROM v_files GROUP BY ALL", "v_files")
+def vectors_by_content(v):
+    """One vector for each distinct text, whatever file holds it: a third of the documents were embedded before, each elsewhere."""
+    from codeloom.functions import embed
+
+    rows = v.files.select("doc_id", "file_path", "content", embed.address(F.col("content"), dimension=64).alias("vector_key"))
+    nine = F.array(F.lit(9.0), F.lit(9.0)).cast("array<float>")
+    known = rows.where("doc_id % 3 = 0").select(F.col("vector_key").alias("key"), nine.alias("vector")).distinct()
+    found = embed.attached(rows, known.unionByName(embed.vectors_of_unseen(rows, known, dimension=64)))
+    return found.where("has_vector").groupBy("vector_key").agg(F.count("*").alias("chunks"), F.count_distinct("file_path").alias("files"), F.bool_or(F.col("vector") == nine).alias("taken_over"))
+
+
 @query(
     """SELECT session_id, CAST(min(ts) AS TIMESTAMP) AS start, count(*) AS calls FROM (SELECT session_id, ts, sum(CASE WHEN gap IS NULL OR gap >= INTERVAL 12 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS n FROM (
     SELECT session_id, ts, event_id, ts - lag(ts) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS gap FROM v_calls) g) s GROUP BY session_id, n""",

@@ -21,7 +21,7 @@ EDGES = table("""edge_id string NOT NULL, source_symbol_id string NOT NULL, sour
     resolver_id string, resolved_at_generation int, index_generation int, indexed_at timestamp""")
 CHUNKS = table("""chunk_id string NOT NULL, file_path string NOT NULL, content string NOT NULL, start_line int, end_line int, symbol_ids array<string>,
     symbol_key_exact string, language string, is_symbol_chunk boolean, has_vector boolean, was_truncated boolean, vector array<float>, embedding_text string,
-    content_hash string, content_hash8 string, content_length_chars int, content_lines int, embedded_hash8 string, vector_updated_at timestamp,
+    content_hash string, content_hash8 string, content_length_chars int, content_lines int, embedded_hash8 string, vector_key string, vector_updated_at timestamp,
     index_generation int, indexed_at timestamp""")
 DIAGNOSTICS = table("""file_path string NOT NULL, parse_status string, error_count int,
     error_spans array<struct<start_line:int,start_column:int,end_line:int,end_column:int,type:string>>, indexed_at timestamp""")
@@ -30,6 +30,8 @@ IMPORTS = table("file_path string NOT NULL, module string NOT NULL, resolved_pat
 #: Reverse indexes: what a key is asked by, and which names have a trigram, each with the bucket of the files that it is in.
 ASKS = table("what string NOT NULL, key string NOT NULL, bucket int NOT NULL")
 GRAMS = table("key string NOT NULL, h long NOT NULL, bucket int NOT NULL")
+#: Vectors under what they were made of: embedder, settings and the text's hash.
+VECTORS = table("key string NOT NULL, vector array<float> NOT NULL")
 PACKAGE_ROOTS = table("path string NOT NULL, language string, package_name string")
 STATE = table("""schema_version int, generation int,
     workspace_state struct<head_commit:string,is_dirty:boolean,default_branch:string,indexed_at:string>,
@@ -38,7 +40,7 @@ STATE = table("""schema_version int, generation int,
 TOOL_CALLS = table("session_id string, tool string, naive_tokens long, actual_tokens long, ts timestamp_ntz")
 
 TABLES = {"symbols": SYMBOLS, "edges": EDGES, "chunks": CHUNKS, "diagnostics": DIAGNOSTICS, "manifest": MANIFEST, "imports": IMPORTS, "state": STATE, "package_roots": PACKAGE_ROOTS}
-POSTINGS = {"asks": ASKS, "grams": GRAMS}
+POSTINGS = {"asks": ASKS, "grams": GRAMS, "vectors": VECTORS}
 KEYS = {"symbols": "symbol_id", "edges": "edge_id", "chunks": "chunk_id", "diagnostics": "file_path", "manifest": "file_path"}
 
 # Page sizes and other limits that answers depend on.
