@@ -282,6 +282,39 @@ def resolve_imported_targets(v):
     return done.where("kind = 'calls'").select("file_path", "ref_text", "target_symbol_id", "resolution_method")
 
 
+@query(
+    """, n AS (SELECT doc_id AS i, doc_id % 8 AS k, doc_id // 8 AS b FROM v_files),
+    brought AS (SELECT n.i, p.i AS j, CASE WHEN n.k < 6 THEN 'g_' ELSE 'c_' END || n.b AS name, CASE WHEN n.k = 1 THEN 'h_' WHEN n.k < 6 THEN 'g_' ELSE 'c_' END || n.b AS there
+        FROM n JOIN n p ON n.k > 0 AND p.i = n.i + CASE WHEN n.k = 6 THEN 1 ELSE -1 END),
+    ways AS (SELECT i, name, j, there, 1 AS hops FROM brought UNION ALL SELECT w.i, w.name, a.j, a.there, hops + 1 FROM ways w JOIN brought a ON a.i = w.j AND a.name = w.there WHERE hops < 9),
+    ended AS (SELECT w.*, 'doc_' || w.j || '.py:' || w.there || ':function:1' AS t FROM ways w JOIN n ON n.i = w.j AND n.k = 0 AND w.there = 'h_' || n.b)
+    SELECT 'doc_' || n.i || '.py' AS file_path, CASE WHEN dotted THEN 'm.' ELSE '' END || CASE WHEN n.k < 6 THEN 'g_' ELSE 'c_' END || n.b || '(x)' AS ref_text, e.t AS target_symbol_id,
+        CASE WHEN e.t IS NULL THEN 0.0::DOUBLE WHEN NOT dotted AND e.hops = 1 THEN 0.9::DOUBLE ELSE 0.8::DOUBLE END AS resolution_confidence, CASE WHEN e.t IS NOT NULL THEN CASE WHEN NOT dotted AND e.hops = 1 THEN 'import' ELSE 're_export' END END AS resolution_method
+    FROM n CROSS JOIN (VALUES (TRUE), (FALSE)) d(dotted) LEFT JOIN brought a ON dotted AND a.i = n.i LEFT JOIN ended e ON e.i = CASE WHEN dotted THEN a.j ELSE n.i END AND e.name = CASE WHEN n.k < 6 THEN 'g_' ELSE 'c_' END || n.b""",
+    "v_files",
+)
+def resolve_reexported_targets(v):
+    """Of eight documents, the first defines a function, the second imports it under another name, the next four each import it from the
+    one before, and the last two import a name from each other; each calls the name, and asks the imported module for it."""
+    i = F.col("doc_id")
+    k, b = i % 8, F.floor(i / 8).cast("string")
+    path = lambda n: F.concat(F.lit("doc_"), n.cast("string"))
+    files = v.files.select("doc_id", F.concat(path(i), F.lit(".py")).alias("file_path"))
+    name = F.concat(F.when(k < 6, "g_").otherwise("c_"), b)
+    module = path(F.when(k == 6, i + 1).otherwise(i - 1))
+    text = F.concat(F.lit("from "), module, F.lit(" import "), F.when(k == 1, F.concat(F.lit("h_"), b, F.lit(" as "), name)).otherwise(name))
+    edge = lambda kind, ref, n: (F.lit(kind).alias("kind"), ref.alias("ref_text"), F.concat_ws("|", "file_path", F.lit(n)).alias("edge_id"))
+    none = F.lit(None).cast("string")
+    given = files.where(k > 0).select("file_path", *edge("imports", text, "0"))
+    for n, prefix in (("1", ""), ("2", "m.")):
+        given = given.unionAll(files.select("file_path", *edge("calls", F.concat(F.lit(prefix), name, F.lit("(x)")), n)))
+    edges = resolve.unresolved(given.withColumn("target_symbol_id", none))
+    symbols = files.where(k == 0).select("file_path", F.concat(F.lit("h_"), b).alias("name"), F.concat("file_path", F.lit(":h_"), b, F.lit(":function:1")).alias("symbol_id"))
+    imports = resolve.resolve_imports(edges, files.select("file_path"))
+    done = resolve.resolve_targets(edges, symbols, imports, resolve.routes(resolve.aliases(edges, imports), symbols))
+    return done.where("kind = 'calls'").select("file_path", "ref_text", "target_symbol_id", "resolution_confidence", "resolution_method")
+
+
 @query(
     """SELECT f.file_path, f.module, p.file_path AS resolved_path, p.file_path IS NULL AND f.module NOT LIKE '.%' AS is_external, CASE WHEN p.file_path IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS confidence FROM (
     SELECT file_path, split_part(file_path, '/', 1) AS source, CASE doc_id % 5 WHEN 0 THEN split_part(file_path, '/', 1) || '.en.doc_' || (doc_id + 8) WHEN 1 THEN '.doc_' || (doc_id + 4) WHEN 2 THEN '..en.doc_' || (doc_id + 3) WHEN 3 THEN 'json.decoder' ELSE 'nowhere' END AS module,

@@ -27,6 +27,7 @@ DIAGNOSTICS = table("""file_path string NOT NULL, parse_status string, error_cou
     error_spans array<struct<start_line:int,start_column:int,end_line:int,end_column:int,type:string>>, indexed_at timestamp""")
 MANIFEST = table("file_path string NOT NULL, language string, mtime double, size long, parse_status string")
 IMPORTS = table("file_path string NOT NULL, module string NOT NULL, resolved_path string")
+ALIASES = table("file_path string NOT NULL, name string NOT NULL, target_file string NOT NULL, target_name string NOT NULL")
 #: Reverse indexes: what a key is asked by, and which names have a trigram, each with the bucket of the files that it is in.
 ASKS = table("what string NOT NULL, key string NOT NULL, bucket int NOT NULL")
 GRAMS = table("key string NOT NULL, h long NOT NULL, bucket int NOT NULL")
@@ -39,7 +40,7 @@ STATE = table("""schema_version int, generation int,
     repo_stats struct<file_count:long,total_bytes:long,total_tokens:long,median_file_tokens:long,p75_file_tokens:long,p90_file_tokens:long>""")
 TOOL_CALLS = table("session_id string, tool string, naive_tokens long, actual_tokens long, ts timestamp_ntz")
 
-TABLES = {"symbols": SYMBOLS, "edges": EDGES, "chunks": CHUNKS, "diagnostics": DIAGNOSTICS, "manifest": MANIFEST, "imports": IMPORTS, "state": STATE, "package_roots": PACKAGE_ROOTS}
+TABLES = {"symbols": SYMBOLS, "edges": EDGES, "chunks": CHUNKS, "diagnostics": DIAGNOSTICS, "manifest": MANIFEST, "imports": IMPORTS, "aliases": ALIASES, "state": STATE, "package_roots": PACKAGE_ROOTS}
 POSTINGS = {"asks": ASKS, "grams": GRAMS, "vectors": VECTORS}
 KEYS = {"symbols": "symbol_id", "edges": "edge_id", "chunks": "chunk_id", "diagnostics": "file_path", "manifest": "file_path"}
 
