@@ -11,6 +11,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from codeloom.lineage import cut
 from codeloom.operators import chunking, resolve
 from codeloom.plans.parse import operator as parse
 from codeloom.registry import query
@@ -308,10 +309,11 @@ def resolve_reexported_targets(v):
     given = files.where(k > 0).select("file_path", *edge("imports", text, "0"))
     for n, prefix in (("1", ""), ("2", "m.")):
         given = given.unionAll(files.select("file_path", *edge("calls", F.concat(F.lit(prefix), name, F.lit("(x)")), n)))
-    edges = resolve.unresolved(given.withColumn("target_symbol_id", none))
+    edges = cut(resolve.unresolved(given.withColumn("target_symbol_id", none)))
     symbols = files.where(k == 0).select("file_path", F.concat(F.lit("h_"), b).alias("name"), F.concat("file_path", F.lit(":h_"), b, F.lit(":function:1")).alias("symbol_id"))
-    imports = resolve.resolve_imports(edges, files.select("file_path"))
-    done = resolve.resolve_targets(edges, symbols, imports, resolve.routes(resolve.aliases(edges, imports), symbols))
+    imports = cut(resolve.resolve_imports(edges, files.select("file_path")))
+    ways = cut(resolve.routes(resolve.aliases(edges, imports), symbols))
+    done = resolve.resolve_targets(edges, symbols, imports, ways)
     return done.where("kind = 'calls'").select("file_path", "ref_text", "target_symbol_id", "resolution_confidence", "resolution_method")
 
 
