@@ -262,7 +262,7 @@ def parse_diagnostics(v):
     "v_files",
 )
 def resolve_edge_targets(v):
-    parsed = parse.parse_files(python_files(v))
+    parsed = cut(parse.parse_files(python_files(v), parts=("symbols", "edges")))
     done = resolve.resolve_targets(parse.edges_of(parsed), parse.symbols_of(parsed))
     return done.select("file_path", "kind", "ref_text", "start_line", "source_symbol_id", "target_symbol_id", "resolution_confidence", "resolution_method")
 
@@ -277,7 +277,7 @@ def resolve_imported_targets(v):
     i = F.col("doc_id")
     code = F.format_string("from doc_%d import helper\n\ndef helper_%d(x):\n    return helper_%d(x)\n", i + 1, i % 3, (i + 1) % 3)
     files = v.files.select(F.format_string("doc_%d.py", i).alias("file_path"), F.lit("python").alias("language"), code.alias("content"))
-    parsed = parse.parse_files(files)
+    parsed = cut(parse.parse_files(files, parts=("symbols", "edges")))
     edges = parse.edges_of(parsed)
     done = resolve.resolve_targets(edges, parse.symbols_of(parsed), resolve.resolve_imports(edges, files.select("file_path")))
     return done.where("kind = 'calls'").select("file_path", "ref_text", "target_symbol_id", "resolution_method")
