@@ -4,8 +4,11 @@ A byte is removed if a string of ``LENGTH`` bytes that covers it also starts in
 doc_id. Texts are judged as they came in.
 
 1. Anchors. The 16-byte gram of the smallest hash among those inside a window of ``LENGTH`` bytes (the
-   first, if several) is a function of the window's bytes alone. Documents lie in parts; each part sends
-   its anchors' hashes, each once, and learns which of them occur in another document.
+   first, if several) is a function of the window's bytes alone; so are the ``WIDE`` bytes up to its end
+   where it lies far in the window, or from its beginning where it does not. These wide grams are the
+   anchors: phrases of a few words, which in a large corpus any two documents share, are too short for them.
+   Documents lie in parts; each part sends its anchors' hashes, each once, and learns which of them occur
+   in another document.
 2. Shards. A run of windows with one such anchor is a region. Each part sends its distinct regions, with
    their smallest doc_id, to the shard of their anchor, so equal windows of any two documents meet in a
    shard. Anchors with over ``HOT`` occurrences are dealt by single window, by the window's own hash, so a
@@ -29,7 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM, WIDE = 50, 16, 32
+#: Of an anchor's hash. Different anchors that share a hash only send regions in vain; at 30 GB one in some hundreds does.
+HASH_BYTES = 5
 PART_BYTES, BATCH, HOT = 8 << 20, 1 << 20, 2048
 LAST = np.iinfo(np.int64).max
 
@@ -47,6 +52,7 @@ def regions(text: np.ndarray, bounds: np.ndarray, length: int = LENGTH):
     ``text`` is padded with 16 bytes; document k is text[bounds[k]:bounds[k + 1]].
     """
     total, span, piece = int(bounds[-1]), length - GRAM + 1, 1 << 17
+    wide = min(WIDE, (length + GRAM) // 2 // 8 * 8)  # on one side or the other, a window has that many bytes
     valid = np.ones(total, bool)
     for s, e in zip(np.maximum(bounds[:-1], bounds[1:] - length + 1).tolist(), bounds[1:].tolist(), strict=True):
         valid[s:e] = False
@@ -75,16 +81,32 @@ def regions(text: np.ndarray, bounds: np.ndarray, length: int = LENGTH):
         n = min(n, len(m))
         anchor = (m[:n] & low).astype(np.int64)
         ok = valid[p : p + n]
-        change = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (ok[1:] != ok[:-1])))
+        far = anchor - np.arange(n) >= wide - GRAM
+        change = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (ok[1:] != ok[:-1]) | (far[1:] != far[:-1])))
         last = np.append(change[1:], n) - 1
         keep = ok[change]
         change, last = change[keep], last[keep]
-        out.append((change + p, last + p, h[anchor[change]]))
+        at = anchor[change] + p - np.where(far[change], wide - GRAM, 0)
+        key = np.zeros(len(at), np.uint64)
+        for k in range(0, wide, 8):
+            key = mix(key * np.uint64(0xD6E8FEB86659FD93) + words[at + k])
+        out.append((change + p, last + p, mix(key) >> np.uint64(64 - 8 * HASH_BYTES)))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def packed(hashes: np.ndarray) -> bytes:
+    """The low HASH_BYTES of each number."""
+    return np.ascontiguousarray(hashes, "<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // HASH_BYTES, 8), np.uint8)
+    out[:, :HASH_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, HASH_BYTES)
+    return out.view("<u8").ravel()
+
+
 def joined(*columns: np.ndarray | bytes) -> bytes:
     """Columns of one length, and a last one of bytes, as compressed bytes."""
     n = len(columns[0])
@@ -176,7 +198,7 @@ def _anchors(buckets: int):
         h, rows = h[cut], []
         for b, at in _split(h, buckets):
             one, more = at[count[at] == 1], at[count[at] > 1]
-            rows.append((b, k, h[one].tobytes(), h[more].tobytes(), count[more].astype("<u4").tobytes(), several[more].astype(np.uint8).tobytes()))
+            rows.append((b, k, packed(h[one]), packed(h[more]), count[more].astype("<u4").tobytes(), several[more].astype(np.uint8).tobytes()))
         names = ["bucket", "part", "ones", "more", "counts", "several"]
         kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], names)
@@ -190,7 +212,7 @@ def _repeated(table):
 
     h, count, several, part = [], [], [], []
     for r in table.to_pylist():
-        one, more = np.frombuffer(r["ones"], "<u8"), np.frombuffer(r["more"], "<u8")
+        one, more = unpacked(r["ones"]), unpacked(r["more"])
         h += [one, more]
         count += [np.ones(len(one), np.int64), np.frombuffer(r["counts"], "<u4").astype(np.int64)]
         several += [np.zeros(len(one), bool), np.frombuffer(r["several"], np.uint8).astype(bool)]
@@ -206,7 +228,7 @@ def _repeated(table):
     order = np.argsort(part, kind="stable")
     h, hot, part = h[order], hot[order], part[order]
     cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(h) else np.zeros(0, np.int64)
-    pieces = [(int(part[a]), h[a:b].tobytes(), hot[a:b].tobytes()) for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(h)], strict=len(cut) > 0)]
+    pieces = [(int(part[a]), packed(h[a:b]), hot[a:b].tobytes()) for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(h)], strict=len(cut) > 0)]
     cols = [*zip(*pieces, strict=True)] if pieces else [[], [], []]
     return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["part", "hashes", "hot"])
 
@@ -214,7 +236,7 @@ def _repeated(table):
 def _repeats_of(table):
     """Sorted hashes and hot flags from the rows sent to a part."""
     rows = [r for r in table.select(["hashes", "hot"]).to_pylist() if r["hashes"]]
-    h = np.concatenate([np.frombuffer(r["hashes"], "<u8") for r in rows]) if rows else np.zeros(0, np.uint64)
+    h = np.concatenate([unpacked(r["hashes"]) for r in rows]) if rows else np.zeros(0, np.uint64)
     hot = np.concatenate([np.frombuffer(r["hot"], np.uint8) for r in rows]).astype(bool) if rows else np.zeros(0, bool)
     order = np.argsort(h, kind="stable")
     return h[order], hot[order]
@@ -378,7 +400,11 @@ def _apply(names: list[str]):
             gone = covered(part, _repeats_of(right), [x.as_py() for x in right.column("answers") if x.is_valid])
             for s, e in zip(part.bounds[:-1].tolist(), part.bounds[1:].tolist(), strict=True):
                 g = gone[s:e]
-                kept.append(part.raw[s:e] if not g.any() else part.text[s:e][~g].tobytes())
+                if not g.any():
+                    kept.append(part.raw[s:e])
+                    spans.append([])
+                    continue
+                kept.append(part.text[s:e][~g].tobytes())
                 edge = np.flatnonzero(np.diff(g.astype(np.int8), prepend=0, append=0)).tolist()
                 spans.append([{"start": a, "end": b} for a, b in zip(edge[::2], edge[1::2], strict=True)])
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -86,6 +87,25 @@ def test_suffix_dedup_of_shuffled_rows(spark):
     assert Counter((r.doc_id, r.text) for r in out) == Counter(rows)
 
 
+def test_suffix_dedup_anchors_of_phrases():
+    """Texts that share phrases of 28 bytes share no anchor; equal windows of 50 bytes have the same one, wherever they lie."""
+    r = random.Random(4)
+    noise = lambda n: bytes(r.randrange(97, 123) for _ in range(n))
+    phrases = [noise(28) for _ in range(40)]
+
+    def anchors(*texts):
+        return [suffix_dedup.Part(pa.table({"doc_id": [1], "text": [t.decode()]})) for t in texts]
+
+    one, two = anchors(*(b"".join(noise(30) + p for p in phrases) for _ in "ab"))
+    assert len(one.hash) > 100 and not set(one.hash.tolist()) & set(two.hash.tolist())
+    passage, of = noise(400), {}
+    for part in anchors(noise(70) + passage + noise(5), passage):
+        for first, last, h in zip(part.first.tolist(), part.last.tolist(), part.hash.tolist(), strict=True):
+            for s in range(first, last + 1):
+                of.setdefault(part.raw[s : s + 50], set()).add(h)
+    assert len(of) == 400 - 49 + 75 and all(len(h) == 1 for h in of.values())
+
+
 @pytest.mark.parametrize("short", [2, 40, 1 << 18])
 def test_suffix_array(monkeypatch, short):
     """With recursion down to two symbols, down to forty, and with doubling at once."""
