@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,6 +149,37 @@ def test_chunks_of_functions_and_gaps(spark):
     assert [(r.start_line, r.end_line) for r in nested] == [(1, 6), (7, 9)]
 
 
+def test_chunks_of_many_symbols(spark):
+    """Spans of random symbols, nested and in any order, against a loop."""
+    r = random.Random(3)
+    for large in (4, 120):
+        syms = []
+        for i in range(60):
+            start = r.randrange(1, 70)
+            kind = r.choice(["class", "class", "method", "method", "method", "function", "enum"])
+            syms.append((f"s{i}" if kind != "class" else f"C{r.randrange(9)}x{i}", kind, start, start + r.randrange(9), None))
+        classes = [s for s in syms if s[1] == "class"]
+        syms = [(*s[:4], r.choice(classes)[0] if s[1] == "method" else None) for s in syms]
+        want = []
+        for c in classes:
+            mine = [s for s in syms if s[1] == "method" and s[4] == c[0] and c[2] <= s[2] <= c[3]]
+            want += [(s[2], min(s[3], 80), 2) for s in mine] if mine and c[3] - c[2] + 1 > large else [(c[2], min(c[3], 80), 1 + len(mine))]
+        functions, ends = [], [c[2:4] for c in classes]
+        for s in sorted((s for s in syms if s[1] == "function"), key=lambda s: (s[2], -s[3], f"f.py:{s[0]}:{s[1]}:{s[2]}")):
+            if all(a > s[2] or b < s[2] for a, b in [*(c[2:4] for c in classes), *functions]):
+                want.append((s[2], min(s[3], 80), 1))
+                ends.append(s[2:4])
+            functions.append(s[2:4])
+        for s in sorted((s for s in syms if s[1] == "enum"), key=lambda s: (s[2], -s[3], f"f.py:{s[0]}:{s[1]}:{s[2]}")):
+            if all(a > s[2] or b < s[2] for a, b in ends):
+                want.append((s[2], min(s[3], 80), 1))
+            ends.append(s[2:4])
+        out = chunks_of(spark, "x\n" * 80, *syms, large=large)
+        assert sorted((c.start_line, c.end_line, len(c.symbol_ids)) for c in out if c.is_symbol_chunk) == sorted(want)
+        free = [n for n in range(1, 81) if not any(a <= n <= b for a, b, _ in want)]
+        assert [n for c in out if not c.is_symbol_chunk for n in range(c.start_line, c.end_line + 1)] == free
+
+
 def test_resolvers(spark):
     have = ["src/myapp/__init__.py", "src/myapp/models.py", "src/myapp/auth/__init__.py", "src/myapp/auth/middleware.py", "src/components/Button.tsx", "src/components/index.ts", "src/utils/helpers.ts", "src/foo.service.ts"]
     files = spark.createDataFrame([(p,) for p in have], "file_path string")
