@@ -180,6 +180,21 @@ def test_chunks_of_many_symbols(spark):
         assert [n for c in out if not c.is_symbol_chunk for n in range(c.start_line, c.end_line + 1)] == free
 
 
+def test_targets_within_files(spark):
+    """Targets found in files' rows, then by names, are those that joins find."""
+    from codeloom.plans.parse import operator as parse
+
+    r = random.Random(8)
+    texts = ["".join(f"def {r.choice('abcdefghij')}{r.randrange(6)}():\n    return {r.choice('abcdefghijk')}{r.randrange(6)}(1)(2)\n" for _ in range(r.randrange(30))) for _ in range(12)]
+    texts += ["import os\nclass A(B, os.C): pass\n", "def f(:\n", "", "x = (lambda: 1)()\n"]
+    files = spark.createDataFrame([(f"f{i}.py", "python" if i != 3 else "none", t) for i, t in enumerate(texts)], "file_path string, language string, content string")
+    parsed, whole = parse.parse_files(files).cache(), resolve.own_targets(parse.names_held(parse.parse_files(files, whole=True)))
+    want = resolve.resolve_targets(parse.edges_of(parsed), parse.symbols_of(parsed))
+    found = resolve.resolve_by_name(parse.edges_of(whole), parse.names_of(whole))
+    assert found.columns == want.columns and sorted(map(tuple, found.drop("indexed_at").collect()), key=str) == sorted(map(tuple, want.drop("indexed_at").collect()), key=str)
+    assert {x.resolution_method for x in found.collect()} == {"same_file", "unique_name", None}
+
+
 def test_resolvers(spark):
     have = ["src/myapp/__init__.py", "src/myapp/models.py", "src/myapp/auth/__init__.py", "src/myapp/auth/middleware.py", "src/components/Button.tsx", "src/components/index.ts", "src/utils/helpers.ts", "src/foo.service.ts"]
     files = spark.createDataFrame([(p,) for p in have], "file_path string")
