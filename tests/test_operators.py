@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -180,6 +181,17 @@ def test_chunks_of_many_symbols(spark):
         assert [n for c in out if not c.is_symbol_chunk for n in range(c.start_line, c.end_line + 1)] == free
 
 
+def test_names_of_long_texts(spark):
+    """The name that an edge asks for, in time linear in the words of its text."""
+    want = {"a.b9c(x)": "b9c", "9abc": "abc", "x y ": "y", "f\n (": "f", "a.": "", "(f)": "", "": "", "go().then(a)": "go", "a b9": "b9", "a 9": "", "$x1\t(": "$x1", "é_a": "_a", "a-12b": "b", "import a.b as c": "c"}
+    rows = spark.createDataFrame([(k,) for k in want], "t string")
+    assert {r.t: r.n for r in rows.select("t", resolve.named(F.col("t")).alias("n")).collect()} == want
+    began = time.time()
+    long = spark.range(8).select(F.concat(F.lit("from pkg."), F.repeat(F.lit("n"), F.lit(40_000)), F.lit(" import a."), F.col("id")).alias("t"))
+    assert [r.n for r in long.select(resolve.named(F.col("t")).alias("n")).collect()] == [""] * 8
+    assert time.time() - began < 8
+
+
 def test_targets_within_files(spark):
     """Targets found in files' rows, then by names, are those that joins find."""
     from codeloom.plans.parse import operator as parse
